@@ -1,0 +1,140 @@
+"""Template residue and error pages.
+
+Three kinds of evidence: placeholder detectors on the page's text in several readings,
+filler detectors, and, for short pages, duplicated low-information lines combined with
+what is known of their host. These pages have no address; the title line and the
+source stand for slug and host.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from headway.llm.mixing import source_name
+from headway.llm.pages import BREAKS, COLUMN_GAP
+
+#: Words of a page that can be an error page or notice, documents that make a line a duplicate, and its share of a host.
+SHORT, DUPLICATED, MANY = 60, 5, 20
+
+# Names of slots that single braces hold; other single braces may be earnest.
+SLOTS = (
+    "name", "town", "editor", "teaser", "advertiser", "headline", "byline", "subscriber", "caption", "price", "weather", "edition", "printer",
+    "title", "author", "date", "column", "page", "issue", "paper", "user", "item", "article", "body", "email", "city", "address", "url", "link", "image", "text",
+)
+_S = r"\s*[A-Za-z][\w .\[\]]{0,40}?\s*"
+PLACEHOLDERS = (
+    rf"\{{\{{{_S}\}}\}}", rf"[$#]\{{{_S}\}}", rf"<%=?{_S}%>", rf"\{{%{_S}%\}}", rf"%%{_S}%%", rf"@@{_S}@@", rf"(?<!\w)__{_S}__(?!\w)",
+    r"(?<!\w)\$[A-Za-z][\w .\[\]]{0,40}\$(?!\w)", rf"<<{_S}>>", rf"&lt;{_S}&gt;", rf"\[\[{_S}\]\]", r"\?\?[\w .\[\]]{1,40}\?\?", r"%\([\w .]{1,40}\)[sd]",
+    r"(?<![\w%])%[sd](?!\w)", r"%d[./-]%m[./-]%[Yy]", r"\{\d{1,2}\}", r"\[object\s+Object\]", r"\bnull null\b", r"\bundefined, undefined\b",
+    r"\bXX/XX/XXXX\b", r"\bDD/MM/YYYY\b", r"\[T[KC]\]", rf"\[{_S}\s+goes\s+here\]", r"(?i:\[insert\s[^\]]{1,60}here\])", rf"(?i:\[your\s){_S}\]", rf"(?i:<insert\s){_S}>",
+    r"<[A-Z][A-Z_ .]{1,40}(?:\s?\d|\[\d\])?>", rf"(?i:\{{(?:{'|'.join(SLOTS)})(?:[_. ]?[a-z0-9]+|\[\d\])*\}})",
+)
+#: What every placeholder contains, as a cheap first look.
+_MARKS = r"[{}\[\]<>@$%]|__|\?\?|&lt;|null|undefined|XX/XX|DD/MM"
+
+# Words of meaningless filler, and sentences of filler in several languages.
+FILLER_WORDS = (
+    "lorem", "ipsum", "dolor", "dolora", "belisque", "congue", "tincul", "massur", "egestal", "fermat", "portil", "vestor", "nulsa", "ultram", "sedara",
+    "pelenti", "nomper", "quorem", "astum", "aculis", "veniat", "consectetur", "adipiscing", "eiusmod", "tempor", "incididunt",
+)
+FILLER = (
+    r"text to come, text to come", r"dummy copy to fill", r"sample text for layout", r"type your story in this", r"body text goes here", r"your text here",
+    r"placeholder paragraph", r"paragraph, replace before printing", r"asdf asdf", r"jkl jkl", r"\bxxx+ xx+ xx+", r"ist ein blindtext", r"steht sp.ter der artikel",
+    r"mustertext f.r die spalte", r"dit is opvultekst", r"voorbeeldtekst, nog te", r"est un faux texte", r"texte de l.article viendra ici", r"exemple de paragraphe .? ?remplacer",
+    r"hier komt (?:later )?het artikel", r"hier komt later",
+)
+_RUN_OF_FILLER = rf"\b(?:{'|'.join(FILLER_WORDS)})\W+(?:{'|'.join(FILLER_WORDS)})\W+(?:{'|'.join(FILLER_WORDS)})\b"
+
+# What error messages and notices that scripts are needed say, in several languages.
+MESSAGES = (
+    r"not be found", r"page (?:was |is )?not found", r"removed or is not there", r"bad gateway", r"took too long", r"service is unavailable", r"temporarily unavailable",
+    r"session has expired", r"error (?:has )?occurred while", r"unexpected error", r"went wrong", r"server did not answer", r"internal server error", r"not have access", r"access denied", r"forbidden",
+    r"java ?script", r"\bscripts\b", r"scripting must be", r"nicht gefunden", r"nicht erreichbar", r"fehler aufgetreten", r"zugriff verweigert", r"skripte", r"introuvable", r"indisponible",
+    r"erreur est survenue", r"acc.s refus", r"scripts sont", r"niet gevonden", r"niet bereikbaar", r"fout opgetreden", r"geen toegang", r"no encontrad", r"no disponible", r"non trovat",
+)
+NAVIGATION = (r"home \| ", r"back to", r"print\s+save", r"(?:previous|next) page", r"page viewer", r"zoom in", r"reference [0-9a-f]*")
+
+
+def _any(patterns: tuple[str, ...]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def flat(lines: Column) -> Column:
+    """Lines as running text, broken words put together."""
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), rf"(?<=\w)[{BREAKS}][ \t]*\n", ""), r"\s+", " ")
+
+
+def readings(text: Column, boxes: Column) -> list[Column]:
+    """The page's lines as they come, every other line first, cells of wide gaps by column, and by boxes where there are any."""
+    lines = F.split(text, "\n")
+    alternate = F.concat(F.filter(lines, lambda _, i: i % 2 == 0), F.filter(lines, lambda _, i: i % 2 == 1))
+    cell = lambda k: F.filter(F.transform(lines, lambda x: F.get(F.split(x, r" {3,}"), F.lit(k))), lambda x: x.isNotNull())
+    starts = F.array_sort(F.array_distinct(boxes["x0"]))
+    edges = F.filter(starts, lambda x, i: (i > 0) & (x - F.get(starts, i - 1) > COLUMN_GAP))
+    placed = F.transform(F.arrays_zip(lines.alias("t"), boxes.alias("b")), lambda z: F.struct(F.size(F.filter(edges, lambda e: e <= z["b"]["x0"])).alias("c"), z["b"]["y0"].alias("y"), z["t"].alias("t")))
+    by_box = F.when(F.size(boxes) == F.size(lines), F.transform(F.array_sort(placed), lambda z: z["t"]))
+    return [lines, alternate, F.concat(cell(0), cell(1), cell(2)), by_box]
+
+
+def has_placeholder(text: Column) -> Column:
+    return text.rlike(_any(PLACEHOLDERS))
+
+
+def has_filler(text: Column) -> Column:
+    low = F.lower(text)
+    return low.rlike(_any(FILLER)) | low.rlike(_RUN_OF_FILLER)
+
+
+def residue_pages(documents: DataFrame) -> DataFrame:
+    """(doc_id, placeholder, filler) of pages that hold template residue or filler.
+
+    Only pages whose text has any mark of a placeholder are read in other orders too.
+    Pages with NULL or empty text hold nothing.
+    """
+    text = F.col("text")
+    pages = documents.where(text.isNotNull()).select("doc_id", "text", F.col("lines").alias("_boxes"))
+    plain = F.regexp_replace(F.regexp_replace(text, rf"(?<=\w)[{BREAKS}][ \t]*\n", ""), r"\s+", " ")
+    marked = pages.withColumn("_plain", plain).withColumn("_mark", F.col("_plain").rlike(_MARKS))
+    looked = marked.withColumn("filler", has_filler(F.col("_plain"))).withColumn("_first", F.col("_mark") & has_placeholder(F.col("_plain")))
+    others = [F.coalesce(has_placeholder(flat(r)), F.lit(False)) for r in readings(text, F.col("_boxes"))[1:]]
+    looked = looked.withColumn("placeholder", F.when(F.col("_first"), True).when(F.col("_mark"), reduce(lambda a, b: a | b, others)).otherwise(False))
+    return looked.where(F.col("placeholder") | F.col("filler")).select("doc_id", "placeholder", "filler")
+
+
+def line_template(line: Column) -> Column:
+    """What a line says apart from its numbers, codes, case and outer punctuation."""
+    low = F.regexp_replace(F.lower(line), r"\(code [^)]*\)|\b(?=\w*\d)[0-9a-f]{6,}\b", "")
+    low = F.regexp_replace(low, r"^\s*(?:error|http|oops!?)?\s*\d*\s*:?\s*", "")
+    return F.regexp_replace(F.regexp_replace(low, r"[\d]+", "9"), r"^\W+|\W+$", "")
+
+
+def error_pages(documents: DataFrame) -> DataFrame:
+    """(doc_id, messages, duplicates, host_share) of short pages that are an error message or a notice.
+
+    A page is one if each of its lines is a message, navigation, or occurs on at least
+    `DUPLICATED` short pages, and it has a message; or, whatever its language, if all
+    lines that aren't navigation occur on at least `MANY` short pages and the page's host
+    has more such pages than hosts have on average. The title line counts as a line.
+    """
+    short = documents.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("_host"), "text")
+    short = short.where((F.length("text") <= SHORT * 12) & (F.size(F.split("text", r"\s+")) <= SHORT))
+    lines = short.select("doc_id", "_host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_template))).alias("_line"))
+    spread = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_df"))
+    known = lines.join(spread.withColumnRenamed("_line", "_l"), F.col("_line") == F.col("_l"))
+    message, navigation = F.col("_line").rlike(_any(MESSAGES)), (F.col("_line") == "") | F.col("_line").rlike(rf"^(?:{_any(NAVIGATION)})")
+    pages = known.groupBy("doc_id", "_host").agg(
+        F.sum(F.when(message, 1).otherwise(0)).alias("messages"),
+        F.sum(F.when(F.col("_df") >= DUPLICATED, 1).otherwise(0)).alias("duplicates"),
+        F.min(message | navigation | (F.col("_df") >= DUPLICATED)).alias("_bare"),
+        F.min(navigation | (F.col("_df") >= MANY)).alias("_copied"),
+        F.max(~navigation).alias("_says"),
+    )
+    hosts = pages.groupBy(F.col("_host").alias("_h")).agg(F.avg(F.col("_bare").cast("double")).alias("host_share"))
+    rated = hosts.withColumn("_average", F.avg("host_share").over(Window.partitionBy()))  # a row per host
+    judged = pages.join(rated, F.col("_host") == F.col("_h"))
+    return judged.where((F.col("_bare") & (F.col("messages") > 0)) | (F.col("_copied") & F.col("_says") & (F.col("host_share") > F.col("_average")))).select(
+        "doc_id", "messages", "duplicates", "host_share"
+    )
