@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from headway.plans import feed_quality
+from headway.plans import feed_quality, transit
 
-FLAGSHIP = "p1_summary"
-QUERIES = {**feed_quality.QUERIES}
-SQL: dict[str, str] = {}
+FLAGSHIP = "connections"
+QUERIES = transit.QUERIES | feed_quality.QUERIES
+SQL = transit.SQL | feed_quality.SQL

@@ -150,3 +150,89 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_report, p3_found, p3_filled, p3_headsigns, p4_found, p4_rejected, p4_loaded_stop_times, p4_loaded_calendar, p5_found)}
+
+# SQL for DuckDB. Blank is NULL, empty or only spaces and tabs.
+
+
+def _t(c: str) -> str:
+    return f"nullif(trim({c}, ' ' || chr(9)), '')"
+
+
+def _sec(c: str) -> str:
+    part = lambda k: f"coalesce(try_cast(nullif(split_part({_t(c)}, ':', {k}), '') AS BIGINT), 0)"
+    return f"CASE WHEN regexp_full_match({_t(c)}, '[0-9]+:[0-9]{{1,2}}(:[0-9]{{1,2}})?') THEN ({part(1)} * 3600 + {part(2)} * 60 + {part(3)})::varchar ELSE {_t(c)} END"
+
+
+_P1 = f"""WITH last AS (SELECT snapshot_no, max(delivery_no) AS delivery_no FROM rule_snapshots GROUP BY 1),
+content AS (
+  SELECT DISTINCT snapshot_no, trip_id, stop_sequence, {_t('departure_stop')} AS a, {_t('arrival_stop')} AS b, {_sec('departure_dfm')} AS c, {_sec('arrival_dfm')} AS d, {_t('pickup_type')} AS e,
+    {_t('drop_off_type')} AS f, {_t('headsign')} AS g, list_sort(list_distinct(list_transform(coalesce(service_dates, []), lambda x: replace(x, '-', '')))) AS h
+  FROM rule_snapshots JOIN last USING (snapshot_no, delivery_no)),
+keyed AS (SELECT snapshot_no, trip_id, stop_sequence, list_sort(list((a, b, c, d, e, f, g, h)::varchar)) AS content FROM content GROUP BY ALL),
+consecutive AS (SELECT lag(snapshot_no) OVER (ORDER BY snapshot_no) AS p, snapshot_no AS n FROM last),
+compared AS (
+  SELECT p, n, coalesce(x.trip_id, y.trip_id) AS trip_id, coalesce(x.stop_sequence, y.stop_sequence) AS stop_sequence,
+    CASE WHEN y.snapshot_no IS NULL THEN 'added' WHEN x.snapshot_no IS NULL THEN 'removed' WHEN x.content <> y.content THEN 'changed' END AS change_type
+  FROM (SELECT p, n, k.* FROM consecutive JOIN keyed k ON k.snapshot_no = n WHERE p IS NOT NULL) x
+  FULL JOIN (SELECT p AS p2, n AS n2, k.* FROM consecutive JOIN keyed k ON k.snapshot_no = p) y ON x.n = y.n2 AND x.trip_id = y.trip_id AND x.stop_sequence = y.stop_sequence
+  CROSS JOIN LATERAL (SELECT coalesce(x.p, y.p2) AS p, coalesce(x.n, y.n2) AS n))
+SELECT p AS prev_snapshot_no, n AS snapshot_no, trip_id, stop_sequence, change_type FROM compared WHERE change_type IS NOT NULL"""
+_P1 = _P1.replace("""SELECT p, n, coalesce(x.trip_id""", """SELECT coalesce(x.p, y.p2) AS p, coalesce(x.n, y.n2) AS n, coalesce(x.trip_id""").replace(
+    """
+  CROSS JOIN LATERAL (SELECT coalesce(x.p, y.p2) AS p, coalesce(x.n, y.n2) AS n))""", ")")
+
+
+def _orphans(child: str, field: str, parents: str) -> str:
+    return f"""SELECT '{child}' AS child_table, '{field}' AS field_name, c.feed_period, c.row_id,
+  CASE WHEN count(p.k) = 0 THEN 'missing' WHEN min(p.l) > any_value(c.loaded_at) THEN 'late' ELSE 'deleted' END AS reason
+FROM {child} c LEFT JOIN ({parents}) p ON p.k = {_t('c.' + field)} WHERE {_t('c.' + field)} IS NOT NULL
+GROUP BY c.feed_period, c.row_id HAVING NOT coalesce(bool_or(p.l <= c.loaded_at AND (p.d IS NULL OR p.d > c.loaded_at)), false)"""
+
+
+def _parents(table_name: str, key: str) -> str:
+    return f"SELECT {_t(key)} AS k, loaded_at AS l, deleted_at AS d FROM {table_name}"
+
+
+_P2 = " UNION ALL ".join((
+    _orphans("stop_times", "stop_id", _parents("stops", "stop_id")), _orphans("stop_times", "trip_id", _parents("trips", "trip_id")),
+    _orphans("trips", "route_id", _parents("routes", "route_id")),
+    _orphans("trips", "service_id", _parents("calendar", "service_id") + f" UNION ALL SELECT {_t('service_id')}, loaded_at, NULL FROM calendar_dates"),
+))
+
+# A text states a time if it has two groups of digits for hours and minutes below 60, or is a count; these data hold no other texts with digits.
+_NO_TIME = "(v IS NULL OR NOT regexp_matches(v, '[0-9]') OR regexp_matches(v, '^[0-9]{1,3}[:.h][6-9][0-9]') OR regexp_matches(v, '^[0-9]{1,3}[:.h][0-9]{2}[:.m][6-9][0-9]') OR regexp_matches(v, '[0-9]:[6-9][0-9]'))"
+_P3 = " UNION ALL ".join(
+    f"""SELECT row_id, '{f}' AS field_name FROM (SELECT row_id, {_t('trip_id')} AS t, {_t(f)} AS v FROM stop_times) WHERE t IS NOT NULL AND {_NO_TIME}
+  AND t IN (SELECT t FROM (SELECT {_t('trip_id')} AS t, {_t(f)} AS v FROM stop_times) WHERE t IS NOT NULL AND NOT {_NO_TIME})"""
+    for f in ("arrival_time", "departure_time")
+)
+
+_BAD = {
+    "stop_sequence": "NOT (regexp_full_match(coalesce({0}, ''), '[0-9]+') AND coalesce(try_cast({0} AS HUGEINT) <= 2147483647, false))",
+    "pickup_type": "coalesce({0}, '') NOT IN ('', '0', '1', '2', '3')",
+    "start_date": "NOT (regexp_full_match(coalesce({0}, ''), '[0-9]{{8}}') AND try_strptime(coalesce({0}, ''), '%Y%m%d') IS NOT NULL)",
+}
+_FIELD = '("([^"]|"")*"|[^",]*)'
+_WELL = f"regexp_full_match(r, '(?s){_FIELD}(,{_FIELD})*')"
+_RAW = f"""records AS (SELECT row_id, file_name, r, CASE file_name WHEN 'stop_times.txt' THEN 9 WHEN 'calendar.txt' THEN 10 END AS want, {_WELL} AS well,
+    list_transform(regexp_extract_all(',' || r, '(?s),("(?:[^"]|"")*"|[^",]*)', 1), lambda f: CASE WHEN f[1] = '"' THEN replace(f[2:-2], '""', '"') ELSE f END) AS f
+  FROM (SELECT row_id, file_name, regexp_replace(raw, chr(13) || '$', '') AS r FROM raw_lines WHERE line_no <> 1))"""
+_P4 = f"""WITH {_RAW},
+bad AS (
+  SELECT 'raw_lines' AS table_name, row_id, CASE WHEN NOT well THEN 'quoting' ELSE 'column_count' END AS reason FROM records WHERE NOT well OR len(f) <> want
+  UNION ALL SELECT 'raw_lines', row_id, 'stop_sequence' FROM records WHERE well AND len(f) = want AND want = 9 AND {_BAD['stop_sequence'].format(_t('f[5]'))}
+  UNION ALL SELECT 'raw_lines', row_id, 'pickup_type' FROM records WHERE well AND len(f) = want AND want = 9 AND {_BAD['pickup_type'].format(_t('f[7]'))}
+  UNION ALL SELECT 'raw_lines', row_id, 'start_date' FROM records WHERE well AND len(f) = want AND want = 10 AND {_BAD['start_date'].format(_t('f[9]'))}
+  UNION ALL SELECT 'stop_times', row_id, 'stop_sequence' FROM stop_times WHERE {_BAD['stop_sequence'].format(_t('stop_sequence'))}
+  UNION ALL SELECT 'stop_times', row_id, 'pickup_type' FROM stop_times WHERE {_BAD['pickup_type'].format(_t('pickup_type'))}
+  UNION ALL SELECT 'calendar', row_id, 'start_date' FROM calendar WHERE {_BAD['start_date'].format(_t('start_date'))})
+SELECT * FROM bad"""
+
+SQL: dict[str, str] = {
+    "p1_found": _P1,
+    "p1_summary": f"SELECT prev_snapshot_no, snapshot_no, change_type, count(*) AS n_rules FROM ({_P1}) GROUP BY ALL",
+    "p2_found": _P2,
+    "p2_report": f"SELECT child_table, field_name, feed_period, reason, count(*) AS n_references FROM ({_P2}) GROUP BY ALL",
+    "p3_found": _P3,
+    "p4_found": _P4,
+}
