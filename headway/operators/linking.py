@@ -41,7 +41,8 @@ def merge_movements(df: DataFrame) -> DataFrame:
             slot.alias("slot"),
         )
         merged = (
-            F.when(na(cur, "gtfs:pickupType") & ~na(prev, "gtfs:pickupType"), into(prev, cur, "joined"))
+            F.when(prev.isNull(), F.lit(None))
+            .when(na(cur, "gtfs:pickupType") & ~na(prev, "gtfs:pickupType"), into(prev, cur, "joined"))
             .when(na(prev, "gtfs:pickupType") & ~na(cur, "gtfs:pickupType"), into(cur, prev, "joined"))
             .when(na(cur, "gtfs:dropOffType") & ~na(prev, "gtfs:dropOffType"), into(prev, cur, "split"))
             .when(na(prev, "gtfs:dropOffType") & ~na(cur, "gtfs:dropOffType"), into(cur, prev, "split"))

@@ -290,10 +290,10 @@ def json_rows(spark, d):
 @query(f""", {_FLAT}, q AS (
  SELECT id AS s, unnest([{{'p': 'type', 'o': 'http://semweb.mmlab.be/ns/linkedconnections#Connection'}}, {{'p': 'departureStop', 'o': dep}}, {{'p': 'arrivalStop', 'o': arr}}, {{'p': 'departureTime', 'o': dt}}, {{'p': 'arrivalTime', 'o': art}},
   {{'p': 'trip', 'o': trip}}, {{'p': 'route', 'o': route}}, {{'p': 'headsign', 'o': headsign}}, {{'p': 'dropOffType', 'o': 'http://vocab.gtfs.org/terms#' || substr(dof, 6)}}, {{'p': 'pickupType', 'o': 'http://vocab.gtfs.org/terms#' || substr(pt, 6)}}]) AS x FROM linked)
- SELECT s, x.p AS p, x.o AS o FROM q WHERE x.o IS NOT NULL""")
+ SELECT x.p AS p, x.o AS o, count(*) AS n, min(s) AS first_s FROM q WHERE x.o IS NOT NULL GROUP BY ALL""")
 def quads(spark, d):
     rows = formats.quads(_connections(spark, d), TEMPLATES).select(F.explode("_quads").alias("q"))
-    return rows.select(F.col("q.s").alias("s"), F.regexp_extract("q.p", "[^#/]+$", 0).alias("p"), F.col("q.o").alias("o"))
+    return rows.groupBy(F.regexp_extract("q.p", "[^#/]+$", 0).alias("p"), F.col("q.o").alias("o")).agg(F.count(F.lit(1)).alias("n"), F.min("q.s").alias("first_s"))
 
 
 @query(f""", {_FLAT} SELECT id AS s, (7 - (dt IS NULL)::int - (art IS NULL)::int + (headsign IS NOT NULL)::int + (pt IS NOT NULL)::int + (dof IS NOT NULL)::int)::bigint AS n_triples, count(*) AS n FROM linked GROUP BY ALL""")
