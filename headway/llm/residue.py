@@ -18,6 +18,8 @@ from headway.llm.pages import BREAKS, COLUMN_GAP
 
 #: Words of a page that can be an error page or notice, documents that make a line a duplicate, and its share of a host.
 SHORT, DUPLICATED, MANY = 60, 5, 20
+#: Words of a line that can be a message; a quoted message is reported speech.
+LINE = 16
 
 # Names of slots that single braces hold; other single braces may be earnest.
 SLOTS = (
@@ -29,7 +31,7 @@ PLACEHOLDERS = (
     rf"\{{\{{{_S}\}}\}}", rf"[$#]\{{{_S}\}}", rf"<%=?{_S}%>", rf"\{{%{_S}%\}}", rf"%%{_S}%%", rf"@@{_S}@@", rf"(?<!\w)__{_S}__(?!\w)",
     r"(?<!\w)\$[A-Za-z][\w .\[\]]{0,40}\$(?!\w)", rf"<<{_S}>>", rf"&lt;{_S}&gt;", rf"\[\[{_S}\]\]", r"\?\?[\w .\[\]]{1,40}\?\?", r"%\([\w .]{1,40}\)[sd]",
     r"(?<![\w%])%[sd](?!\w)", r"%d[./-]%m[./-]%[Yy]", r"\{\d{1,2}\}", r"\[object\s+Object\]", r"\bnull null\b", r"\bundefined, undefined\b",
-    r"\bXX/XX/XXXX\b", r"\bDD/MM/YYYY\b", r"\[T[KC]\]", rf"\[{_S}\s+goes\s+here\]", r"(?i:\[insert\s[^\]]{1,60}here\])", rf"(?i:\[your\s){_S}\]", rf"(?i:<insert\s){_S}>",
+    r"\bXX/XX/XXXX\b", r"\bDD/MM/YYYY\b", r"\[T[KC]\]", rf"\[{_S}\s+goes\s+here\]", r"(?i:\[insert\s[^\n]{1,40}?\shere\])", rf"(?i:\[your\s){_S}\]", rf"(?i:<insert\s){_S}>",
     r"<[A-Z][A-Z_ .]{1,40}(?:\s?\d|\[\d\])?>", rf"(?i:\{{(?:{'|'.join(SLOTS)})(?:[_. ]?[a-z0-9]+|\[\d\])*\}})",
 )
 #: What every placeholder contains, as a cheap first look.
@@ -43,7 +45,7 @@ FILLER_WORDS = (
 FILLER = (
     r"text to come, text to come", r"dummy copy to fill", r"sample text for layout", r"type your story in this", r"body text goes here", r"your text here",
     r"placeholder paragraph", r"paragraph, replace before printing", r"asdf asdf", r"jkl jkl", r"\bxxx+ xx+ xx+", r"ist ein blindtext", r"steht sp.ter der artikel",
-    r"mustertext f.r die spalte", r"dit is opvultekst", r"voorbeeldtekst, nog te", r"est un faux texte", r"texte de l.article viendra ici", r"exemple de paragraphe .? ?remplacer",
+    r"mustertext f.r die spalte", r"dit is opvultekst", r"voorbeeldtekst, nog te", r"est un faux texte", r"texte de l.article viendra", r"exemple de paragraphe .? ?remplacer",
     r"hier komt (?:later )?het artikel", r"hier komt later",
 )
 _RUN_OF_FILLER = rf"\b(?:{'|'.join(FILLER_WORDS)})\W+(?:{'|'.join(FILLER_WORDS)})\W+(?:{'|'.join(FILLER_WORDS)})\b"
@@ -55,7 +57,7 @@ MESSAGES = (
     r"java ?script", r"\bscripts\b", r"scripting must be", r"nicht gefunden", r"nicht erreichbar", r"fehler aufgetreten", r"zugriff verweigert", r"skripte", r"introuvable", r"indisponible",
     r"erreur est survenue", r"acc.s refus", r"scripts sont", r"niet gevonden", r"niet bereikbaar", r"fout opgetreden", r"geen toegang", r"no encontrad", r"no disponible", r"non trovat",
 )
-NAVIGATION = (r"home \| ", r"back to", r"print\s+save", r"(?:previous|next) page", r"page viewer", r"zoom in", r"reference [0-9a-f]*")
+NAVIGATION = (r"home \| ", r"back to", r"print\s+save", r"(?:previous|next) page", r"page viewer", r"zoom in", r"reference\b")
 
 
 def _any(patterns: tuple[str, ...]) -> str:
@@ -124,7 +126,8 @@ def error_pages(documents: DataFrame) -> DataFrame:
     lines = short.select("doc_id", "_host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_template))).alias("_line"))
     spread = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_df"))
     known = lines.join(spread.withColumnRenamed("_line", "_l"), F.col("_line") == F.col("_l"))
-    message, navigation = F.col("_line").rlike(_any(MESSAGES)), (F.col("_line") == "") | F.col("_line").rlike(rf"^(?:{_any(NAVIGATION)})")
+    bare = (F.size(F.split("_line", r"\s+")) <= LINE) & ~F.col("_line").rlike('["\u201c\u201d\u00ab\u00bb]')
+    message, navigation = bare & F.col("_line").rlike(_any(MESSAGES)), (F.col("_line") == "") | F.col("_line").rlike(rf"^(?:{_any(NAVIGATION)})")
     pages = known.groupBy("doc_id", "_host").agg(
         F.sum(F.when(message, 1).otherwise(0)).alias("messages"),
         F.sum(F.when(F.col("_df") >= DUPLICATED, 1).otherwise(0)).alias("duplicates"),
