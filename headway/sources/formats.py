@@ -98,7 +98,11 @@ def to_csv_rows(connections: DataFrame) -> DataFrame:
 
 def quads(connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> DataFrame:
     """`connections` as one row each with `_quads`: (s, p, o, kind, datatype), seven to ten of them."""
-    uri = uri_columns(connections, templates or Templates(), timezone)
+    # Each URI and instant is a column of its own first, so that ten quads don't compute it ten times.
+    named = {"@id": "_u_id", "departureStop": "_u_dep", "arrivalStop": "_u_arr", "gtfs:trip": "_u_trip", "gtfs:route": "_u_route"}
+    made = {named[k]: c for k, c in uri_columns(connections, templates or Templates(), timezone).items()}
+    connections = connections.withColumns(made | {"_u_leaves": iso(F.col("departureTime")), "_u_arrives": iso(F.col("arrivalTime"))})
+    uri = {k: F.col(v) for k, v in named.items()}
     trip_names = connections.schema["trip"].dataType.fieldNames()
     sign = F.coalesce(some("headsign"), some("trip.trip_headsign") if "trip_headsign" in trip_names else F.lit(None).cast("string"))
 
@@ -108,7 +112,7 @@ def quads(connections: DataFrame, templates: Templates | None = None, timezone:
 
     all_quads = F.array(
         quad(RDF_TYPE, F.lit(LC + "Connection")), quad(LC + "departureStop", uri["departureStop"]), quad(LC + "arrivalStop", uri["arrivalStop"]),
-        quad(LC + "departureTime", iso(F.col("departureTime")), XSD + "dateTime"), quad(LC + "arrivalTime", iso(F.col("arrivalTime")), XSD + "dateTime"),
+        quad(LC + "departureTime", F.col("_u_leaves"), XSD + "dateTime"), quad(LC + "arrivalTime", F.col("_u_arrives"), XSD + "dateTime"),
         quad(GTFS + "trip", uri["gtfs:trip"]), quad(GTFS + "route", uri["gtfs:route"]), quad(GTFS + "headsign", sign, XSD + "string"),
         quad(GTFS + "dropOffType", boarding(F.col("drop_off_type"), GTFS)), quad(GTFS + "pickupType", boarding(F.col("pickup_type"), GTFS)),
     )
