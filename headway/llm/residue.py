@@ -1,9 +1,9 @@
 """Template residue and error pages.
 
 Three kinds of evidence: placeholder detectors on the page's text in several readings,
-filler detectors, and, for short pages, duplicated low-information lines combined with
-what is known of their host. These pages have no address; the title line and the
-source stand for slug and host.
+filler detectors, and, for messages, titles that their bodies don't take up and pages
+that say little, combined with what is known of their host. These pages have no address;
+the title line and the source stand for slug and host.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from headway.llm.mixing import source_name
 from headway.llm.pages import BREAKS, COLUMN_GAP
 
-#: Words of a page that can be an error page or notice, documents that make a line a duplicate, and its share of a host.
-SHORT, DUPLICATED, MANY = 60, 5, 20
+#: Letters of a word that counts when title and body are compared, and how many of its first letters do.
+TERM, STEM = 4, 6
+#: Lines looked at first, for speed only.
+HEAD = 12
 #: Words of a line that can be a message; a quoted message is reported speech.
 LINE = 16
 
@@ -64,6 +66,9 @@ def _any(patterns: tuple[str, ...]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+_UNSAID = rf"^[^\p{{L}}\p{{N}}]*(?:(?:error|http|oops!?)?[^\p{{L}}]*$|{_any(NAVIGATION)})"
+
+
 def flat(lines: Column) -> Column:
     """Lines as running text, broken words put together."""
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), rf"(?<=\w)[{BREAKS}][ \t]*\n", ""), r"\s+", " ")
@@ -110,34 +115,86 @@ def line_template(line: Column) -> Column:
     """What a line says apart from its numbers, codes, case and outer punctuation."""
     low = F.regexp_replace(F.lower(line), r"\(code [^)]*\)|\b(?=\w*\d)[0-9a-f]{6,}\b", "")
     low = F.regexp_replace(low, r"^\s*(?:error|http|oops!?)?\s*\d*\s*:?\s*", "")
-    return F.regexp_replace(F.regexp_replace(low, r"[\d]+", "9"), r"^\W+|\W+$", "")
+    return F.regexp_replace(F.regexp_replace(low, r"[\d]+", "9"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def error_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, messages, duplicates, host_share) of short pages that are an error message or a notice.
+def said_lines(lines: Column) -> Column:
+    """Lines but those of navigation, bare codes and numbers."""
+    return F.filter(lines, lambda x: ~F.lower(x).rlike(_UNSAID))
+
+
+def rest_of(lines: Column) -> Column:
+    """Lines but the first."""
+    return F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+
+
+def is_message(line: Column) -> Column:
+    """A line that is a listed message: not long, not quoted."""
+    bare = (F.size(F.split(line, r"\s+")) <= LINE) & ~line.rlike('["\u201c\u201d\u00ab\u00bb]')
+    return bare & line_template(line).rlike(_any(MESSAGES))
+
+
+def words(lines: Column) -> Column:
+    """The distinct words of lines."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.array_join(lines, " ")), r"[^\p{L}]+")), "")
+
 
-    A page is one if each of its lines is a message, navigation, or occurs on at least
-    `DUPLICATED` short pages, and it has a message; or, whatever its language, if all
-    lines that aren't navigation occur on at least `MANY` short pages and the page's host
-    has more such pages than hosts have on average. The title line counts as a line.
+def apart(title: Column, body: Column) -> Column:
+    """Whether no term of the title's lines occurs in the body's; the first letters of long words are a term."""
+    terms = lambda lines: F.transform(F.filter(words(lines), lambda w: F.length(w) >= TERM), lambda w: F.substring(w, 1, STEM))
+    return ~F.arrays_overlap(terms(title), terms(body))
+
+
+def only_messages(said: Column) -> Column:
+    """Whether lines are listed messages or stand in capitals, as headlines that go on do."""
+    return F.forall(said, lambda x: ~x.rlike(r"\p{Ll}") | is_message(x))
+
+
+def plain_message(said: Column) -> Column:
+    """Whether lines are listed messages only."""
+    return (F.size(said) > 0) & F.forall(said, is_message)
+
+
+def error_pages(documents: DataFrame) -> DataFrame:
+    """(doc_id, messages, duplicates, host_share) of pages that are an error message or a notice.
+
+    First, pages of any length whose lines are listed messages and navigation and
+    none other (`plain_message`). From these
+    come two measures, over distinct texts, so that copies count once: a page says little if
+    it has no more distinct words than they have (mean and two deviations), and a host
+    is suspect if its share of them is above the average of hosts. A page that says
+    little on a suspect host is one too, in any language, if its title and body have no
+    term in common or its lines all occur on other texts that say little; so is a page
+    that says little on any host if it has a message and its other lines so occur.
     """
-    short = documents.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("_host"), "text")
-    short = short.where((F.length("text") <= SHORT * 12) & (F.size(F.split("text", r"\s+")) <= SHORT))
-    lines = short.select("doc_id", "_host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_template))).alias("_line"))
-    spread = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_df"))
-    known = lines.join(spread.withColumnRenamed("_line", "_l"), F.col("_line") == F.col("_l"))
-    bare = (F.size(F.split("_line", r"\s+")) <= LINE) & ~F.col("_line").rlike('["\u201c\u201d\u00ab\u00bb]')
-    message, navigation = bare & F.col("_line").rlike(_any(MESSAGES)), (F.col("_line") == "") | F.col("_line").rlike(rf"^(?:{_any(NAVIGATION)})")
-    pages = known.groupBy("doc_id", "_host").agg(
-        F.sum(F.when(message, 1).otherwise(0)).alias("messages"),
-        F.sum(F.when(F.col("_df") >= DUPLICATED, 1).otherwise(0)).alias("duplicates"),
-        F.min(message | navigation | (F.col("_df") >= DUPLICATED)).alias("_bare"),
-        F.min(navigation | (F.col("_df") >= MANY)).alias("_copied"),
-        F.max(~navigation).alias("_says"),
-    )
-    hosts = pages.groupBy(F.col("_host").alias("_h")).agg(F.avg(F.col("_bare").cast("double")).alias("host_share"))
+    text = F.col("text")
+    pages = documents.where(text.isNotNull()).select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("_host"), F.xxhash64(F.lower(text)).alias("_text"), "text")
+    # The first lines decide for most pages: what fails there, fails on the whole page.
+    split, said = F.split(text, "\n"), said_lines(F.split(text, "\n"))
+    head = said_lines(F.slice(split, 1, HEAD))
+    plain = F.coalesce(only_messages(rest_of(head)) & plain_message(said), F.lit(False))
+    size = F.size(words(said))
+    texts = pages.select("_host", "_text", F.when(plain, size).alias("_n")).groupBy("_host", "_text").agg(F.max("_n").cast("double").alias("_n"))
+    hosts = texts.groupBy(F.col("_host").alias("_h")).agg(F.avg(F.col("_n").isNotNull().cast("double")).alias("host_share"), F.count("_n").alias("_k"), F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"))
     rated = hosts.withColumn("_average", F.avg("host_share").over(Window.partitionBy()))  # a row per host
-    judged = pages.join(rated, F.col("_host") == F.col("_h"))
-    return judged.where((F.col("_bare") & (F.col("messages") > 0)) | (F.col("_copied") & F.col("_says") & (F.col("host_share") > F.col("_average")))).select(
-        "doc_id", "messages", "duplicates", "host_share"
+    mean = F.sum("_s") / F.sum("_k")
+    little = hosts.agg((mean + 2 * F.sqrt(F.greatest(F.sum("_q") / F.sum("_k") - mean * mean, F.lit(0.0)))).alias("_little"))
+
+    brief = pages.crossJoin(F.broadcast(little)).where((F.size(words(head)) <= F.col("_little")) & (size <= F.col("_little")) & (size > 0)).withColumn("_said", said)
+    lines = brief.select("_text", F.explode(F.array_distinct(F.transform("_said", line_template))).alias("_l")).distinct()
+    spread = lines.groupBy("_l").agg(F.count(F.lit(1)).alias("_df"))
+    seen = brief.select("doc_id", "_host", "text", "_said", F.explode(F.array_distinct("_said")).alias("_line")).withColumn("_t", line_template(F.col("_line")))
+    known = seen.join(spread, F.col("_t") == F.col("_l"))
+    message, recurs = is_message(F.col("_line")), F.col("_df") > 1
+    first = F.slice("_said", 1, 1)
+    judged = known.groupBy("doc_id", "_host").agg(
+        F.sum(message.cast("int")).alias("messages"), F.sum(recurs.cast("int")).alias("duplicates"), F.min(recurs).alias("_recurs"), F.min(message | recurs).alias("_bare"),
+        F.first(apart(first, rest_of(F.col("_said")))).alias("_apart"),
+        F.first(plain).alias("_plain"), F.first(has_placeholder(flat(F.split(text, "\n"))) | has_filler(flat(F.split(text, "\n")))).alias("_slots"),
     )
+    judged = judged.join(rated, F.col("_host") == F.col("_h"))
+    suspect = (F.col("host_share") > F.col("_average")) & (F.col("_apart") | F.col("_recurs"))
+    judged = judged.where(~F.col("_plain") & ~F.col("_slots") & (suspect | (F.col("_bare") & (F.col("messages") > 0))))
+    columns = ("doc_id", "messages", "duplicates", "host_share")
+    sure = pages.where(plain).select("doc_id", "_host", F.size(F.filter(said, is_message)).alias("messages"), F.lit(0).alias("duplicates"))
+    return judged.select(*columns).unionByName(sure.join(rated, F.col("_host") == F.col("_h")).select(*columns))

@@ -156,6 +156,24 @@ def test_error_pages(spark):
     assert residue.error_pages(df.where("false")).count() == 0
 
 
+def messages_of(spark, rows):
+    df = spark.createDataFrame([(i, t, None, host, "x", "y") for i, (t, host) in enumerate(rows)], DOCS)
+    return {r.doc_id for r in residue.error_pages(df).collect()}
+
+
+STORY = "The old clerk of Novby sold a {} bridge to the quiet quarry at noon.\nCaptain Klupsold welcomed the organ; the {} railway\nand the schoolhouse shifted nothing on Monday."
+
+
+@pytest.mark.parametrize("size", [1, 10])
+def test_copies_are_no_evidence_and_sizes_are_alike(spark, size):
+    web = [(m, "web") for m in MESSAGES] + [(STORY.format(f"gilded{chr(97 + i)}", "lower"), "web") for i in range(3)]
+    paper = [(STORY.format(f"noisy{chr(97 + i)}", "upper"), "paper") for i in range(9)]
+    notices = [("Pagina momentaneamente assente", "web"), ("Strona chwilowo niedost\u0119pna", "web"), ("\u0421\u0442\u0440\u0430\u043d\u0438\u0446\u0430 \u0443\u0434\u0430\u043b\u0435\u043d\u0430", "web")]
+    genuine = [("THE FAIR AT NOVBY\n" + STORY.format("hot", "hot"), "web")] * 30
+    rows = web[:6] + notices + web[6:] + paper + genuine + [("Pagina momentaneamente assente", "paper")] * 30
+    assert messages_of(spark, [r for r in rows for _ in range(size)]) == set(range(9 * size))
+
+
 @pytest.mark.parametrize("name", ["p6_found", "p8_found"])
 def test_queries_have_their_columns(spark, name):
     from headway.llm.queries import QUERIES
