@@ -151,15 +151,15 @@ def only_messages(said: Column) -> Column:
 
 
 def plain_message(said: Column) -> Column:
-    """Whether lines are listed messages only."""
-    return (F.size(said) > 0) & F.forall(said, is_message)
+    """Whether lines are listed messages only, under no title or one that the messages don't take up."""
+    return only_messages(rest_of(said)) & F.exists(said, is_message) & apart(F.filter(said, lambda x: ~is_message(x)), F.filter(said, is_message))
 
 
 def error_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, messages, duplicates, host_share) of pages that are an error message or a notice.
 
-    First, pages of any length whose lines are listed messages and navigation and
-    none other (`plain_message`). From these
+    First, pages of any length whose lines are listed messages and navigation, under a
+    title or none, that has no term in common with them (`plain_message`). From these
     come two measures, over distinct texts, so that copies count once: a page says little if
     it has no more distinct words than they have (mean and two deviations), and a host
     is suspect if its share of them is above the average of hosts. A page that says

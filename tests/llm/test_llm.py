@@ -174,6 +174,13 @@ def test_copies_are_no_evidence_and_sizes_are_alike(spark, size):
     assert messages_of(spark, [r for r in rows for _ in range(size)]) == set(range(9 * size))
 
 
+def test_messages_under_titles_of_articles_and_at_any_length(spark):
+    long = "\n".join(m for m in MESSAGES * 4 if "browser" in m or "niet" in m)
+    caught = ["CAPTAIN SKYVIVOW RAISED THE KILN\nThe page you asked for could not be found.\nReference ad1e3ae8", "DE VASTE TUIN VAN STUMHOLM SLOOT\nGISTERAVOND\nDe pagina is niet gevonden.", long]
+    genuine = ["THE PAGE OF NOVBY\nThe page was not found by the squire.", "CAPTAIN SKYVIVOW RAISED THE KILN\nThe page was not found by the squire.\nHe sold the kiln to a clerk of Novby at noon.", STORY.format("a", "b")]
+    assert messages_of(spark, [(x, "web") for x in caught] + [(x, "paper") for x in genuine]) == {0, 1, 2}
+
+
 @pytest.mark.parametrize("name", ["p6_found", "p8_found"])
 def test_queries_have_their_columns(spark, name):
     from headway.llm.queries import QUERIES
