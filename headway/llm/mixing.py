@@ -46,25 +46,27 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None) ->
     Without a budget the mix is the largest that reaches the shares, in proportion, of
     all sources that have tokens without repeating any more often than allowed; with
     one, sources that can't fill their share are repeated as often as allowed. Sources
-    without documents get 0 copies. One row per source: bounded by the targets.
+    without documents, or that may not be used at all (`max_repeats` 0), get 0 copies and
+    don't bound the mix. One row per source: bounded by the targets.
     """
     wanted = targets.where(F.col("source").isNotNull()).groupBy(source_name(F.col("source")).alias("source")).agg(
         F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
     joined = wanted.join(sizes, "source", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
-    usable = (F.col("source_tokens") > 0) & (F.col("target_share") > 0)
+    usable = (F.col("source_tokens") > 0) & (F.col("target_share") > 0) & F.coalesce(F.col("max_repeats") > 0, F.lit(True))
     reach = F.when(usable, F.col("max_repeats") * F.col("source_tokens") / F.col("target_share"))
     total = F.lit(float(budget)) if budget is not None else F.min(reach).over(Window.partitionBy())
     copies = F.when(usable, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * total / F.col("source_tokens"))).otherwise(0.0)
     return joined.withColumn("copies", copies)
 
 
-def systematic_copies(documents: DataFrame, plan: DataFrame, key: str, offset: float = 0.5, seed: int = 0) -> DataFrame:
+def systematic_copies(documents: DataFrame, plan: DataFrame, key: str, offset: float | None = None, seed: int = 0) -> DataFrame:
     """(key, source, n_tokens, copy_no), a row per emitted copy.
 
     Documents of a source stand in order of their size class and then of a hash, so that
     each size gets its part of the copies; their expected copies are summed up and one
-    copy is emitted for each whole number crossed, after one offset in [0, 1). The
+    copy is emitted for each whole number crossed, after one offset in [0, 1), drawn for
+    each source from `seed` unless given. The
     running sum has two levels: within buckets, and over the buckets' totals, so a source
     of any size is spread over at least `PARTS` groups. No document is emitted more often
     than the next whole number of its source's expected copies.
@@ -76,7 +78,8 @@ def systematic_copies(documents: DataFrame, plan: DataFrame, key: str, offset: f
     starts = totals.select(F.col("source").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("source", "_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_sum", F.sum("_w").over(inside)).join(starts, (F.col("source") == F.col("_s2")) & (F.col("_b") == F.col("_b2")))
-    upto = F.col("_start") + F.col("_sum") + F.lit(int(offset * UNIT))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), F.lit(UNIT)) if offset is None else F.lit(int(offset * UNIT))
+    upto = F.col("_start") + F.col("_sum") + drawn
     n = (F.floor(upto / UNIT) - F.floor((upto - F.col("_w")) / UNIT)).cast("int")
     return summed.withColumn("_n", n).where(F.col("_n") > 0).select(key, "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
 

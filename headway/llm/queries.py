@@ -32,19 +32,19 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return mixing.count_tokens(docs, "text", ["doc_id", "source"])
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, seed: int) -> tuple[DataFrame, DataFrame]:
     sized = _sized(spark, d)
     sizes = sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     plan = mixing.plan_mix(sizes, table(spark, d, "mix_targets"))
-    return mixing.systematic_copies(sized, plan, "doc_id"), plan
+    return mixing.systematic_copies(sized, plan, "doc_id", seed=seed), plan
 
 
-def p7_mix_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(*_mix(spark, d))
+def p7_mix_report(spark: SparkSession, d: str, seed: int = 0) -> DataFrame:
+    return mixing.report(*_mix(spark, d, seed))
 
 
-def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[0]
+def p7_mix(spark: SparkSession, d: str, seed: int = 0) -> DataFrame:
+    return _mix(spark, d, seed)[0]
 
 
 def p8_reasons(spark: SparkSession, d: str) -> DataFrame:

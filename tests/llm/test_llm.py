@@ -97,6 +97,19 @@ def test_shares_are_reached_within_the_caps(spark):
     assert mixing.systematic_copies(docs.where("false"), mixing.plan_mix(sizes.where("false"), targets), "doc_id").count() == 0
 
 
+def test_a_source_not_to_be_used_does_not_empty_the_mix(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 3000), ("c", 500)], "source string, source_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.25, 2), ("b", 0.25, 2), ("c", 0.5, 0)], TARGETS)
+    assert {r.source: r.copies for r in mixing.plan_mix(sizes, targets).collect()} == {"a": 2.0, "b": 2 / 3, "c": 0.0}
+
+
+def test_offsets_are_drawn_from_the_seed(spark):
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"), F.lit(10).cast("bigint").alias("n_tokens"))
+    plan = docs.select("source", F.lit(0.5).alias("copies"))
+    drawn = [{r.source for r in mixing.systematic_copies(docs, plan, "doc_id", seed=s).collect()} for s in (1, 1, 2)]
+    assert drawn[0] == drawn[1] != drawn[2] and all(16 < len(x) < 48 for x in drawn)  # with one offset, all or none
+
+
 def test_each_copy_count_is_near_its_expectation(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(10).cast("bigint").alias("n_tokens"))
     plan = spark.createDataFrame([("s", 1.0, 3, 5000, 2.3)], "source string, target_share double, max_repeats int, source_tokens bigint, copies double")
