@@ -1,7 +1,7 @@
 """Evaluation passages inside training pages.
 
 Normalised n-grams of the passages form a broadcast hash set; every page's token
-windows are looked up in it, and hits are verified by aligning the page's words, in
+windows are looked up in it, one is followed both ways, and runs are verified by aligning the page's words, in
 printed order, with the passage's. The alignment follows words across line ends and
 may skip whole lines (adverts, neighbouring columns), never words within a line.
 """
@@ -9,9 +9,9 @@ may skip whole lines (adverts, neighbouring columns), never words within a line.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,10 +21,8 @@ from headway.llm.pages import BREAKS, WORD, fold, joined, printed_lines
 
 #: Consecutive words of a passage that make a leak.
 RUN = 12
-#: Words of the hashed windows, windows needed anywhere on a page, and in order within one run, before verification.
-NGRAM, HITS, CHAIN = 3, 3, 4
-#: Whole lines that may lie in between, and words of a page over which the windows of one run may spread.
-SKIP, REACH = 16, 90
+#: Words of the hashed windows.
+NGRAM = 3
 #: Characters of passages that one broadcast holds; more passages go in several passes.
 BLOCK_CHARS = 64_000_000
 
@@ -68,6 +66,7 @@ def _distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(1 << 16)
 def same_word(seen: str, meant: str) -> bool:
     """Whether a folded word can be a misreading of another. Numbers must fold alike."""
     if seen == meant:
@@ -75,14 +74,22 @@ def same_word(seen: str, meant: str) -> bool:
     most = 1 if len(meant) < 7 else 2
     if len(meant) < 3 or abs(len(seen) - len(meant)) > most or _DIGIT.search(seen) or _DIGIT.search(meant):
         return False
-    return _distance(seen, meant, most) <= most
+    return len(set(seen) ^ set(meant)) <= 2 * most and _distance(seen, meant, most) <= most
+
+
+@lru_cache(1 << 16)
+def part_of(piece: str, meant: str, head: bool) -> bool:
+    """Whether a folded piece of a broken word can be the head, or else the tail, of a misreading of a word."""
+    most = 1 if len(meant) < 7 else 2
+    sizes = range(max(0, len(piece) - most), min(len(meant), len(piece) + most) + 1)
+    return any(_distance(piece, meant[:n] if head else meant[len(meant) - n :], most) <= most for n in sizes)
 
 
 def longest_run(lines: list[str], passage: tuple[str, ...]) -> tuple[int, int, int]:
     """(words, first line, last line) of the longest run of the passage's words on a page.
 
     The page's lines come in printed order. A step goes to the next word, or from the
-    last word of a line to the first of one of the next `SKIP` + 1 lines; a word broken
+    last word of a line to the first of any later line; a word broken
     at a line's end goes on at such a first word.
     """
     words: list[str] = []
@@ -113,7 +120,7 @@ def longest_run(lines: list[str], passage: tuple[str, ...]) -> tuple[int, int, i
         k = first_set.get(j)
         if k is None:
             return [j - 1]
-        return [lasts[b] for b in range(k - 1, max(-1, k - 2 - SKIP), -1)]
+        return [lasts[b] for b in range(k - 1, -1, -1)]
 
     for j, word in enumerate(words):
         here: dict[int, tuple[int, int, int]] = {i: (1, i, j) for i in spots.get(word, ())}
@@ -150,40 +157,89 @@ def longest_run(lines: list[str], passage: tuple[str, ...]) -> tuple[int, int, i
 
 def scan_page(text: str, x0: list[int] | None, y0: list[int] | None, index: Passages) -> list[tuple[int, int, int, int]]:
     """(item, words, first line, last line) of each passage that a page contains."""
-    hits = index.keys.intersection(_windows(WORD.findall(fold(text))))
-    if len(hits) < HITS or max(Counter(k for gram in hits for k, _ in index.grams[gram]).values()) < HITS:
-        return []
     lines = printed_lines(text, x0, y0)
-    spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for j, gram in enumerate(_windows(WORD.findall(fold(joined(lines))))):
+    page = _Words(lines)
+    opened: set[int] = set()
+    for j, gram in enumerate(_windows(page.words)):
         if gram in index.keys:
             for k, i in index.grams[gram]:
-                spots[k].append((i, j))
+                if k not in opened and page.may_run(index.words[k], i, j):
+                    opened.add(k)
     out = []
-    for k, pairs in spots.items():
-        if _ordered(pairs):
-            length, first, last = longest_run(lines, index.words[k])
-            if length >= RUN:
-                out += [(item, length, first, last) for item in index.items[k]]
+    for k in sorted(opened):
+        length, first, last = longest_run(lines, index.words[k])
+        if length >= RUN:
+            out += [(item, length, first, last) for item in index.items[k]]
     return out
 
 
-def _ordered(pairs: list[tuple[int, int]]) -> bool:
-    """Whether `CHAIN` windows of one run of the passage stand on the page in the passage's order."""
-    if len(pairs) < CHAIN:
-        return False
-    pairs.sort()
-    for a, (start, at) in enumerate(pairs):
-        near = [p for p in pairs[a:] if p[0] < start + RUN - NGRAM + 1 and at <= p[1] <= at + REACH]
-        if len({i for i, _ in near}) < CHAIN:
-            continue
-        tails: list[int] = []
-        for _, j in sorted(near, key=lambda p: (p[0], -p[1])):
-            place = bisect_left(tails, j)
-            tails[place : place + 1] = [j]
-        if len(tails) >= CHAIN:
+class _Words:
+    """A page's words with broken ones put together, and where lines begin and end among them."""
+
+    def __init__(self, lines: list[str]):
+        self.words: list[str] = []
+        starts: list[int] = []
+        self.broken: dict[int, tuple[str, str]] = {}
+        # Broken words are put together before folding, since letters at the break may fold as one.
+        for part in fold("\n".join(joined([x]) for x in lines).replace(" \n", "\v").replace("\n", "").replace("\v", "\n")).split("\n"):
+            found = WORD.findall(part)
+            if found:
+                starts.append(len(self.words))
+                self.words += found
+        self.starts = starts
+        self.ends = {j - 1 for j in starts} | {len(self.words) - 1}
+        at, head = 0, None
+        for line in lines:  # lines that end in a broken word begin and end in the middle of a part
+            found = WORD.findall(line)
+            if not found:
+                continue
+            if head is not None:
+                self.broken[at] = (head, fold(found[0]))
+            at, head = at + len(found), None
+            tail = line.strip()
+            if tail[-1] in BREAKS and tail[-2:-1].isalnum():
+                at, head = at - 1, fold(found[-1])
+        if head is not None:
+            self.broken[at] = (head, "")
+        self.firsts = sorted({*starts, *self.broken})
+        self.first_set, self.ends = set(self.firsts), self.ends | set(self.broken)
+
+    def may_run(self, passage: tuple[str, ...], i: int, j: int) -> bool:
+        """Whether a run of `RUN` words may go through the window at i of a passage and j of the page.
+
+        It goes on with the next word or, at a line's end, at any other line in the direction;
+        a word broken at a line's end may go on at any other line too. Wider than `longest_run`, which decides.
+        """
+        ahead = self._follow(passage, i + NGRAM - 1, j + NGRAM - 1, 1, RUN - NGRAM)
+        return ahead + NGRAM >= RUN or ahead + NGRAM + self._follow(passage, i, j, -1, RUN - NGRAM - ahead) >= RUN
+
+    def _stands_for(self, q: int, meant: str) -> bool:
+        if same_word(self.words[q], meant):
             return True
-    return False
+        head, tail = self.broken.get(q, ("", ""))
+        return bool(head) and (part_of(head, meant, True) or same_word(tail, meant) or part_of(tail, meant, False))
+
+    def _follow(self, passage: tuple[str, ...], i: int, j: int, step: int, most: int) -> int:
+        places, n = {j}, 0
+        while n < most and 0 <= i + step < len(passage):
+            i += step
+            meant, after = passage[i], set()
+            for p in places:
+                if 0 <= p + step < len(self.words):
+                    after.add(p + step)
+            jumps = [p for p in places if p in (self.ends if step > 0 else self.first_set)]
+            if jumps:
+                after.update(q for q in self.firsts if q > min(jumps)) if step > 0 else after.update(q for q in self.ends if q < max(jumps))
+            cut = [p for p in places if p in self.broken]
+            if cut:  # the other piece was passed with the word
+                after.update(q + step for q in (self.firsts if step > 0 else self.ends) if 0 <= q + step < len(self.words) and (q > min(cut) if step > 0 else q < max(cut)))
+            places = {q for q in after if self._stands_for(q, meant)}
+            if step < 0:  # a word may end in a first word whose head is at another line's end
+                places |= {q for q in after if q in self.first_set and q not in places and len(self.words[q]) < len(meant) and part_of(self.words[q], meant, False)}
+            if not places:
+                break
+            n += 1
+        return n
 
 
 def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -71,6 +71,16 @@ def test_runs_against_brute_force(spark):
     assert found(spark, rows, list(enumerate(passages))) == expected
 
 
+def test_runs_with_one_window_or_long_adverts(spark):
+    w = PASSAGE.split()
+    advert = [f"Lot {i} of kiln fittings" for i in range(25)]
+    misread = list(w[:12])
+    for i in (2, 5, 8):  # that, yeoman, distant
+        misread[i] = misread[i][0] + "z" + misread[i][2:]
+    rows = [("\n".join([" ".join(w[:6]), *advert, " ".join(w[6:12])]), None), ("It was said. " + " ".join(misread) + " at noon", None), ("\n".join([" ".join(w[:6]), *advert, " ".join(w[6:11])]), None)]
+    assert found(spark, rows) == {(0, 1), (1, 1)}
+
+
 def test_folding_and_order():
     assert pages.fold("nortbern ſaicl Lovvered m0dern") == pages.fold("northern said lowered modem")
     assert pages.joined(["dis¬", "pensary of", "A -"]) == "dispensary of A - "
