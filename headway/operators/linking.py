@@ -6,105 +6,108 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text import or_empty
+from headway.sources.tables import checkpointed
 
 ORDER = ("departureTime", "arrivalTime", "gtfs:route", "departureStop", "arrivalStop", "@id")
 MOVEMENT = ORDER[:5]
 NOT_AVAILABLE = "gtfs:NotAvailable"
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _rank() -> Column:
+    """0 to 3: 2 for a row that can't be boarded, plus 1 for one that can't be left. The lower rank hosts the higher."""
+    off = lambda c, n: F.when(_c(c) == NOT_AVAILABLE, n).otherwise(0)
+    return off("gtfs:pickupType", 2) + off("gtfs:dropOffType", 1)
+
+
 def merge_movements(df: DataFrame) -> DataFrame:
-    """Folds rows of the same movement, in descending order of `@id`, with `joinedWithTrip` and `willSplitInto`.
+    """Folds rows of the same movement, in descending order of `@id`, with `joinedWithTrip`, `willSplitInto` and `_slot`.
 
     Of two neighbours exactly one of which can't be boarded, the other is kept and joined
     with its trip; failing that, of two exactly one of which can't be left, the other is
-    kept and splits into its trip. A group is one vehicle movement, some rows.
+    kept and splits into its trip; others stand side by side, the later one goes on.
+    So what a row meets is the lowest rank before it, and it takes the lead if its own
+    is no higher: the fold is a running minimum, and windows over one shuffle by
+    movement do it without gathering a movement's rows. A lead that meets a lower rank
+    is taken up with what it had taken up itself forgotten. NULL and '' are the same
+    movement; rows without times fold like others, as streams of sorted rows that spill.
     """
-    columns = df.columns
-    row = F.struct(or_empty(_c("@id")).alias("_id"), (-F.col("_ord")).alias("_neg"), F.struct(*[_c(c) for c in columns]).alias("row"))
-    groups = df.groupBy(*[or_empty(_c(k)).alias(f"_g{i}") for i, k in enumerate(MOVEMENT)]).agg(F.sort_array(F.collect_list(row), asc=False).alias("_rows"))
-    item = "struct<row:struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema.fields) + ">,joined:array<string>,split:array<string>,slot:int>"
+    keys = [or_empty(_c(k)).alias(f"_g{i}") for i, k in enumerate(MOVEMENT)]
+    groups = [f"_g{i}" for i in range(len(MOVEMENT))]
+    rows = df.select("*", *keys, or_empty(_c("@id")).alias("_id"), _rank().alias("_r"))
+    w = Window.partitionBy(*groups).orderBy(F.col("_id").desc(), F.col("_ord"))
+    met = rows.withColumn("_met", F.min("_r").over(w.rowsBetween(*_BEFORE)))
+    leads = F.col("_met").isNull() | (F.col("_r") <= F.col("_met"))
+    numbered = met.withColumns({"_leads": leads, "_slot": F.sum(leads.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    lead_trip = F.last(F.when(F.col("_leads"), F.struct(_c("gtfs:trip").alias("trip"))), ignorenulls=True).over(w.rowsBetween(*_BEFORE))
+    led = numbered.withColumn("_prev", F.when(F.col("_leads"), lead_trip))
+    # A lead takes up the one before it if its rank is lower, and all that follow until the next lead.
+    part = Window.partitionBy(*groups, "_slot").orderBy(F.col("_id").desc(), F.col("_ord")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = F.when(~F.col("_leads"), F.struct(_c("gtfs:trip").alias("trip"), (F.col("_r") - F.col("_met") >= F.when(F.col("_met") % 2 == 1, 1).otherwise(2)).alias("joined")))
+    taken = led.withColumn("_taken", F.collect_list(over).over(part)).where("_leads")
+    took = F.col("_r") < F.col("_met")
+    by_pickup = F.floor(F.col("_met") / 2) > F.floor(F.col("_r") / 2)
+    of = lambda joined: F.transform(F.filter("_taken", lambda t: t["joined"] == joined), lambda t: t["trip"])
     none = F.array().cast("array<string>")
-    first = lambda x, slot: F.struct(x["row"].alias("row"), none.alias("joined"), none.alias("split"), slot.alias("slot"))
-    na = lambda r, f: F.coalesce(r["row"].getField(f) == NOT_AVAILABLE, F.lit(False))
-
-    def step(acc: Column, x: Column) -> Column:
-        prev, slot = acc["prev"], acc["n"]
-        cur = first(x, slot)
-        into = lambda host, other, field: F.struct(
-            host["row"].alias("row"),
-            (F.concat(host["joined"], F.array(other["row"].getField("gtfs:trip"))) if field == "joined" else host["joined"]).alias("joined"),
-            (F.concat(host["split"], F.array(other["row"].getField("gtfs:trip"))) if field == "split" else host["split"]).alias("split"),
-            slot.alias("slot"),
-        )
-        merged = (
-            F.when(prev.isNull(), F.lit(None))
-            .when(na(cur, "gtfs:pickupType") & ~na(prev, "gtfs:pickupType"), into(prev, cur, "joined"))
-            .when(na(prev, "gtfs:pickupType") & ~na(cur, "gtfs:pickupType"), into(cur, prev, "joined"))
-            .when(na(cur, "gtfs:dropOffType") & ~na(prev, "gtfs:dropOffType"), into(prev, cur, "split"))
-            .when(na(prev, "gtfs:dropOffType") & ~na(cur, "gtfs:dropOffType"), into(cur, prev, "split"))
-        )
-        out = F.when(prev.isNull() | merged.isNotNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(prev.cast(item))))
-        return F.struct(out.alias("out"), F.coalesce(merged.cast(item), cur.cast(item)).alias("prev"), (slot + 1).alias("n"))
-
-    start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.lit(None).cast(item).alias("prev"), F.lit(0).alias("n"))
-    folded = F.aggregate("_rows", start, step, lambda acc: F.concat(acc["out"], F.array(acc["prev"])))
-    nothing = lambda a: F.when(F.size(a) > 0, a)
-    single = groups.where(F.size("_rows") == 1).select(F.get("_rows", F.lit(0))["row"].alias("row"))
-    single = single.select("row.*", F.lit(None).cast("array<string>").alias("joinedWithTrip"), F.lit(None).cast("array<string>").alias("willSplitInto"), F.lit(0).alias("_slot"))
-    many = groups.where(F.size("_rows") > 1).select(F.explode(folded).alias("_m"))
-    many = many.select("_m.row.*", nothing(F.col("_m.joined")).alias("joinedWithTrip"), nothing(F.col("_m.split")).alias("willSplitInto"), F.col("_m.slot").alias("_slot"))
-    return single.unionByName(many)
-
-
-def _ahead(start: int, *tie: Column) -> Window:
-    """Rows of a trip from `start` places on in time, ties ordered by `tie`."""
-    return Window.partitionBy("_trip").orderBy("_pos", *tie).rowsBetween(start, Window.unboundedFollowing)
-
-
-def link_next(df: DataFrame) -> DataFrame:
-    """Adds `nextConnection` to folded rows (with `_ord` and `_slot`).
-
-    `_pos` orders rows in time, opposite to the order of processing; in one movement
-    earlier slots are later. The next connection of the same trip comes from a window;
-    continuations in other trips are as-of joins, each a union of probes and rows and
-    one window by trip.
+    first = lambda when: F.when(took & when, F.array("_prev.trip")).otherwise(none)
+    some = lambda a: F.when(F.size(a) > 0, a)
+    kept = F.lead("_r").over(Window.partitionBy(*groups).orderBy("_slot"))
+    out = taken.withColumn("_next_r", kept).where(F.col("_next_r").isNull() | (F.col("_next_r") == F.col("_r")))
+    lists = {"joinedWithTrip": some(F.concat(first(by_pickup), of(True))), "willSplitInto": some(F.concat(first(~by_pickup), of(False)))}
+    return out.withColumns(lists).drop(*groups, "_id", "_r", "_met", "_leads", "_prev", "_taken", "_next_r")
+
+
+def _position() -> Column:
+    """Where a folded row stands in time, the opposite of the order of processing; in one movement earlier slots are later."""
+    return F.struct(*[or_empty(_c(k)).alias(f"k{i}") for i, k in enumerate(MOVEMENT)], (-F.col("_slot")).alias("s"))
+
+
+def trip_events(folded: DataFrame) -> DataFrame:
+    """A row per event of a trip (`_trip`): each row in its own (`_e` 2), and in the trips it takes up, `_e` 0 where it joins one, 1 where it splits.
+
+    What an event finds, looking ahead in time within its trip, comes from one window:
+    `_next` the nearest connection of the trip and `_host` the nearest trip that joined it.
+    """
+    own = _c("gtfs:trip")
+    event = lambda kind, trip, k: F.struct(F.lit(kind).alias("_e"), trip.alias("_trip"), k.cast("int").alias("_k"))
+    listed = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t, k: event(kind, t, k))
+    events = F.concat(F.array(event(2, own, F.lit(0))), listed(0, F.col("joinedWithTrip")), listed(1, F.col("willSplitInto")))
+    flat = folded.withColumn("_pos", _position()).select("*", F.inline(events))
+    ahead = Window.partitionBy("_trip").orderBy(F.col("_pos").desc(), "_e", "_k").rowsBetween(*_BEFORE)
+    connection = F.when(F.col("_e") == 2, F.struct(_c("@id").alias("id"), F.col("willSplitInto").isNotNull().alias("splits")))
+    host = F.when(F.col("_e") == 0, F.struct(own.alias("trip")))
+    return flat.withColumns({"_next": F.last(connection, ignorenulls=True).over(ahead), "_host": F.last(host, ignorenulls=True).over(ahead)}).where("_e > 0")
+
+
+def link_next(folded: DataFrame) -> DataFrame:
+    """Adds `nextConnection` to folded rows: the next one of the trip, of the trips it splits into, or else of the trip that joined it.
+
+    The rows with what they find in their trip are written once; the second look, into
+    the joining trip, and the way back of what splits found are narrow and mostly few rows.
     """
-    trip = _c("gtfs:trip")
-    position = F.struct(*[or_empty(_c(k)).alias(f"k{i}") for i, k in enumerate(MOVEMENT)], (-F.col("_slot")).alias("s"))
-    rows = df.withColumns({"_pos": position, "_row": F.col("_ord"), "_trip": trip})
-    following = F.lead(F.struct(_c("@id").alias("id"), F.col("willSplitInto").alias("split"))).over(Window.partitionBy("_trip").orderBy("_pos"))
-    own = rows.withColumn("_next", following)
-    no = lambda kind: F.lit(None).cast(kind)
-
-    def next_of(probes: DataFrame) -> DataFrame:
-        """(_row, _k, _id): for each probe (_trip, _pos, _row, _k) the trip's nearest connection strictly later."""
-        entries = rows.select("_trip", "_pos", no("bigint").alias("_row"), no("int").alias("_k"), _c("@id").alias("_id"))
-        both = entries.unionByName(probes.select("_trip", "_pos", "_row", "_k", no("string").alias("_id")))
-        found = F.first("_id", ignorenulls=True).over(_ahead(1, F.col("_row").asc_nulls_first()))
-        return both.withColumn("_id", found).where(F.col("_row").isNotNull() & F.col("_id").isNotNull()).select("_row", "_k", "_id")
-
-    splits = own.where(F.col("_next").isNotNull() & F.col("_next.split").isNull() & F.col("willSplitInto").isNotNull())
-    splits = splits.select("_row", "_pos", F.posexplode("willSplitInto").alias("_k", "_trip"))
-    split_ids = next_of(splits).groupBy(F.col("_row").alias("_r1")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_id"))), lambda x: x["_id"]).alias("_splits"))
-
-    ends = own.where(F.col("_next").isNull()).select("_trip", "_pos", "_row", no("string").alias("_host"))
-    hosts = rows.where(F.col("joinedWithTrip").isNotNull()).select(F.explode("joinedWithTrip").alias("_trip"), "_pos", no("bigint").alias("_row"), trip.alias("_host"))
-    # A host at the probe's own place counts, so probes stand before hosts of the same place.
-    nearest = F.first("_host", ignorenulls=True).over(_ahead(0, F.col("_row").asc_nulls_last()))
-    hosted = ends.unionByName(hosts).withColumn("_host", nearest).where(F.col("_row").isNotNull() & F.col("_host").isNotNull())
-    host_ids = next_of(hosted.select(F.col("_host").alias("_trip"), "_pos", "_row", F.lit(0).alias("_k"))).select(F.col("_row").alias("_r2"), F.array("_id").alias("_hosts"))
-
-    linked = own.join(split_ids, F.col("_row") == F.col("_r1"), "left").join(host_ids, F.col("_row") == F.col("_r2"), "left")
-    nexts = F.when(F.col("_next").isNotNull(), F.concat(F.array("_next.id"), F.coalesce("_splits", F.array().cast("array<string>")))).otherwise(F.col("_hosts"))
-    return linked.withColumn("nextConnection", nexts).drop("_pos", "_row", "_trip", "_next", "_r1", "_r2", "_splits", "_hosts", "joinedWithTrip", "willSplitInto")
+    found = checkpointed(trip_events(folded))
+    own = found.where("_e = 2")
+    split = found.where(F.col("_e") == 1).where(F.col("_next").isNotNull()).select("_ord", "_k", F.col("_next.id").alias("_id"))
+    lost = own.where(F.col("_next").isNull() & (F.col("_host.trip") != "")).select(F.col("_host.trip").alias("_trip"), "_pos", F.col("_ord").alias("_from"), F.lit(None).cast("string").alias("_id"))
+    entries = own.select("_trip", "_pos", F.lit(None).cast("bigint").alias("_from"), _c("@id").alias("_id"))
+    ahead = Window.partitionBy("_trip").orderBy(F.col("_pos").desc(), F.col("_from").asc_nulls_last()).rowsBetween(*_BEFORE)
+    hosted = entries.unionByName(lost).withColumn("_id", F.last("_id", ignorenulls=True).over(ahead)).where(F.col("_from").isNotNull() & F.col("_id").isNotNull())
+    further = split.unionByName(hosted.select(F.col("_from").alias("_ord"), F.lit(-1).alias("_k"), "_id"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_k") >= 0, F.struct("_k", "_id"))))
+    ids = further.groupBy(F.col("_ord").alias("_o")).agg(F.transform(listed, lambda x: x["_id"]).alias("_ids"), F.max(F.when(F.col("_k") < 0, F.col("_id"))).alias("_at_host"))
+    next_ = F.col("_next")
+    splits = F.when(F.col("willSplitInto").isNotNull() & ~next_["splits"], F.col("_ids"))
+    nexts = F.when(next_.isNotNull(), F.concat(F.array(next_["id"]), F.coalesce(splits, F.array().cast("array<string>")))).otherwise(F.when(F.col("_at_host").isNotNull(), F.array("_at_host")))
+    linked = own.join(ids, F.col("_ord") == F.col("_o"), "left").withColumn("nextConnection", nexts)
+    return linked.drop("_pos", "_e", "_trip", "_k", "_next", "_host", "_o", "_ids", "_at_host", "joinedWithTrip", "willSplitInto")
 
 
 def join_and_sort(df: DataFrame) -> DataFrame:
-    """Merged, linked and sorted connections. `_ord` is the order of the input's rows; without it, of its files."""
+    """Merged, linked and sorted connections. `_ord` numbers the input's rows; without it, in the order of its files."""
     df = df if "_ord" in df.columns else df.withColumn("_ord", F.monotonically_increasing_id())
     linked = link_next(merge_movements(df))
     return linked.orderBy(*[or_empty(_c(k)) for k in ORDER], "_slot").drop("_ord", "_slot")

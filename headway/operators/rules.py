@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from headway.functions.text import or_empty, some
 from headway.operators.service_calendar import last_wins, with_order
 
+#: Leading characters of a trip id that name its block when trips are numbered.
+BLOCK = 11
+
 
 def sequence_number(c: str = "stop_sequence") -> Column:
     return F.col(c).try_cast("double")
@@ -17,16 +20,19 @@ def stop_pairs(stop_times: DataFrame) -> DataFrame:
     """Each stop time with its predecessor in the trip and the trip's first departure.
 
     Order within a trip is the sequence number, then the rows' order. A pair into a stop
-    without any time is dropped, after it has served as a predecessor.
+    without any time is dropped, after it has served as a predecessor. Columns a feed
+    may leave out (pickup and drop-off type) count as empty. Rows of one trip id are one
+    window, which spills; a trip is a vehicle run.
     """
+    text = lambda c: or_empty(c) if c in stop_times.columns else F.lit("")
     df = with_order(stop_times).withColumn("_seq", sequence_number())
     by_trip = Window.partitionBy("trip_id").orderBy(F.col("_seq").asc_nulls_first(), "_ord")
     upto = by_trip.rowsBetween(Window.unboundedPreceding, 0)
     pairs = df.select(
         "trip_id", "_seq", "_ord",
         F.col("stop_id").alias("arrival_stop_id"), or_empty("arrival_time").alias("arrival_dfm"), or_empty("departure_time").alias("_leaves"),
-        or_empty("drop_off_type").alias("drop_off_type"), F.col("stop_sequence"),
-        F.lag(F.struct(F.col("stop_id"), or_empty("departure_time").alias("departure_time"), or_empty("pickup_type").alias("pickup_type"))).over(by_trip).alias("_prev"),
+        text("drop_off_type").alias("drop_off_type"), F.col("stop_sequence"),
+        F.lag(F.struct(F.col("stop_id"), or_empty("departure_time").alias("departure_time"), text("pickup_type").alias("pickup_type"))).over(by_trip).alias("_prev"),
         F.first(or_empty("departure_time")).over(upto).alias("trip_start_dfm"),
     )
     kept = pairs.where(F.col("_prev").isNotNull() & ~((F.col("arrival_dfm") == "") & (F.col("_leaves") == "")))
@@ -47,55 +53,79 @@ def _required(struct: str, what: str, key: str, strict: bool) -> Column:
     return F.when(F.col(struct).isNull(), F.raise_error(F.concat(F.lit(f"Missing {what}: "), or_empty(key)))).otherwise(F.col(struct))
 
 
+def code_or_id(code: Column, stop_id: Column) -> Column:
+    """A stop's code, or its id where it has none."""
+    return F.coalesce(some(code), stop_id)
+
+
 def rule_key(long_name: Column, short_name: Column, dep: Column, arr: Column, start: Column, leaves: Column, arrives: Column, pickup: Column, drop: Column) -> Column:
     """A rule's content as text, free of ids of trips and services, stable from feed to feed."""
     bare = F.regexp_replace(or_empty(long_name), r"(?U)[\s﻿]", "")
     return F.concat_ws("/", bare, *[or_empty(c) for c in (short_name, dep, arr, start, leaves, arrives, pickup, drop)])
 
 
+def _dimension(table: DataFrame, key: str, name: str) -> DataFrame:
+    """(_name, name): one row per key, packed into a struct of the table's own columns."""
+    columns = [c for c in table.columns if c != "_ord"]
+    return last_wins(table, key).select(F.col(key).alias(f"_{name}"), F.struct(*columns).alias(name))
+
+
+def _with_dimensions(pairs: DataFrame, stops: DataFrame, trips: DataFrame, routes: DataFrame, how: str) -> DataFrame:
+    """Pairs with their trip, stops and route; sides carry no hints, statistics and adaptive execution decide."""
+    stop = _dimension(stops, "stop_id", "stop")
+    return (
+        pairs.join(_dimension(trips, "trip_id", "trip"), F.col("trip_id") == F.col("_trip"), how)
+        .join(stop.withColumnsRenamed({"_stop": "_dep", "stop": "departure_stop"}), F.col("departure_stop_id") == F.col("_dep"), how)
+        .join(stop.withColumnsRenamed({"_stop": "_arr", "stop": "arrival_stop"}), F.col("arrival_stop_id") == F.col("_arr"), how)
+        .join(_dimension(routes, "route_id", "route"), F.col("trip.route_id") == F.col("_route"), how)
+    )
+
+
 def rules(stop_times: DataFrame, stops: DataFrame, trips: DataFrame, routes: DataFrame, service_dates: DataFrame, strict: bool = False) -> DataFrame:
     """One rule per stop pair, joined to its dimensions before any date is expanded.
 
-    Dimensions are packed into structs of their actual columns. Their sides are joined
-    without hints: statistics decide, and adaptive execution turns small ones into
-    broadcasts. A missing dimension row drops the rule, or with `strict` fails the job.
+    Dimensions are packed into structs of their actual columns. With `strict` a missing
+    dimension row fails the job, and names it; else it drops the rule, and
+    `dropped_pairs` tells which and why. Rows without a trip id have no trip: without
+    `strict` they are left out before anything is sorted.
     """
-    packed = {}
-    for name, table, key in (("stop", stops, "stop_id"), ("trip", trips, "trip_id"), ("route", routes, "route_id")):
-        columns = [c for c in table.columns if c != "_ord"]
-        packed[name] = (columns, last_wins(table, key).select(F.col(key).alias(f"_{name}"), F.struct(*columns).alias(name)))
-    stop_names, stop = packed["stop"]
-    trip_names, trip = packed["trip"]
-    route_names, route = packed["route"]
-    how = "left" if strict else "inner"
-    joined = (
-        stop_pairs(stop_times)
-        .join(trip, F.col("trip_id") == F.col("_trip"), how)
-        .join(stop.withColumnsRenamed({"_stop": "_dep", "stop": "departure_stop"}), F.col("departure_stop_id") == F.col("_dep"), how)
-        .join(stop.withColumnsRenamed({"_stop": "_arr", "stop": "arrival_stop"}), F.col("arrival_stop_id") == F.col("_arr"), how)
-        .join(route, F.col("trip.route_id") == F.col("_route"), how)
-        .join(service_dates.withColumnRenamed("service_id", "_service"), F.col("trip.service_id") == F.col("_service"), "left")
+    names = {"stop": stops.columns, "trip": trips.columns, "route": routes.columns}
+    st = stop_times.where(or_empty("trip_id") != "") if not strict else stop_times.withColumn(
+        "trip_id", F.when(or_empty("trip_id") == "", F.raise_error(F.lit("Missing trip: "))).otherwise(F.col("trip_id"))
     )
+    joined = _with_dimensions(stop_pairs(st), stops, trips, routes, "left" if strict else "inner")
+    joined = joined.join(service_dates.withColumnRenamed("service_id", "_service"), F.col("trip.service_id") == F.col("_service"), "left")
     if strict:
         joined = joined.withColumns({
             "trip": _required("trip", "trip", "trip_id", strict), "departure_stop": _required("departure_stop", "stop", "departure_stop_id", strict),
-            "arrival_stop": _required("arrival_stop", "stop", "arrival_stop_id", strict), "route": _required("route", "route", "trip_id", strict),
+            "arrival_stop": _required("arrival_stop", "stop", "arrival_stop_id", strict), "route": _required("route", "route", "trip.route_id", strict),
         })
-    code = lambda side: F.coalesce(some(_field(side, stop_names, "stop_code")), F.col(f"{side}.stop_id"))
+    code = lambda side: code_or_id(_field(side, names["stop"], "stop_code"), F.col(f"{side}.stop_id"))
     signs = lambda side: F.coalesce(
-        some(_field(side, stop_names, "stop_headsign")), some(_field("trip", trip_names, "trip_headsign")), some(_field("route", route_names, "route_long_name"))
+        some(_field(side, names["stop"], "stop_headsign")), some(_field("trip", names["trip"], "trip_headsign")), some(_field("route", names["route"], "route_long_name"))
     )
     key = rule_key(
-        _field("route", route_names, "route_long_name"), _field("trip", trip_names, "trip_short_name"), code("departure_stop"), code("arrival_stop"),
+        _field("route", names["route"], "route_long_name"), _field("trip", names["trip"], "trip_short_name"), code("departure_stop"), code("arrival_stop"),
         F.col("trip_start_dfm"), F.col("departure_dfm"), F.col("arrival_dfm"), F.col("pickup_type"), F.col("drop_off_type"),
     )
     return joined.select(
         key.alias("rule_key"), "trip", "route", "departure_stop", "arrival_stop", "departure_dfm", "arrival_dfm", "trip_start_dfm", "pickup_type", "drop_off_type",
-        signs("arrival_stop").alias("headsign"), some(_field("departure_stop", stop_names, "stop_headsign")).alias("previous_headsign"), "stop_sequence",
+        signs("arrival_stop").alias("headsign"), some(_field("departure_stop", names["stop"], "stop_headsign")).alias("previous_headsign"), "stop_sequence",
         F.coalesce("service_dates", F.array().cast("array<date>")).alias("service_dates"), "trip_id", "_seq", "_ord",
     )
 
 
+def dropped_pairs(stop_times: DataFrame, stops: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """(trip_id, stop_sequence, _ord, missing, key): the stop pairs that give no rule, with the first dimension row they lack.
+
+    `missing` is trip, departure_stop, arrival_stop or route, in this order.
+    """
+    joined = _with_dimensions(stop_pairs(stop_times.where(or_empty("trip_id") != "")), stops, trips, routes, "left")
+    lacks = [("trip", "_trip", "trip_id"), ("departure_stop", "_dep", "departure_stop_id"), ("arrival_stop", "_arr", "arrival_stop_id"), ("route", "_route", "trip.route_id")]
+    first = F.coalesce(*[F.when(F.col(found).isNull(), F.struct(F.lit(name).alias("missing"), or_empty(key).alias("key"))) for name, found, key in lacks])
+    return joined.select("trip_id", "stop_sequence", "_ord", first.alias("_lack")).where(F.col("_lack").isNotNull()).select("trip_id", "stop_sequence", "_ord", "_lack.*")
+
+
 def fresh_pairs(rule_rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """(trip_id, _seq, _ord, rule_key, service_date): the first rule of each (key, date), unless in the history.
 
@@ -114,7 +144,8 @@ def new_rules(rule_rows: DataFrame, history: DataFrame | None = None, keep_datel
     """Rules with the dates not given before, by this or an earlier rule of equal content.
 
     A rule whose key was never seen stays even without dates, once, as long as
-    `keep_dateless`.
+    `keep_dateless`. `rule_rows` is read twice, whole and for its narrow keys; callers
+    that build it at some cost write it once first (`sources.tables.checkpointed`).
     """
     pairs = fresh_pairs(rule_rows, history).groupBy(F.col("trip_id").alias("_t"), F.col("_seq").alias("_s"), F.col("_ord").alias("_o")).agg(
         F.array_sort(F.collect_list("service_date")).alias("_dates")
@@ -134,3 +165,19 @@ def new_rules(rule_rows: DataFrame, history: DataFrame | None = None, keep_datel
 def history_of(rule_rows: DataFrame) -> DataFrame:
     """(rule_key, service_date, type), to be appended to the history after the output is written."""
     return rule_rows.select("rule_key", F.explode("service_dates").alias("service_date"), F.lit("Connection").alias("type"))
+
+
+def deal_trips(stop_times: DataFrame, shards: int) -> DataFrame:
+    """`stop_times` with `shard`: trips dealt out in turn in the order of their ids, none split. NULL is a trip id like others.
+
+    Trips are numbered through sorted blocks: ranks within a block of ids with equal
+    leading hash bits would not keep their order, so blocks are ranges of the ids'
+    first characters with their counts summed up before. The sums are a row per block.
+    """
+    trips = stop_times.select("trip_id").distinct().withColumn("_block", F.substring(or_empty("trip_id"), 1, BLOCK))
+    counts = trips.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    at = F.row_number().over(Window.partitionBy("_block").orderBy(F.col("trip_id").asc_nulls_first())) - 1
+    numbered = trips.withColumn("_at", at).join(starts, F.col("_block") == F.col("_b"))
+    dealt = numbered.select(F.col("trip_id").alias("_t"), ((F.col("_start") + F.col("_at")) % shards).cast("int").alias("shard"))
+    return stop_times.join(dealt, F.col("trip_id").eqNullSafe(F.col("_t"))).drop("_t")

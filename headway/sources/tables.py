@@ -1,4 +1,4 @@
-"""Parquet tables of a data directory, and where jobs may keep checkpoints."""
+"""Parquet tables of a data directory, and data written once for several uses."""
 
 from __future__ import annotations
 
@@ -13,16 +13,16 @@ def table(spark: SparkSession, directory: str, name: str, *columns: str) -> Data
     return df.select(*columns) if columns else df
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, computed now and kept in the shared folder named by spark.checkpoint.dir, partitioned as it is.
 
-    Only where the session names none (local tests) a temporary folder of this
-    machine is set, once per session.
+    What follows reads it from there, however often, and survives the loss of executors.
+    Only where the session names no folder (local tests) one of this machine is set.
     """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="headway-")
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="headway-"))
+    return df.checkpoint()
