@@ -29,25 +29,26 @@ DEFAULT_RESOLVE = {"depStop": "connection.departureStop.stop_id"}
 SAME_LETTERS = set("yMdHhmsSaE")
 RENAMED = {"iiii": "EEEE", "iii": "EEE"}
 
-_ROOTS = ("connection", "trips", "routes", "stops")
-_PATH = rf"(?:{'|'.join(_ROOTS)})(?:\.[A-Za-z_$][\w$]*)+"
+#: Tables that names may start from, and what they are called in a row of connections.
+ROOTS = {"connection": "connection", "trips": "trip", "routes": "route", "stops": "stop"}
 
 
 @dataclass(frozen=True)
 class Templates:
-    """URI templates with their resolvers. Given templates alone leave `resolve` empty."""
+    """URI templates with their resolvers, and the vocabulary of connections. Given templates alone leave `resolve` empty."""
 
     stop: str = DEFAULTS["stop"]
     route: str = DEFAULTS["route"]
     trip: str = DEFAULTS["trip"]
     connection: str = DEFAULTS["connection"]
     resolve: dict[str, str] = field(default_factory=lambda: dict(DEFAULT_RESOLVE))
+    vocabulary: str = "http://example.org/ns/connections#"
 
     @classmethod
     def of(cls, config: dict | None) -> Templates:
         if config is None:
             return cls()
-        given = {k: config[k] for k in DEFAULTS if isinstance(config.get(k), str)}
+        given = {k: config[k] for k in (*DEFAULTS, "vocabulary") if isinstance(config.get(k), str)}
         return cls(**given, resolve=dict(config.get("resolve") or {}))
 
 
@@ -97,40 +98,77 @@ class Compiler:
         return F.concat(*pieces) if pieces else F.lit("")
 
     def variable(self, name: str, roots: dict[str, object]) -> Column:
+        """A place's value: its resolver's, else a table's column; instants need a date pattern, stops stand for their ids."""
         if name in self.templates.resolve:
             return self.resolver(self.templates.resolve[name], roots)
-        source, *rest = name.split(".")
-        attribute = rest[0] if rest else ""
-        timed = re.match(r"(startTime|departureTime|arrivalTime)", attribute)
-        if source == "trips" and timed or source == "connection" and timed:
-            pattern = re.search(r"\((.*?)\)", attribute)
-            if not pattern:
+        table, _, rest = name.partition(".")
+        column = rest.partition(".")[0]
+        plain, _, pattern = column.partition("(")
+        for stem, kind in SPECIAL.get(table, {}).items():
+            if not plain.startswith(stem):
+                continue
+            if kind == "stop":
+                return self.path([table, stem, "stop_id"], roots)
+            if not pattern.endswith(")"):
                 raise ValueError(f"No date pattern in {{{name}}}")
-            return local_text(self.path(f"{source}.{timed.group(1)}", roots), self.timezone, java_pattern(pattern.group(1)))
-        if source == "connection" and attribute.startswith(("departureStop", "arrivalStop")):
-            side = "departureStop" if attribute.startswith("departureStop") else "arrivalStop"
-            return self.path(f"connection.{side}.stop_id", roots)
-        return self.path(f"{source}.{attribute}", roots) if source in _ROOTS else F.lit(None).cast("string")
+            return local_text(self.path([table, stem], roots), self.timezone, java_pattern(pattern[:-1]))
+        return self.path([table, column], roots)
 
     def resolver(self, expression: str, roots: dict[str, object]) -> Column:
-        plain = expression.strip().removesuffix(";")
-        if m := re.fullmatch(rf"format\(({_PATH}),\s*(['\"])(.*?)\2\)", plain):
-            return local_text(self.path(m.group(1), roots), self.timezone, java_pattern(m.group(3)))
-        if m := re.fullmatch(rf"({_PATH})\.substring\((\d+)(?:,\s*(\d+))?\)", plain):
-            return substring(self.path(m.group(1), roots).cast("string"), int(m.group(2)), int(m.group(3)) if m.group(3) else None)
-        if re.fullmatch(_PATH, plain):
-            return self.path(plain, roots)
+        """A resolver's value, if its tokens are those of one of the three forms."""
+        form = _scan(expression)
+        match form:
+            case ["format", "(", list(path), ",", str(text), ")"] if text[0] in "'\"":
+                return local_text(self.path(path, roots), self.timezone, java_pattern(text[1:-1]))
+            case [list([*path, "substring"]), "(", int(start), ")"] if len(path) > 1:
+                return substring(self.path(path, roots).cast("string"), start, None)
+            case [list([*path, "substring"]), "(", int(start), ",", int(end), ")"] if len(path) > 1:
+                return substring(self.path(path, roots).cast("string"), start, end)
+            case [list(path)]:
+                return self.path(path, roots)
         raise ValueError(f"Unsupported base URI resolver expression: {expression}")
 
     @staticmethod
-    def path(path: str, roots: dict[str, object]) -> Column:
-        root, *names = path.split(".")
-        at = roots.get({"trips": "trip", "routes": "route", "stops": "stop"}.get(root, root))
-        for name in names:
+    def path(names: list[str], roots: dict[str, object]) -> Column:
+        at = roots.get(ROOTS.get(names[0], ""))
+        for name in names[1:]:
             at = at.get(name) if isinstance(at, dict) else None
         return at if isinstance(at, Column) else F.lit(None).cast("string")
 
 
+#: Columns that aren't given as they are: instants by a pattern, stops by their id.
+SPECIAL = {"trips": {"startTime": "time", "departureTime": "time", "arrivalTime": "time"}, "connection": {"startTime": "time", "departureTime": "time", "arrivalTime": "time", "departureStop": "stop", "arrivalStop": "stop"}}
+
+
+def _scan(expression: str) -> list | None:
+    """An expression's tokens: dotted names from a table as lists, numbers, quoted texts and signs; None where anything else occurs."""
+    tokens, rest = [], expression.strip().removesuffix(";").strip()
+    while rest:
+        if rest[0] in "(),":
+            tokens.append(rest[0])
+            rest = rest[1:]
+        elif rest[0] in "'\"":
+            end = rest.find(rest[0], 1)
+            if end < 0:
+                return None
+            tokens.append(rest[: end + 1])
+            rest = rest[end + 1 :]
+        else:
+            word = rest[: next((i for i, c in enumerate(rest) if not (c.isalnum() and c.isascii() or c in "_$.")), len(rest))]
+            names = word.split(".")
+            if word.isdigit():
+                tokens.append(int(word))
+            elif word == "format":
+                tokens.append(word)
+            elif len(names) > 1 and names[0] in ROOTS and all(n and not n[0].isdigit() for n in names):
+                tokens.append(names)
+            else:
+                return None
+            rest = rest[len(word) :]
+        rest = rest.lstrip()
+    return tokens
+
+
 def row_roots(df) -> dict[str, object]:
     """The roots of a connections DataFrame, from its actual columns."""
     from pyspark.sql import types as T

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import shutil
+import signal
 import sys
 import tempfile
+import threading
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +21,8 @@ from headway.operators import connections as cx
 from headway.operators import linking, rules
 from headway.operators import service_calendar as cal
 from headway.sources import feed as feeds
-from headway.sources import sinks
+from headway.sources import catalog, sinks
+from headway.sources.tables import checkpointed
 
 
 def feed_rules(feed: feeds.Feed, history: DataFrame | None = None, strict: bool = False, bounds: tuple[str, str] | None = None) -> DataFrame:
@@ -25,25 +31,35 @@ def feed_rules(feed: feeds.Feed, history: DataFrame | None = None, strict: bool
     if bounds:
         calendar, dates = cal.constrain_calendar(calendar, *bounds), cal.constrain_dates(dates, *bounds)
     found = rules.rules(feed.stop_times, feed.stops, feed.trips, feed.routes, cal.service_dates(calendar, dates), strict)
-    return rules.new_rules(found, history)
+    return rules.new_rules(checkpointed(found), history)
 
 
 def convert(spark: SparkSession, source: str, target: str, fmt: str = "json", base_uris: dict | None = None, compressed: bool = False, fresh: bool = False,
-            timezone: str = "UTC", workers: int | None = None, strict: bool = False, bounds: tuple[str, str] | None = None, store: str = "MemStore") -> str:
-    """Converts a local feed to one file and returns its name. What earlier runs gave is left out, unless `fresh`."""
+            timezone: str = "UTC", workers: int | None = None, strict: bool = True, bounds: tuple[str, str] | None = None, store: str = "MemStore") -> str:
+    """Converts a feed to one file in `target` and returns its name. What earlier runs gave is left out, unless `fresh`.
+
+    With `strict` a missing dimension row or an unusable time fails the conversion; else
+    such rules are left out, and listed in `dropped.parquet`. `target` must be a folder
+    that all executors see. Rules are written once to the checkpoint folder; output and
+    history come from there, and nothing else stays behind.
+    """
     if store not in feeds.STORES:
         raise ValueError(f"Unsupported store: {store}")
     fmt = config.normalise_format(fmt)
-    history_path = Path(target) / "history.parquet"
-    known = None if fresh or not history_path.exists() else spark.read.parquet(str(history_path))
-    new = feed_rules(feeds.read_feed(spark, source), known, strict, bounds)
-    if workers:
-        new = new.repartition(workers, "trip_id")
-    written = Path(target) / "rules.parquet"  # cuts the lineage: output and history come from the same rules
-    new.write.mode("overwrite").parquet(str(written))
-    new = spark.read.parquet(str(written))
-    out = sinks.write_single(fmt, cx.connections(new, timezone, strict), target, Templates.of(base_uris), timezone, compressed)
-    sinks.append_history(rules.history_of(new), str(history_path), fresh)
+    history_path = f"{target}/history.parquet"
+    known = None if fresh else sinks.read_history(spark, history_path)
+    feed = feeds.read_feed(spark, source).stored(store)
+    try:
+        new = feed_rules(feed, known, strict, bounds)
+        if workers is not None:
+            new = new.repartition(config.worker_count(workers), "trip_id")
+        new = checkpointed(new)
+        out = sinks.write_single(fmt, cx.connections(new, timezone, strict), target, Templates.of(base_uris), timezone, compressed)
+        if not strict:
+            rules.dropped_pairs(feed.stop_times, feed.stops, feed.trips, feed.routes).write.mode("overwrite").parquet(f"{target}/dropped.parquet")
+        sinks.append_history(rules.history_of(new), history_path, fresh)
+    finally:
+        feed.released()
     return out
 
 
@@ -59,6 +75,28 @@ def window_build(spark: SparkSession, source: str, target: str, start: str | Non
     return convert(spark, source, target, timezone=timezone, bounds=(config.compact(first), config.compact(last)), fresh=True, **options)
 
 
+def set_up(spark: SparkSession, query: str, directory: str, ask: Callable[[str], str] = input, search: Callable[[str], list[dict]] | None = None) -> dict:
+    """Asks for a feed of the catalogue and for the templates of its URIs, shows an example, and saves the configuration once it is agreed to."""
+    found = (search or (lambda q: catalog.search(q, catalog.access_token())))(query)
+    for i, feed in enumerate(found, 1):
+        print(f"{i}. {config.feed_label(feed)}")
+    choice = ask("Number of the feed: ") if len(found) > 1 else "1"
+    if not choice.isdigit() or not 1 <= int(choice) <= len(found):
+        raise ValueError(f"There is no feed {choice}")
+    feed = found[int(choice) - 1]
+    url = catalog.feed_url(feed, ask("Address of the archive (empty: as in the catalogue): ").strip() or None)
+    uris = config.recommended_uris(config.validate_namespace(ask("Namespace of the URIs: ").strip()))
+    for name in ("stop", "route", "trip", "connection"):
+        uris[name] = ask(f"Template {name} (empty: {uris[name]}): ").strip() or uris[name]
+    config.validate_templates(uris)
+    for name, uri in config.preview_uris(spark, uris).items():
+        print(f"{name}: {uri}")
+    if ask("Save and build? (y/n) ").strip().lower() not in ("y", "yes"):
+        raise ValueError("Nothing was saved")
+    agency = feed.get("provider") or feed.get("feed_name") or "agency"
+    return json.loads(Path(config.write_configuration(directory, agency, feed, url, uris)).read_text())
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="headway")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -74,6 +112,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-s", "--stream", action="store_true")
     p.add_argument("-S", "--store", default="MemStore")
     p.add_argument("--fresh", action="store_true")
+    p.add_argument("--skip-missing", action="store_true")
     p = commands.add_parser("clean")
     p.add_argument("path")
     p.add_argument("target")
@@ -81,20 +120,27 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("file")
     p = commands.add_parser("window-build", parents=[common])
     p.add_argument("path")
-    p.add_argument("--start")
-    p.add_argument("--days", default="7")
+    p.add_argument("--start", default=os.environ.get("HEADWAY_START"))
+    p.add_argument("--days", default=os.environ.get("HEADWAY_DAYS", "7"))
     p = commands.add_parser("build", parents=[common])
     p.add_argument("query")
     p.add_argument("--config-dir", default="config")
     a = parser.parse_args(argv)
+    if threading.current_thread() is threading.main_thread():
+        signal.signal(signal.SIGTERM, lambda *_: sys.exit(143))  # so that temporary folders are removed
     try:
         if hasattr(a, "format"):
             a.format = config.normalise_format(a.format)
         spark = SparkSession.builder.appName("headway").getOrCreate()
         uris = json.loads(Path(a.base_uris).read_text()) if getattr(a, "base_uris", None) else None
         if a.command == "convert":
-            name = convert(spark, a.path, a.output, a.format, uris, a.compressed, a.fresh, a.timezone, a.workers, store=a.store)
-            sys.stdout.write(Path(name).read_text() if a.stream and not a.compressed else f"{name}\n")
+            name = convert(spark, a.path, a.output, a.format, uris, a.compressed, a.fresh, a.timezone, a.workers, not a.skip_missing, store=a.store)
+            if a.stream:
+                with Path(name).open("rb") as f:
+                    shutil.copyfileobj(f, sys.stdout.buffer)
+                sys.stdout.flush()
+            else:
+                print(name)
         elif a.command == "clean":
             feeds.clean_feed(spark, a.path, a.target)
         elif a.command == "join-and-sort":
@@ -109,11 +155,11 @@ def main(argv: list[str] | None = None) -> int:
             print(window_build(spark, a.path, a.output, a.start, a.days, a.timezone, fmt=a.format, base_uris=uris, compressed=a.compressed, workers=a.workers))
         else:
             hit = config.match_configuration(config.read_configurations(a.config_dir), a.query)
-            if not hit:
-                raise ValueError(f"No single configuration for {a.query}")
-            with tempfile.TemporaryDirectory() as work:
-                place = feeds.unpack(feeds.download(hit["config"]["_meta"]["feedUrl"], f"{work}/feed.zip"), f"{work}/feed")
-                print(convert(spark, place, a.output, a.format, hit["config"], a.compressed, True, a.timezone, a.workers))
+            settings = hit["config"] if hit else set_up(spark, a.query, a.config_dir)
+            Path(a.output).mkdir(parents=True, exist_ok=True)
+            with tempfile.TemporaryDirectory(dir=a.output) as work:
+                place = feeds.unpack(feeds.download(settings["_meta"]["feedUrl"], f"{work}/feed.zip"), f"{work}/feed")
+                print(convert(spark, place, a.output, a.format, settings, a.compressed, True, a.timezone, a.workers))
     except (ValueError, OSError) as error:
         print(error, file=sys.stderr)
         return 1

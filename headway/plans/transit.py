@@ -1,4 +1,4 @@
-"""Queries of the transit operators over the warehouse feed, each with its SQL."""
+"""Queries of the transit operators over the warehouse feed and the delivered one (`feed_…` and calendars), each with its SQL."""
 
 from __future__ import annotations
 
@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headway.functions.text import or_empty, some
+from headway.functions.text import or_empty
 from headway.functions.uris import Templates, encode, substring
 from headway.operators import connections as cx
 from headway.operators import linking, rules
 from headway.operators import service_calendar as cal
 from headway.plans import adapter
 from headway.sources import formats
-from headway.sources.tables import table
+from headway.sources.feed import Feed
+from headway.sources.tables import checkpointed, table
 
 TEMPLATES = Templates.of({
     "stop": "http://example.org/stops/{stops.stop_id}", "route": "http://example.org/routes/{routes.route_id}", "trip": "http://example.org/trips/{trips.trip_id}/{trips.startTime(yyyyMMdd)}",
@@ -24,32 +25,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, feed: bool = True):
-    """Registers a query; `feed` puts the feed's common table expressions before its SQL."""
+def query(sql: str | None = None, feed: str | None = "warehouse"):
+    """Registers a query; its SQL follows the common table expressions of `feed`, if any."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = (f"WITH {adapter.SQL} {sql}" if feed else sql).strip()
+            SQL[f.__name__] = (f"WITH RECURSIVE {adapter.FEEDS[feed]} {sql}" if feed else sql).strip()
         return f
 
     return add
 
 
-def _service_dates(spark: SparkSession) -> DataFrame:
-    return cal.service_dates(adapter.calendar(spark), adapter.calendar_dates(spark))
+def _service_dates(feed: Feed) -> DataFrame:
+    return cal.service_dates(feed.calendar, feed.calendar_dates)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rules.stop_pairs(adapter.stop_times(spark, d))
+    return rules.stop_pairs(adapter.warehouse(spark, d).stop_times)
+
+
+def _rules_of(feed: Feed) -> DataFrame:
+    return rules.rules(feed.stop_times, feed.stops, feed.trips, feed.routes, _service_dates(feed))
 
 
 def _rules(spark: SparkSession, d: str) -> DataFrame:
-    return rules.rules(adapter.stop_times(spark, d), adapter.stops(spark, d), adapter.trips(spark, d), adapter.routes(spark, d), _service_dates(spark))
+    return _rules_of(adapter.warehouse(spark, d))
 
 
-def _connections(spark: SparkSession, d: str, timezone: str = "UTC") -> DataFrame:
-    return cx.connections(rules.new_rules(_rules(spark, d), keep_dateless=False), timezone)
+def _connections(spark: SparkSession, d: str) -> DataFrame:
+    return cx.connections(rules.new_rules(checkpointed(_rules(spark, d)), keep_dateless=False))
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:
@@ -60,61 +65,69 @@ def _seq():
     return F.col("_seq").cast("bigint").alias("seq")
 
 
-# Calendar
+# Calendars, of the delivered tables
 
 
-@query("SELECT service_id, d AS service_date FROM run_days WHERE mask[isodow(d)] = '1'")
+@query("SELECT service_id, d AS service_date FROM run_days WHERE mask[isodow(d)] = '1'", "delivered")
 def weekday_expand(spark, d):
+    """Running days of the last row of each service, without exceptions."""
     mask = F.array(*[F.col(w) for w in cal.WEEKDAYS])
     days = cal.running_days(cal.day("start_date"), cal.day("end_date"), mask)
-    return adapter.calendar(spark).select("service_id", F.explode(days).alias("service_date"))
+    return cal.last_wins(adapter.delivered(spark, d).calendar, "service_id").select("service_id", F.explode(days).alias("service_date"))
 
 
-@query("SELECT service_id, d AS service_date FROM service_days")
+@query("SELECT service_id, d AS service_date FROM service_days", "delivered")
 def service_days(spark, d):
-    return _service_dates(spark).select("service_id", F.explode("service_dates").alias("service_date"))
+    return _service_dates(adapter.delivered(spark, d)).select("service_id", F.explode("service_dates").alias("service_date"))
 
 
-@query("SELECT service_id, len(list(DISTINCT d) FILTER (t = '1')) AS n_added, coalesce(len(list(DISTINCT d) FILTER (t = '2')), 0) AS n_removed FROM exc GROUP BY service_id")
+@query("SELECT service_id, d AS service_date FROM service_days")
+def service_days_special(spark, d):
+    """The fixed calendar of the warehouse feed, which has every special case."""
+    return _service_dates(adapter.warehouse(spark, d)).select("service_id", F.explode("service_dates").alias("service_date"))
+
+
+@query("SELECT service_id, count(d) FILTER (t = '1') AS n_added, count(d) FILTER (t = '2') AS n_removed FROM exc GROUP BY service_id", "delivered")
 def exception_sets(spark, d):
-    return cal.exceptions(adapter.calendar_dates(spark)).select("service_id", F.size("added").cast("bigint").alias("n_added"), F.size("removed").cast("bigint").alias("n_removed"))
+    sets = cal.exceptions(adapter.delivered(spark, d).calendar_dates)
+    return sets.select("service_id", F.size("added").cast("bigint").alias("n_added"), F.size("removed").cast("bigint").alias("n_removed"))
 
 
-@query("SELECT service_id, d AS service_date FROM service_days WHERE service_id NOT IN (SELECT service_id FROM cal)")
+@query("SELECT service_id, d AS service_date FROM service_days WHERE service_id NOT IN (SELECT service_id FROM cal)", "delivered")
 def exceptions_only_services(spark, d):
-    return service_days(spark, d).join(adapter.calendar(spark).select("service_id"), "service_id", "left_anti")
+    feed = adapter.delivered(spark, d)
+    return service_days(spark, d).join(feed.calendar.select("service_id"), "service_id", "left_anti")
 
 
-@query("SELECT coalesce(c.service_id, e.service_id) AS service_id, c.service_id IS NOT NULL AS in_calendar, e.service_id IS NOT NULL AS in_dates FROM cal c FULL JOIN (SELECT DISTINCT service_id FROM exc) e ON c.service_id = e.service_id")
+@query("SELECT service_id, count(d) AS n_days FROM (SELECT service_id FROM cal UNION SELECT service_id FROM exc) LEFT JOIN service_days USING (service_id) GROUP BY service_id", "delivered")
 def calendar_full_outer(spark, d):
-    c = adapter.calendar(spark).select("service_id", F.lit(True).alias("a"))
-    e = cal.exceptions(adapter.calendar_dates(spark)).select("service_id", F.lit(True).alias("b"))
-    return c.join(e, "service_id", "full_outer").select("service_id", F.coalesce("a", F.lit(False)).alias("in_calendar"), F.coalesce("b", F.lit(False)).alias("in_dates"))
+    """Every service of either calendar, with how many days it runs."""
+    return _service_dates(adapter.delivered(spark, d)).select("service_id", F.size("service_dates").cast("bigint").alias("n_days"))
 
 
-@query("SELECT service_id, greatest(start_date, '20240104') AS start_date, least(end_date, '20240112') AS end_date FROM calendar_in WHERE NOT (end_date < '20240104' OR start_date > '20240112')")
+@query("SELECT row_id, greatest(start_date, '20250304') AS start_date, least(end_date, '20250612') AS end_date FROM calendar_in WHERE NOT (end_date < '20250304' OR start_date > '20250612')", "delivered")
 def calendar_clamp(spark, d):
-    return cal.constrain_calendar(adapter.calendar(spark), "20240104", "20240112").select("service_id", "start_date", "end_date")
+    return cal.constrain_calendar(adapter.delivered(spark, d).calendar, "20250304", "20250612").select(F.col("_ord").alias("row_id"), "start_date", "end_date")
 
 
-@query("SELECT service_id, date FROM exceptions_in WHERE date BETWEEN '20240104' AND '20240112'")
+@query("SELECT service_id, date FROM exceptions_in WHERE date BETWEEN '20250304' AND '20250612'", "delivered")
 def calendar_dates_between(spark, d):
-    return cal.constrain_dates(adapter.calendar_dates(spark), "20240104", "20240112").select("service_id", "date")
+    return cal.constrain_dates(adapter.delivered(spark, d).calendar_dates, "20250304", "20250612").select("service_id", "date")
 
 
 # Tables
 
 
-@query("SELECT o_custkey AS custkey, max(o_orderkey) AS last_order FROM orders GROUP BY o_custkey", feed=False)
+@query("SELECT o_custkey AS custkey, max(o_orderkey) AS last_order FROM orders GROUP BY o_custkey", None)
 def last_wins_dimension(spark, d):
     rows = table(spark, d, "orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").cast("string").alias("k"), "o_custkey", "o_orderkey", F.col("o_orderkey").alias("_ord"))
     return cal.last_wins(rows, "k").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("last_order"))
 
 
-@query("SELECT trim(stop_id) AS stop_id, count(*) AS n FROM stops WHERE coalesce(stop_id, '') <> '' GROUP BY trim(stop_id)", feed=False)
+@query("SELECT stop_id, max(row_id) AS row_id FROM stops WHERE coalesce(stop_id, '') <> '' GROUP BY stop_id", None)
 def keyed_rows(spark, d):
-    rows = table(spark, d, "stops", "stop_id").where(or_empty("stop_id") != "")
-    return rows.groupBy(F.trim("stop_id").alias("stop_id")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows without a key are dropped, of repeated keys the last row stays."""
+    return cal.last_wins(table(spark, d, "stops", "row_id", "stop_id").withColumn("_ord", F.col("row_id")), "stop_id").select("stop_id", "row_id")
 
 
 # Stop pairs and rules
@@ -132,13 +145,35 @@ def trip_start_first_value(spark, d):
 
 @query("SELECT count(*) FILTER (arrival_dfm = '' AND leaves = '') AS dropped, count(*) FILTER (NOT (arrival_dfm = '' AND leaves = '')) AS kept, count(*) FILTER (departure_dfm = '' AND NOT (arrival_dfm = '' AND leaves = '')) AS from_blank FROM paired WHERE departure_stop_id IS NOT NULL")
 def blank_time_filter(spark, d):
-    st = adapter.stop_times(spark, d)
+    st = adapter.warehouse(spark, d).stop_times
     sizes = st.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("total"))
     kept = _pairs(spark, d).agg(F.count(F.lit(1)).alias("kept"), F.sum((F.col("departure_dfm") == "").cast("bigint")).alias("from_blank"))
     both = sizes.withColumn("k", F.lit(1)).join(kept.withColumn("k", F.lit(1)), "k")
     return both.select((F.col("total") - F.col("kept")).alias("dropped"), "kept", "from_blank")
 
 
+@query("SELECT ord, departure_stop_id, arrival_stop_id, departure_dfm, arrival_dfm, trip_start_dfm, pickup_type, drop_off_type FROM pairs", "delivered")
+def feed_stop_pairs(spark, d):
+    """Stop pairs of the delivered stop times: rows apart and out of order, repeated, without usable numbers or times."""
+    st = adapter.delivered(spark, d).stop_times.where(or_empty("trip_id") != "")
+    return rules.stop_pairs(st).select(F.col("_ord").alias("ord"), "departure_stop_id", "arrival_stop_id", "departure_dfm", "arrival_dfm", "trip_start_dfm", "pickup_type", "drop_off_type")
+
+
+@query("SELECT ord, rule_key, headsign, coalesce(n, 0) AS n_dates FROM rules LEFT JOIN (SELECT service_id, count(*) AS n FROM service_days GROUP BY service_id) USING (service_id)", "delivered")
+def feed_rules(spark, d):
+    return _rules_of(adapter.delivered(spark, d)).select(F.col("_ord").alias("ord"), "rule_key", "headsign", F.size("service_dates").cast("bigint").alias("n_dates"))
+
+
+@query("""SELECT p.ord, CASE WHEN tr.trip_id IS NULL THEN 'trip' WHEN d.stop_id IS NULL THEN 'departure_stop' WHEN a.stop_id IS NULL THEN 'arrival_stop' ELSE 'route' END AS missing,
+ CASE WHEN tr.trip_id IS NULL THEN p.trip_id WHEN d.stop_id IS NULL THEN departure_stop_id WHEN a.stop_id IS NULL THEN arrival_stop_id ELSE tr.route_id END AS key
+ FROM pairs p LEFT JOIN tr USING (trip_id) LEFT JOIN ro USING (route_id) LEFT JOIN sp d ON d.stop_id = departure_stop_id LEFT JOIN sp a ON a.stop_id = arrival_stop_id
+ WHERE tr.trip_id IS NULL OR d.stop_id IS NULL OR a.stop_id IS NULL OR ro.route_id IS NULL""", "delivered")
+def feed_dropped_pairs(spark, d):
+    """What gives no rule for want of a dimension row, and which."""
+    feed = adapter.delivered(spark, d)
+    return rules.dropped_pairs(feed.stop_times, feed.stops, feed.trips, feed.routes).select(F.col("_ord").alias("ord"), "missing", "key")
+
+
 @query("SELECT trip_id, seq, route_id, service_id, departure_stop_id, arrival_stop_id, headsign FROM rules")
 def rule_join(spark, d):
     return _rules(spark, d).select(
@@ -152,9 +187,10 @@ def headsign_fallback(spark, d):
     return _rules(spark, d).groupBy("headsign").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT stop_id, coalesce(nullif(stop_code, ''), stop_id) AS code FROM sp")
+@query("SELECT stop_id, coalesce(nullif(stop_code, ''), stop_id) AS code FROM sp", "delivered")
 def stop_code_or_id(spark, d):
-    return adapter.stops(spark, d).select("stop_id", F.coalesce(some("stop_code"), F.col("stop_id")).alias("code"))
+    stops = cal.last_wins(adapter.delivered(spark, d).stops, "stop_id")
+    return stops.select("stop_id", rules.code_or_id(F.col("stop_code"), F.col("stop_id")).alias("code"))
 
 
 @query("SELECT trip_id, seq, rule_key FROM rules")
@@ -186,22 +222,25 @@ def new_rules(spark, d):
 @query("SELECT trip_id, seq, rule_key, service_date FROM fresh WHERE service_date >= DATE '2024-01-08'")
 def history_anti_join(spark, d):
     """The history holds what an earlier run gave for the days before 8 January."""
-    all_rules = _rules(spark, d)
+    all_rules = checkpointed(_rules(spark, d))
     history = rules.history_of(rules.new_rules(all_rules, keep_dateless=False)).where("service_date < DATE '2024-01-08'")
     return rules.fresh_pairs(all_rules, history).select("trip_id", _seq(), "rule_key", "service_date")
 
 
-@query("SELECT trip_id, seq, rule_key, service_date FROM fresh WHERE false")
+@query("SELECT service_date, count(DISTINCT rule_key) AS n FROM dated WHERE left(headsign, 1) = 'F' AND NOT EXISTS (SELECT 1 FROM dated x WHERE x.rule_key = dated.rule_key AND x.service_date = dated.service_date AND left(x.headsign, 1) <> 'F') GROUP BY service_date")
 def incremental_second_run(spark, d):
-    """The same feed again gives nothing."""
-    all_rules = _rules(spark, d)
-    return rules.fresh_pairs(all_rules, rules.history_of(all_rules)).select("trip_id", _seq(), "rule_key", "service_date")
+    """A first run over the trips with other headsigns, then one over all: what the second gives, per day."""
+    all_rules = checkpointed(_rules(spark, d))
+    first = rules.new_rules(all_rules.where(~F.col("headsign").startswith("F")), keep_dateless=False)
+    second = rules.new_rules(all_rules, rules.history_of(first), keep_dateless=False)
+    return second.select(F.explode("service_dates").alias("service_date")).groupBy("service_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT (CAST(o_orderkey AS BIGINT) % 8)::int AS shard, count(*) AS n_trips FROM orders GROUP BY 1", feed=False)
+@query("SELECT trip_id, (dense_rank() OVER (ORDER BY trip_id) - 1) % 8 AS shard FROM st GROUP BY trip_id", "delivered")
 def trip_shards(spark, d):
-    """Trips dealt out to eight shards, never split."""
-    return table(spark, d, "orders", "o_orderkey").groupBy((F.col("o_orderkey") % 8).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n_trips"))
+    """Trips dealt out to eight shards in their order, none of them split."""
+    dealt = rules.deal_trips(adapter.delivered(spark, d).stop_times.where(or_empty("trip_id") != ""), 8)
+    return dealt.groupBy("trip_id").agg(F.min("shard").cast("bigint").alias("shard"))
 
 
 # Connections
@@ -227,7 +266,48 @@ def connections_per_day(spark, d):
     return _connections(spark, d).groupBy("service_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, event_id, 86400 + user_id * 7 AS seconds FROM events", feed=False)
+_ELAPSED = """(SELECT *, {0} AS leaves_s, {1} AS arrives_s, {2} AS start_s, service_date::timestamp AT TIME ZONE 'Europe/Brussels' AS midnight FROM fresh)"""
+_PART = "try_cast(regexp_extract(split_part({0}, ':', {1}), '^\\s*([+-]?[0-9]+)', 1) AS BIGINT)"
+_SECONDS = f"({_PART} * 3600 + {_PART.replace('{1}', '{2}')} * 60 + coalesce({_PART.replace('{1}', '{3}')}, 0))"
+_SEC = lambda c: _SECONDS.format(c, 1, 2, 3)
+_DELIVERED = f"""timed AS (SELECT *, strftime((midnight + to_seconds(leaves_s)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS dt, strftime((midnight + to_seconds(arrives_s)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS art,
+  strftime((midnight + to_seconds(start_s)) AT TIME ZONE 'Europe/Brussels', '%Y%m%d') AS start_day FROM {_ELAPSED.format(_SEC('departure_dfm'), _SEC('arrival_dfm'), _SEC('trip_start_dfm'))})"""
+
+
+def _delivered_connections(spark: SparkSession, d: str) -> DataFrame:
+    """Connections of the delivered feed in a zone whose clock changes, hours past 24 and unusable times included."""
+    new = rules.new_rules(checkpointed(_rules_of(adapter.delivered(spark, d))), keep_dateless=False)
+    return cx.connections(new, "Europe/Brussels")
+
+
+@query(f""", {_DELIVERED} SELECT route_id, service_date, count(*) AS n, count(dt) AS n_leave, min(dt) AS first_leave, max(dt) AS last_leave, min(art) AS first_arrive, max(art) AS last_arrive, sum(date_diff('second', TIMESTAMP '2025-01-01', strptime(dt, '%Y-%m-%dT%H:%M:%S.000Z')))::bigint AS leave_sum
+ FROM timed GROUP BY ALL""", "delivered")
+def feed_connections(spark, d):
+    """All connections of the delivered feed, per route and day."""
+    dt, art = cx.iso(F.col("departureTime")), cx.iso(F.col("arrivalTime"))
+    rows = _delivered_connections(spark, d).select(F.col("route.route_id").alias("route_id"), "service_date", dt.alias("dt"), art.alias("art"), F.unix_timestamp("departureTime").alias("s"))
+    return rows.groupBy("route_id", "service_date").agg(
+        F.count(F.lit(1)).alias("n"), F.count("dt").alias("n_leave"), F.min("dt").alias("first_leave"), F.max("dt").alias("last_leave"), F.min("art").alias("first_arrive"), F.max("art").alias("last_arrive"),
+        F.sum(F.col("s") - 1735689600).cast("bigint").alias("leave_sum"),
+    )
+
+
+@query(f""", {_DELIVERED}, linked AS (SELECT service_date, 'http://example.org/connections/' || start_day || '/' || url_encode(departure_stop_id) || '/' || url_encode(trip_id) AS id, 'http://example.org/stops/' || url_encode(departure_stop_id) AS dep,
+  'http://example.org/stops/' || url_encode(arrival_stop_id) AS arr, dt, art, 'http://example.org/trips/' || url_encode(trip_id) || '/' || start_day AS trip, 'http://example.org/routes/' || url_encode(route_id) AS route, headsign,
+  CASE pickup_type WHEN '0' THEN 'gtfs:Regular' WHEN '1' THEN 'gtfs:NotAvailable' WHEN '2' THEN 'gtfs:MustPhone' WHEN '3' THEN 'gtfs:MustCoordinateWithDriver' END AS pt,
+  CASE drop_off_type WHEN '0' THEN 'gtfs:Regular' WHEN '1' THEN 'gtfs:NotAvailable' WHEN '2' THEN 'gtfs:MustPhone' WHEN '3' THEN 'gtfs:MustCoordinateWithDriver' END AS dof FROM timed WHERE start_day IS NOT NULL),
+ texts AS (SELECT service_date, '{{"@id":"' || id || '","@type":"Connection","departureStop":"' || dep || '","arrivalStop":"' || arr || '"' || CASE WHEN dt IS NULL THEN '' ELSE ',"departureTime":"' || dt || '"' END || CASE WHEN art IS NULL THEN '' ELSE ',"arrivalTime":"' || art || '"' END
+  || ',"gtfs:trip":"' || trip || '","gtfs:route":"' || route || '"' || CASE WHEN headsign IS NULL THEN '' ELSE ',"direction":' || to_json(headsign)::varchar END || CASE WHEN pt IS NULL THEN '' ELSE ',"gtfs:pickupType":"' || pt || '"' END
+  || CASE WHEN dof IS NULL THEN '' ELSE ',"gtfs:dropOffType":"' || dof || '"' END || '}}' AS value FROM linked)
+ SELECT service_date, count(*) AS n, min(value) AS first_row, sum(('0x' || left(md5(value), 8))::bigint)::bigint AS digest FROM texts GROUP BY service_date""", "delivered")
+def feed_jsonld(spark, d):
+    """The JSON-LD rows of the delivered feed, as a count, the least row and a digest of all per day; rows whose trip has no start time have no URI."""
+    rows = formats.to_jsonld_rows(formats.linked(_delivered_connections(spark, d).where(F.col("trip.startTime").isNotNull()), TEMPLATES, "Europe/Brussels"))
+    digest = F.sum(F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("bigint")).alias("digest")
+    return rows.groupBy("service_date").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_row"), digest)
+
+
+@query("SELECT user_id, event_id, 86400 + user_id * 7 AS seconds FROM events", None)
 def duration_over_24h(spark, d):
     s = F.lit(86400) + F.col("user_id") * 7
     text = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
@@ -288,7 +368,7 @@ def json_rows(spark, d):
 
 
 @query(f""", {_FLAT}, q AS (
- SELECT id AS s, unnest([{{'p': 'type', 'o': 'http://semweb.mmlab.be/ns/linkedconnections#Connection'}}, {{'p': 'departureStop', 'o': dep}}, {{'p': 'arrivalStop', 'o': arr}}, {{'p': 'departureTime', 'o': dt}}, {{'p': 'arrivalTime', 'o': art}},
+ SELECT id AS s, unnest([{{'p': 'type', 'o': 'http://example.org/ns/connections#Connection'}}, {{'p': 'departureStop', 'o': dep}}, {{'p': 'arrivalStop', 'o': arr}}, {{'p': 'departureTime', 'o': dt}}, {{'p': 'arrivalTime', 'o': art}},
   {{'p': 'trip', 'o': trip}}, {{'p': 'route', 'o': route}}, {{'p': 'headsign', 'o': headsign}}, {{'p': 'dropOffType', 'o': 'http://vocab.gtfs.org/terms#' || substr(dof, 6)}}, {{'p': 'pickupType', 'o': 'http://vocab.gtfs.org/terms#' || substr(pt, 6)}}]) AS x FROM linked)
  SELECT x.p AS p, x.o AS o, count(*) AS n, min(s) AS first_s FROM q WHERE x.o IS NOT NULL GROUP BY ALL""")
 def quads(spark, d):
@@ -296,15 +376,25 @@ def quads(spark, d):
     return rows.groupBy(F.regexp_extract("q.p", "[^#/]+$", 0).alias("p"), F.col("q.o").alias("o")).agg(F.count(F.lit(1)).alias("n"), F.min("q.s").alias("first_s"))
 
 
-@query(f""", {_FLAT} SELECT id AS s, (7 - (dt IS NULL)::int - (art IS NULL)::int + (headsign IS NOT NULL)::int + (pt IS NOT NULL)::int + (dof IS NOT NULL)::int)::bigint AS n_triples, count(*) AS n FROM linked GROUP BY ALL""")
+_LC, _GTFS, _XSD = "http://example.org/ns/connections#", formats.GTFS, formats.XSD
+_OBJECTS = (  # predicate, object as N-Triples, object as Turtle
+    (f"<{formats.RDF_TYPE}>", "a", f"'<{_LC}Connection>'", "'lc:Connection'"), (f"<{_LC}departureStop>", "lc:departureStop", "'<' || dep || '>'", "'<' || dep || '>'"), (f"<{_LC}arrivalStop>", "lc:arrivalStop", "'<' || arr || '>'", "'<' || arr || '>'"),
+    (f"<{_LC}departureTime>", "lc:departureTime", f"'\"' || dt || '\"^^<{_XSD}dateTime>'", "'\"' || dt || '\"^^xsd:dateTime'"), (f"<{_LC}arrivalTime>", "lc:arrivalTime", f"'\"' || art || '\"^^<{_XSD}dateTime>'", "'\"' || art || '\"^^xsd:dateTime'"),
+    (f"<{_GTFS}trip>", "gtfs:trip", "'<' || trip || '>'", "'<' || trip || '>'"), (f"<{_GTFS}route>", "gtfs:route", "'<' || route || '>'", "'<' || route || '>'"), (f"<{_GTFS}headsign>", "gtfs:headsign", "'\"' || headsign || '\"'", "'\"' || headsign || '\"'"),
+    (f"<{_GTFS}dropOffType>", "gtfs:dropOffType", f"'<{_GTFS}' || substr(dof, 6) || '>'", "dof"), (f"<{_GTFS}pickupType>", "gtfs:pickupType", f"'<{_GTFS}' || substr(pt, 6) || '>'", "pt"),
+)
+
+
+@query(f""", {_FLAT} SELECT concat_ws(chr(10), {', '.join(f"'<' || id || '> {p} ' || {o} || ' .'" for p, _, o, _ in _OBJECTS)}, 'MESSAGE') AS value FROM linked""")
 def ntriples_messages(spark, d):
-    rows = formats.to_ntriples_rows(formats.quads(_connections(spark, d), TEMPLATES))
-    return rows.select(F.regexp_extract("value", "^<([^>]*)>", 1).alias("s"), (F.size(F.split("value", " \\.\n"))).cast("bigint").alias("n")).groupBy("s", F.col("n").alias("k")).agg(F.count(F.lit(1)).alias("n")).select("s", (F.col("k") - 1).alias("n_triples"), "n")
+    """The text of every message."""
+    return formats.to_ntriples_rows(_connections(spark, d), TEMPLATES).select("value")
 
 
-@query(f""", {_FLAT} SELECT id AS s, count(*) AS n FROM linked GROUP BY id""")
+@query(f""", {_FLAT} SELECT '<' || id || '> ' || concat_ws(';' || chr(10) || '  ', {', '.join(f"'{p} ' || {o}" for _, p, _, o in _OBJECTS)}) || '.' || chr(10) || '@message .' AS value FROM linked""")
 def turtle_messages(spark, d):
-    return formats.to_turtle_rows(formats.quads(_connections(spark, d), TEMPLATES)).groupBy(F.regexp_extract("value", "^<([^>]*)>", 1).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    """The text of every message."""
+    return formats.to_turtle_rows(_connections(spark, d), TEMPLATES).select("value")
 
 
 @query("SELECT trip_id, seq, service_date, row_number() OVER (ORDER BY service_date, route_id, trip_id, seq) - 1 AS message_id FROM fresh")
@@ -316,29 +406,47 @@ def message_numbering(spark, d):
 # Scalar functions
 
 
-@query("SELECT p_partkey, replace(replace(replace(p_name, '%', '%25'), ' ', '%20'), '/', '%2F') AS encoded FROM part", feed=False)
+@query("SELECT p_partkey, replace(replace(replace(p_name, '%', '%25'), ' ', '%20'), '/', '%2F') AS encoded FROM part", None)
 def uri_encode(spark, d):
     return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", encode(F.col("p_name")).alias("encoded"))
 
 
-@query("SELECT p_partkey, substr(p_name, 3, 5) AS middle, substr(p_name, 4) AS rest FROM part", feed=False)
+@query("SELECT p_partkey, substr(p_name, 3, 5) AS middle, substr(p_name, 4) AS rest FROM part", None)
 def uri_substring(spark, d):
     return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", substring(F.col("p_name"), 7, 2).alias("middle"), substring(F.col("p_name"), 3, None).alias("rest"))
 
 
-@query("SELECT row_id, CASE trim(pickup_type) WHEN '0' THEN 'gtfs:Regular' WHEN '1' THEN 'gtfs:NotAvailable' WHEN '2' THEN 'gtfs:MustPhone' WHEN '3' THEN 'gtfs:MustCoordinateWithDriver' END AS boarding FROM stop_times", feed=False)
+@query("SELECT row_id, CASE trim(pickup_type) WHEN '0' THEN 'gtfs:Regular' WHEN '1' THEN 'gtfs:NotAvailable' WHEN '2' THEN 'gtfs:MustPhone' WHEN '3' THEN 'gtfs:MustCoordinateWithDriver' END AS boarding FROM stop_times", None)
 def boarding_map(spark, d):
     return table(spark, d, "stop_times", "row_id", "pickup_type").select("row_id", formats.boarding(F.trim("pickup_type"), "gtfs:").alias("boarding"))
 
 
 # Joining and linking
 
-
-@query(f""", {_FLAT}, g AS (SELECT dep, arr, route, dt, art, count(*) AS n FROM linked GROUP BY ALL) SELECT n AS group_size, count(*) AS groups FROM g GROUP BY n""")
+_KEYS = "coalesce(dt, ''), coalesce(art, ''), coalesce(route, ''), coalesce(dep, ''), coalesce(arr, '')"
+_NUMBERED = f"""{_FLAT}, numbered AS (SELECT *, date_diff('day', DATE '2024-01-01', service_date) + trip_id::bigint * 32 + seq::bigint * 1099511627776 AS ord, coalesce(pt = 'gtfs:NotAvailable', false) AS np, coalesce(dof = 'gtfs:NotAvailable', false) AS nd FROM linked)"""
+#: The fold as a recursion: one step per row of a movement, carrying the row that leads, as the sequential pass does.
+_FOLDED = f"""{_NUMBERED},
+placed AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY {_KEYS}) AS size, dense_rank() OVER (ORDER BY {_KEYS}) AS g FROM numbered WINDOW w AS (PARTITION BY {_KEYS} ORDER BY id DESC, ord)),
+steps AS (
+  SELECT g, n, size, ord AS lead, np, nd, [trip] AS own, []::varchar[] AS joined, []::varchar[] AS split, 1 AS slot, NULL::bigint AS done, []::varchar[] AS done_joined, []::varchar[] AS done_split, NULL::int AS done_slot FROM placed WHERE n = 1
+  UNION ALL
+  SELECT s.g, p.n, s.size,
+    CASE WHEN a THEN s.lead ELSE p.ord END, CASE WHEN a THEN s.np ELSE p.np END, CASE WHEN a THEN s.nd ELSE p.nd END, CASE WHEN a THEN s.own ELSE [p.trip] END,
+    CASE WHEN a AND p.np <> s.np THEN list_append(s.joined, p.trip) WHEN a THEN s.joined WHEN b AND p.np <> s.np THEN s.own ELSE [] END,
+    CASE WHEN a AND p.np = s.np THEN list_append(s.split, p.trip) WHEN a THEN s.split WHEN b AND p.np = s.np THEN s.own ELSE [] END,
+    CASE WHEN a THEN s.slot ELSE p.n END, CASE WHEN NOT a AND NOT b THEN s.lead END, CASE WHEN NOT a AND NOT b THEN s.joined ELSE [] END, CASE WHEN NOT a AND NOT b THEN s.split ELSE [] END, CASE WHEN NOT a AND NOT b THEN s.slot END
+  FROM (SELECT s.*, p.ord AS p_ord, (p.np AND NOT s.np) OR (p.np = s.np AND p.nd AND NOT s.nd) AS a, (s.np AND NOT p.np) OR (p.np = s.np AND s.nd AND NOT p.nd) AS b FROM steps s JOIN placed p ON p.g = s.g AND p.n = s.n + 1) s
+  JOIN placed p ON p.g = s.g AND p.n = s.n + 1),
+ends AS (SELECT done AS ord, done_joined AS joined, done_split AS split, done_slot AS slot FROM steps WHERE done IS NOT NULL UNION ALL SELECT lead, joined, split, slot FROM steps WHERE n = size),
+folded AS (SELECT p.*, e.joined, e.split, e.slot FROM ends e JOIN placed p USING (ord))"""
+
+
+@query(f""", {_FLAT}, g AS (SELECT {_KEYS}, count(*) AS n FROM linked GROUP BY ALL) SELECT count(*) AS movements, sum(n)::bigint AS n FROM g""")
 def same_movement_groups(spark, d):
-    rows = _linked(spark, d)
-    keys = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(linking.MOVEMENT)]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).groupBy("group_size").agg(F.count(F.lit(1)).alias("groups"))
+    """How many movements there are, and rows in them: slots of the fold are numbered from 1 within each."""
+    rows = linking.merge_movements(_ordered(spark, d).drop("gtfs:pickupType", "gtfs:dropOffType").withColumns({"gtfs:pickupType": F.lit(None).cast("string"), "gtfs:dropOffType": F.lit(None).cast("string")}))
+    return rows.agg(F.sum((F.col("_slot") == 1).cast("bigint")).alias("movements"), F.count(F.lit(1)).alias("n"))
 
 
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
@@ -348,43 +456,55 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("_ord", number.cast("bigint")).drop("service_date", "trip_id", "_seq")
 
 
-@query()
+@query(f""", {_FOLDED} SELECT id, dt AS "departureTime", art AS "arrivalTime", CASE WHEN len(joined) > 0 THEN array_to_string(joined, ' ') END AS joined_with, CASE WHEN len(split) > 0 THEN array_to_string(split, ' ') END AS splits_into FROM folded""")
 def movement_fold(spark, d):
     rows = linking.merge_movements(_ordered(spark, d))
     return rows.select(F.col("`@id`").alias("id"), "departureTime", "arrivalTime", F.array_join("joinedWithTrip", " ").alias("joined_with"), F.array_join("willSplitInto", " ").alias("splits_into"))
 
 
-@query()
+#: Successors by as-of joins. A place is a rank in the order of processing, latest movement first.
+_JOINED = f"""{_FOLDED},
+ranked AS (SELECT *, row_number() OVER (ORDER BY coalesce(dt, '') DESC, coalesce(art, '') DESC, coalesce(route, '') DESC, coalesce(dep, '') DESC, coalesce(arr, '') DESC, slot) AS place FROM folded),
+own AS (SELECT r.ord, x.id AS next_id, x.split AS next_split FROM ranked r ASOF JOIN ranked x ON x.trip = r.trip AND r.place > x.place),
+splits AS (SELECT p.ord, list(x.id ORDER BY p.k) AS ids FROM (SELECT ord, place, unnest(split) AS trip, unnest(range(len(split))) AS k FROM ranked) p ASOF JOIN ranked x ON x.trip = p.trip AND p.place > x.place GROUP BY p.ord),
+hosts AS (SELECT r.ord, r.place, h.host FROM ranked r ASOF JOIN (SELECT place, trip AS host, unnest(joined) AS guest FROM ranked) h ON h.guest = r.trip AND r.place >= h.place),
+at_host AS (SELECT h.ord, x.id FROM hosts h ASOF JOIN ranked x ON x.trip = h.host AND h.place > x.place)"""
+
+
+@query(f""", {_JOINED} SELECT r.id AS "@id", 'Connection' AS "@type", dep AS "departureStop", arr AS "arrivalStop", dt AS "departureTime", art AS "arrivalTime", trip AS "gtfs:trip", route AS "gtfs:route", headsign AS direction, pt AS "gtfs:pickupType", dof AS "gtfs:dropOffType",
+ CASE WHEN next_id IS NOT NULL THEN array_to_string(list_concat([next_id], CASE WHEN len(split) > 0 AND len(next_split) = 0 THEN coalesce(ids, []) ELSE [] END), ' ') ELSE at_host.id END AS "nextConnection"
+ FROM ranked r LEFT JOIN own USING (ord) LEFT JOIN splits USING (ord) LEFT JOIN at_host USING (ord)""")
 def join_and_sort(spark, d):
     rows = linking.join_and_sort(_ordered(spark, d))
     return rows.withColumn("nextConnection", F.array_join("nextConnection", " "))
 
 
-@query(f""", {_FLAT} SELECT id, lead(id) OVER (PARTITION BY trip ORDER BY coalesce(dt, ''), coalesce(art, ''), seq) AS next_id FROM linked""")
+@query(f""", {_JOINED} SELECT id, next_id FROM ranked LEFT JOIN own USING (ord)""")
 def next_connection_lead(spark, d):
-    w = Window.partitionBy("`gtfs:trip`").orderBy(or_empty("departureTime"), or_empty("arrivalTime"), "_seq")
-    return _linked(spark, d).select(F.col("`@id`").alias("id"), F.lead("`@id`").over(w).alias("next_id"))
+    """The next connection of the same trip alone."""
+    rows = linking.link_next(linking.merge_movements(_ordered(spark, d)).withColumns({"joinedWithTrip": F.lit(None).cast("array<string>"), "willSplitInto": F.lit(None).cast("array<string>")}))
+    return rows.select(F.col("`@id`").alias("id"), F.get("nextConnection", F.lit(0)).alias("next_id"))
 
 
-@query(f""", {_FLAT}, s AS (SELECT *, row_number() OVER (PARTITION BY service_date ORDER BY dt DESC, art DESC, route DESC, dep DESC, arr DESC, id DESC) AS place FROM linked WHERE dt IS NOT NULL AND art IS NOT NULL)
- SELECT service_date, place, dt AS departure_time FROM s""")
+@query(f""", {_FOLDED}, s AS (SELECT id, slot, row_number() OVER (PARTITION BY {_KEYS} ORDER BY slot) AS place FROM folded) SELECT id, place FROM s""")
 def sort_descending(spark, d):
-    w = Window.partitionBy("service_date").orderBy(*[F.col(f"`{k}`").desc() for k in linking.ORDER])
-    rows = _linked(spark, d).where(F.col("departureTime").isNotNull() & F.col("arrivalTime").isNotNull())
-    return rows.select("service_date", F.row_number().over(w).cast("bigint").alias("place"), F.col("departureTime").alias("departure_time"))
+    """The order of processing within each movement: what the fold keeps, from the highest id down."""
+    rows = linking.merge_movements(_ordered(spark, d))
+    w = Window.partitionBy(*[or_empty(F.col(f"`{k}`")) for k in linking.MOVEMENT]).orderBy("_slot")
+    return rows.select(F.col("`@id`").alias("id"), F.row_number().over(w).cast("bigint").alias("place"))
 
 
 # Events as a second source
 
 
-@query("SELECT user_id, event_id, lag(event_type) OVER w AS from_type, event_type AS to_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lag(event_type) OVER w IS NOT NULL", feed=False)
+@query("SELECT user_id, event_id, lag(event_type) OVER w AS from_type, event_type AS to_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lag(event_type) OVER w IS NOT NULL", None)
 def events_pairs(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, d, "events", "user_id", "event_id", "event_type", "ts")
     return rows.select("user_id", "event_id", F.lag("event_type").over(w).alias("from_type"), F.col("event_type").alias("to_type")).where(F.col("from_type").isNotNull())
 
 
-@query("SELECT event_type, user_id, min(event_id) AS first_event FROM events GROUP BY event_type, user_id", feed=False)
+@query("SELECT event_type, user_id, min(event_id) AS first_event FROM events GROUP BY event_type, user_id", None)
 def events_first_seen(spark, d):
     rows = table(spark, d, "events", "user_id", "event_id", "event_type")
     return rows.groupBy("event_type", "user_id").agg(F.min("event_id").alias("first_event"))

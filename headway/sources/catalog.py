@@ -28,11 +28,16 @@ def access_token(environment: dict | None = None, ask=getpass.getpass) -> str:
 
 
 def search(query: str, token: str, get=request_json) -> list[dict]:
-    """A feed by its id, or at most 25 schedule feeds that match a text."""
+    """A feed by its id, or at most 25 schedule feeds that match a text. Finding none, or a feed of another kind, is an error."""
     if re.fullmatch(r"mdb-\d+", query):
-        return [get(f"{API}/gtfs_feeds/{query}", token)]
-    found = get(f"{API}/search?{urllib.parse.urlencode({'search_query': query, 'data_type': 'gtfs', 'limit': 25})}", token)
-    return [f for f in found.get("results", []) if f.get("data_type") == "gtfs"]
+        found = [get(f"{API}/gtfs_feeds/{query}", token)]
+    else:
+        answer = get(f"{API}/search?{urllib.parse.urlencode({'search_query': query, 'data_type': 'gtfs', 'limit': 25})}", token)
+        found = answer.get("results", [])
+    feeds = [f for f in found if f.get("data_type", "gtfs") == "gtfs"]
+    if not feeds:
+        raise ValueError(f"The catalogue has no schedule feed for {query}")
+    return feeds
 
 
 def feed_url(feed: dict, custom: str | None = None) -> str:

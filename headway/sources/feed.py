@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import csv
 import shutil
 import urllib.request
 import zipfile
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,15 @@ class Feed:
     calendar: DataFrame
     calendar_dates: DataFrame
 
+    def stored(self, store: str) -> Feed:
+        """The feed with its dimension tables kept as the store says."""
+        level = getattr(StorageLevel, STORES[store])
+        return replace(self, trips=self.trips.persist(level), routes=self.routes.persist(level), stops=self.stops.persist(level))
+
+    def released(self) -> None:
+        for table in (self.trips, self.routes, self.stops):
+            table.unpersist()
+
 
 def read_feed(spark: SparkSession, directory: str) -> Feed:
     """A feed directory on this machine; missing calendars are empty tables."""
@@ -67,7 +77,10 @@ def read_feed(spark: SparkSession, directory: str) -> Feed:
 
 
 def clean_feed(spark: SparkSession, directory: str, target: str) -> None:
-    """Writes normalised copies of a feed's tables to `target`; stop times sorted by trip and sequence. The source stays as it is."""
+    """Writes normalised copies of a feed's tables to `target`; stop times sorted by trip and sequence. The source stays as it is.
+
+    Each table is a folder of part files named like the file, and `read_feed` reads it back.
+    """
     require_files(directory)
     for name in (*REQUIRED, *OPTIONAL):
         source = Path(directory) / f"{name}.txt"
@@ -75,20 +88,32 @@ def clean_feed(spark: SparkSession, directory: str, target: str) -> None:
             df = read_table(spark, str(source))
             if name == "stop_times":
                 df = df.orderBy("trip_id", F.col("stop_sequence").try_cast("double"), "_ord")
-            df.drop("_ord").write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(str(Path(target) / name))
+            df.drop("_ord").write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(str(Path(target) / f"{name}.txt"))
 
 
-def read_linked(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+def read_linked(spark: SparkSession, path: str, malformed: str = "fail") -> tuple[DataFrame, str | None]:
     """Linked connections of an NDJSON file, texts as they stand, and its first context line.
 
     Blank lines are skipped, line ends may be CRLF, the last line may be open. Further
-    context lines stay as rows.
+    context lines stay as rows. Properties beyond the known ones are kept, numbers as
+    text. A line that is no JSON object fails the job when it is read, or is left out
+    with `malformed="drop"`. The file is read once here, for its properties and context.
     """
     lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", r"\r$", "")) != "").withColumn("_ord", F.monotonically_increasing_id())
-    parsed = lines.select("_ord", "value", F.from_json("value", LINKED_SCHEMA).alias("r"))
+    seen = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).schema
+    known = {f.name for f in LINKED_SCHEMA.fields}
+    extra = [f for f in seen.fields if f.name not in known | {"_corrupt", "_ord"}]
+    schema = T.StructType([*LINKED_SCHEMA.fields, *extra, T.StructField("_corrupt", T.StringType())])
+    parsed = lines.select("_ord", "value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    if malformed == "drop":
+        parsed = parsed.where(~broken)
+    else:
+        checked = F.when(broken, F.raise_error(F.concat(F.lit("No JSON object: "), F.col("value"))).cast("bigint")).otherwise(F.col("_ord"))
+        parsed = parsed.withColumn("_ord", checked)
     contexts = parsed.where(F.col("r.@context").isNotNull()).orderBy("_ord").select("_ord", "value").head(1)
     rows = parsed if not contexts else parsed.where(F.col("_ord") != contexts[0]._ord)
-    return rows.select("r.*", "_ord").drop("@context"), contexts[0].value if contexts else None
+    return rows.select("r.*", "_ord").drop("@context", "_corrupt"), contexts[0].value if contexts else None
 
 
 def download(url: str, target: str) -> str:
@@ -114,12 +139,6 @@ def find_feed(directory: str) -> str:
     raise FileNotFoundError(f"No stop_times.txt in {directory}")
 
 
-def filter_csv(path: str, transform) -> None:
-    """Rewrites a small local CSV file row by row; rows for which `transform` gives None are left out."""
-    with Path(path).open(newline="", encoding="utf-8-sig") as f:
-        reader = csv.DictReader(f)
-        names, rows = reader.fieldnames or [], [r for r in map(transform, reader) if r is not None]
-    with Path(path).open("w", newline="", encoding="utf-8") as f:
-        writer = csv.DictWriter(f, names)
-        writer.writeheader()
-        writer.writerows(rows)
+def rewrite_table(spark: SparkSession, path: str, target: str, transform: Callable[[DataFrame], DataFrame]) -> None:
+    """Writes the CSV table at `path`, as `transform` leaves it, to `target`: rows filtered or changed by the DataFrame API."""
+    transform(read_table(spark, path)).drop("_ord").write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(target)

@@ -11,17 +11,10 @@ from headway.functions.text import some
 from headway.functions.uris import Templates, uri_columns
 from headway.operators.connections import iso
 
-# Vocabularies, boarding types by code, and the JSON-LD context.
-LC, GTFS, XSD = "http://semweb.mmlab.be/ns/linkedconnections#", "http://vocab.gtfs.org/terms#", "http://www.w3.org/2001/XMLSchema#"
+# Vocabularies, boarding types by code, and the JSON-LD context. That of connections is the caller's, in `Templates`.
+GTFS, XSD = "http://vocab.gtfs.org/terms#", "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 BOARDING = ("Regular", "NotAvailable", "MustPhone", "MustCoordinateWithDriver")
-CONTEXT = {
-    "@context": {
-        "lc": LC, "gtfs": GTFS, "xsd": XSD, "trip": {"@type": "@id", "@id": "gtfs:trip"}, "Connection": "lc:Connection", "CancelledConnection": "lc:CancelledConnection",
-        "departureTime": {"@type": "xsd:dateTime", "@id": "lc:departureTime"}, "departureStop": {"@type": "@id", "@id": "lc:departureStop"},
-        "arrivalStop": {"@type": "@id", "@id": "lc:arrivalStop"}, "arrivalTime": {"@type": "xsd:dateTime", "@id": "lc:arrivalTime"},
-    }
-}
 FORMATS = ("json", "jsonld", "mongo", "mongold", "csv", "turtle", "ntriples", "jelly")
 EXTENSIONS = {"json": "json", "jsonld": "json", "mongo": "json", "mongold": "json", "csv": "csv", "turtle": "ttl", "ntriples": "nt", "jelly": "jelly"}
 CSV_COLUMNS = ("departureStop", "departureTime", "arrivalStop", "arrivalTime", "trip", "route", "headsign")
@@ -96,27 +89,32 @@ def to_csv_rows(connections: DataFrame) -> DataFrame:
     return flat.select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in CSV_COLUMNS]).alias("value"), *_kept(flat))
 
 
-def quads(connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> DataFrame:
-    """`connections` as one row each with `_quads`: (s, p, o, kind, datatype), seven to ten of them."""
-    # Each URI and instant is a column of its own first, so that ten quads don't compute it ten times.
+def statements(connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> tuple[DataFrame, list[tuple[str, Column, str | None]]]:
+    """The connections with their URIs and instants as columns, and what is stated of each: predicate, object, and a literal's datatype.
+
+    The subject is the column `_u_id`. Objects that are not given are NULL.
+    """
+    templates = templates or Templates()
+    # Each URI and instant is a column of its own first, so that ten statements don't compute it ten times.
     named = {"@id": "_u_id", "departureStop": "_u_dep", "arrivalStop": "_u_arr", "gtfs:trip": "_u_trip", "gtfs:route": "_u_route"}
-    made = {named[k]: c for k, c in uri_columns(connections, templates or Templates(), timezone).items()}
-    connections = connections.withColumns(made | {"_u_leaves": iso(F.col("departureTime")), "_u_arrives": iso(F.col("arrivalTime"))})
-    uri = {k: F.col(v) for k, v in named.items()}
+    made = {named[k]: c for k, c in uri_columns(connections, templates, timezone).items()}
     trip_names = connections.schema["trip"].dataType.fieldNames()
     sign = F.coalesce(some("headsign"), some("trip.trip_headsign") if "trip_headsign" in trip_names else F.lit(None).cast("string"))
+    made |= {"_u_leaves": iso(F.col("departureTime")), "_u_arrives": iso(F.col("arrivalTime")), "_u_sign": sign}
+    lc = templates.vocabulary
+    stated = [
+        (RDF_TYPE, F.lit(lc + "Connection"), None), (lc + "departureStop", F.col("_u_dep"), None), (lc + "arrivalStop", F.col("_u_arr"), None), (lc + "departureTime", F.col("_u_leaves"), XSD + "dateTime"),
+        (lc + "arrivalTime", F.col("_u_arrives"), XSD + "dateTime"), (GTFS + "trip", F.col("_u_trip"), None), (GTFS + "route", F.col("_u_route"), None), (GTFS + "headsign", F.col("_u_sign"), XSD + "string"),
+        (GTFS + "dropOffType", boarding(F.col("drop_off_type"), GTFS), None), (GTFS + "pickupType", boarding(F.col("pickup_type"), GTFS), None),
+    ]
+    return connections.withColumns(made), stated
 
-    def quad(p: str, o: Column, datatype: str | None = None) -> Column:
-        made = F.struct(uri["@id"].alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("literal" if datatype else "iri").alias("kind"), F.lit(datatype).cast("string").alias("datatype"))
-        return F.when(o.isNotNull(), made)
 
-    all_quads = F.array(
-        quad(RDF_TYPE, F.lit(LC + "Connection")), quad(LC + "departureStop", uri["departureStop"]), quad(LC + "arrivalStop", uri["arrivalStop"]),
-        quad(LC + "departureTime", F.col("_u_leaves"), XSD + "dateTime"), quad(LC + "arrivalTime", F.col("_u_arrives"), XSD + "dateTime"),
-        quad(GTFS + "trip", uri["gtfs:trip"]), quad(GTFS + "route", uri["gtfs:route"]), quad(GTFS + "headsign", sign, XSD + "string"),
-        quad(GTFS + "dropOffType", boarding(F.col("drop_off_type"), GTFS)), quad(GTFS + "pickupType", boarding(F.col("pickup_type"), GTFS)),
-    )
-    return connections.select(*_kept(connections), F.array_compact(all_quads).alias("_quads"))
+def quads(connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> DataFrame:
+    """`connections` as one row each with `_quads`: (s, p, o, kind, datatype), seven to ten of them."""
+    df, stated = statements(connections, templates, timezone)
+    quad = lambda p, o, t: F.struct(F.col("_u_id").alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("literal" if t else "iri").alias("kind"), F.lit(t).cast("string").alias("datatype"))
+    return df.select(*_kept(df), F.array_compact(F.array(*[F.when(o.isNotNull(), quad(p, o, t)) for p, o, t in stated])).alias("_quads"))
 
 
 def _escaped(c: Column) -> Column:
@@ -125,36 +123,57 @@ def _escaped(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
-def _object(q: Column, name) -> Column:
-    typed = F.when(q["datatype"] == XSD + "string", _escaped(q["o"])).otherwise(F.concat(_escaped(q["o"]), F.lit("^^"), name(q["datatype"])))
-    return F.when(q["kind"] == "iri", name(q["o"])).otherwise(typed)
+def to_ntriples_rows(connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> DataFrame:
+    """(value): one message a row, its triples on lines of their own, closed by the delimiter."""
+    df, stated = statements(connections, templates, timezone)
+    lines = []
+    for p, o, t in stated:
+        text = F.concat(F.lit("<"), o, F.lit(">")) if t is None else _escaped(o) if t == XSD + "string" else F.concat(_escaped(o), F.lit(f"^^<{t}>"))
+        lines.append(F.concat(F.lit("<"), F.col("_u_id"), F.lit(f"> <{p}> "), text, F.lit(" .")))  # NULL without an object
+    return df.select(F.concat_ws("\n", *lines, F.lit("MESSAGE")).alias("value"), *_kept(df))
 
 
-def to_ntriples_rows(quad_rows: DataFrame) -> DataFrame:
-    """(value): one message a row, its triples on lines of their own, closed by the delimiter."""
-    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    line = lambda q: F.concat(iri(q["s"]), F.lit(" "), iri(q["p"]), F.lit(" "), _object(q, iri), F.lit(" ."))
-    return quad_rows.select(F.concat(F.array_join(F.transform("_quads", line), "\n"), F.lit("\nMESSAGE")).alias("value"), *_kept(quad_rows))
+def to_turtle_rows(connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> DataFrame:
+    """(value): one message a row, its statements under one subject, closed by the delimiter."""
+    templates = templates or Templates()
+    df, stated = statements(connections, templates, timezone)
+    bases = {"lc": templates.vocabulary, "gtfs": GTFS, "xsd": XSD}
 
+    def short(iri: str) -> str:
+        return "a" if iri == RDF_TYPE else next((f"{k}:{iri[len(b) :]}" for k, b in bases.items() if iri.startswith(b)), f"<{iri}>")
 
-def to_turtle_rows(quad_rows: DataFrame) -> DataFrame:
     def name(c: Column) -> Column:
-        out = F.when(c == RDF_TYPE, F.lit("a"))
-        for prefix, base in (("lc", LC), ("gtfs", GTFS), ("xsd", XSD)):
-            out = out.when(c.startswith(base), F.concat(F.lit(f"{prefix}:"), F.substring(c, F.lit(len(base) + 1), F.length(c))))
+        out = None
+        for prefix, base in bases.items():
+            text = F.concat(F.lit(f"{prefix}:"), F.substring(c, F.lit(len(base) + 1), F.length(c)))
+            out = F.when(c.startswith(base), text) if out is None else out.when(c.startswith(base), text)
         return out.otherwise(F.concat(F.lit("<"), c, F.lit(">")))
 
-    pair = lambda q: F.concat(name(q["p"]), F.lit(" "), _object(q, name))
-    body = F.concat(F.lit("<"), F.get("_quads", F.lit(0))["s"], F.lit("> "), F.array_join(F.transform("_quads", pair), ";\n  "), F.lit(".\n@message ."))
-    return quad_rows.select(body.alias("value"), *_kept(quad_rows))
+    pairs = []
+    for p, o, t in stated:
+        text = name(o) if t is None else _escaped(o) if t == XSD + "string" else F.concat(_escaped(o), F.lit(f"^^{short(t)}"))
+        pairs.append(F.concat(F.lit(f"{short(p)} "), text))
+    body = F.concat(F.lit("<"), F.col("_u_id"), F.lit("> "), F.concat_ws(";\n  ", *pairs), F.lit(".\n@message ."))
+    return df.select(body.alias("value"), *_kept(df))
+
+
+def context(templates: Templates | None = None) -> dict:
+    """The JSON-LD context of the connections' vocabulary."""
+    return {
+        "@context": {
+            "lc": (templates or Templates()).vocabulary, "gtfs": GTFS, "xsd": XSD, "trip": {"@type": "@id", "@id": "gtfs:trip"}, "Connection": "lc:Connection", "CancelledConnection": "lc:CancelledConnection",
+            "departureTime": {"@type": "xsd:dateTime", "@id": "lc:departureTime"}, "departureStop": {"@type": "@id", "@id": "lc:departureStop"},
+            "arrivalStop": {"@type": "@id", "@id": "lc:arrivalStop"}, "arrivalTime": {"@type": "xsd:dateTime", "@id": "lc:arrivalTime"},
+        }
+    }
 
 
-def header(fmt: str) -> str | None:
+def header(fmt: str, templates: Templates | None = None) -> str | None:
     """What stands once before the rows."""
-    prefixes = "".join(f"@prefix {p}: <{b}>.\n" for p, b in (("lc", LC), ("gtfs", GTFS), ("xsd", XSD)))
+    prefixes = "\n".join(f"@prefix {p}: <{b}>." for p, b in (("lc", (templates or Templates()).vocabulary), ("gtfs", GTFS), ("xsd", XSD)))
+    json_context = json.dumps(context(templates), separators=(",", ":"))
     return {
-        "jsonld": json.dumps(CONTEXT, separators=(",", ":")), "mongold": json.dumps(CONTEXT, separators=(",", ":")), "csv": ",".join(f'"{c}"' for c in CSV_COLUMNS),
-        "turtle": f'@version "1.2-messages" .\n{prefixes}'.rstrip("\n"), "ntriples": 'VERSION "1.2-messages"',
+        "jsonld": json_context, "mongold": json_context, "csv": ",".join(f'"{c}"' for c in CSV_COLUMNS), "turtle": f'@version "1.2-messages" .\n{prefixes}', "ntriples": 'VERSION "1.2-messages"',
     }.get(fmt)
 
 
@@ -189,7 +208,7 @@ def rows_of(fmt: str, connections: DataFrame, templates: Templates | None = None
         case "mongold":
             return to_mongold_rows(linked(connections, templates, timezone))
         case "turtle":
-            return to_turtle_rows(quads(connections, templates, timezone))
+            return to_turtle_rows(connections, templates, timezone)
         case "ntriples":
-            return to_ntriples_rows(quads(connections, templates, timezone))
+            return to_ntriples_rows(connections, templates, timezone)
     raise ValueError(f"Unsupported format: {fmt}")

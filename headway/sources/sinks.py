@@ -7,7 +7,8 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from headway.functions.uris import Templates
 from headway.sources import formats, jelly
@@ -19,14 +20,14 @@ def write_parts(fmt: str, connections: DataFrame, path: str, templates: Template
 
 
 def file_name(fmt: str, compressed: bool) -> str:
-    return f"linkedConnections.{formats.EXTENSIONS[fmt]}" + (".gz" if compressed else "")
+    return f"connections.{formats.EXTENSIONS[fmt]}" + (".gz" if compressed else "")
 
 
 def write_single(fmt: str, connections: DataFrame, directory: str, templates: Templates | None = None, timezone: str = "UTC", compressed: bool = False) -> str:
     """One local file: header, then the part files in order. Compressed parts are joined as gzip members."""
     target = Path(directory) / file_name(fmt, compressed)
     target.parent.mkdir(parents=True, exist_ok=True)
-    head = formats.header(fmt)
+    head = formats.header(fmt, templates)
     with tempfile.TemporaryDirectory(dir=directory) as work, target.open("wb") as out:
         if fmt == "jelly":
             packer = gzip.open(out, "wb") if compressed else out
@@ -62,3 +63,9 @@ def append_history(pairs: DataFrame, path: str, fresh: bool = False) -> None:
     pairs.write.mode("overwrite" if fresh else "append").parquet(path)
 
 
+def read_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The history at a path, on whatever storage; None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None

@@ -43,7 +43,7 @@ def test_feed_is_read_as_text(spark, place):
 def test_conversion_gives_each_connection_once(spark, place, tmp_path):
     out = conversion.convert(spark, str(place), str(tmp_path / "out"), "CSV")
     lines = Path(out).read_text().splitlines()
-    assert out.endswith("linkedConnections.csv") and len(lines) == 7 and lines[0].startswith('"departureStop","departureTime"')
+    assert out.endswith("connections.csv") and len(lines) == 7 and lines[0].startswith('"departureStop","departureTime"')
     assert '"A","2024-01-01T08:00:00.000Z","B","2024-01-01T09:00:00.000Z","t1","r","To ""B"""' in lines
     again = conversion.convert(spark, str(place), str(tmp_path / "out"), "csv")
     assert len(Path(again).read_text().splitlines()) == 1
@@ -77,7 +77,7 @@ def test_window_and_clean(spark, place, tmp_path):
     out = conversion.window_build(spark, str(place), str(tmp_path / "w"), "2024-01-02", 1)
     assert len(Path(out).read_text().splitlines()) == 2
     feeds.clean_feed(spark, str(place), str(tmp_path / "clean"))
-    rows = spark.read.csv(str(tmp_path / "clean/stop_times"), header=True).collect()
+    rows = feeds.read_feed(spark, str(tmp_path / "clean")).stop_times.collect()
     assert [(r.trip_id, r.stop_sequence) for r in rows] == [("t1", "9"), ("t1", "10"), ("t2", "1"), ("t2", "2")]
 
 
@@ -88,6 +88,55 @@ def test_commands(spark, place, tmp_path, capsys):
     assert conversion.main(["window-build", str(place), "--start", "2024-1-1", "-o", str(tmp_path)]) == 1
 
 
+def test_streams_go_to_stdout(place, tmp_path, capfdbinary):
+    for fmt, mark in (("csv", b'"departureStop"'), ("jelly", b"\x0a")):
+        for more in ([], ["-c"]):
+            assert conversion.main(["convert", str(place), "-f", fmt, "-o", str(tmp_path / f"{fmt}{len(more)}"), "-s", *more]) == 0
+            out = capfdbinary.readouterr().out
+            assert mark in (gzip.decompress(out) if more else out)
+    left = sorted(p.name for p in (tmp_path / "csv0").iterdir())
+    assert left == ["connections.csv", "history.parquet"]
+
+
+def test_feeds_without_optional_columns(spark, place, tmp_path):
+    (place / "stop_times.txt").write_text("trip_id,arrival_time,departure_time,stop_id,stop_sequence\nt1,9:00,9:00,B,10\nt1,8:00,8:00,A,9\n")
+    assert len(Path(conversion.convert(spark, str(place), str(tmp_path / "o"), "csv")).read_text().splitlines()) == 4
+
+
+def test_missing_rows_fail_or_are_listed(spark, place, tmp_path):
+    (place / "stops.txt").write_text("stop_id,stop_name\nA,a\nB,b\n")
+    with pytest.raises(Exception, match="Missing stop: C"):
+        conversion.convert(spark, str(place), str(tmp_path / "o"), "csv")
+    out = conversion.convert(spark, str(place), str(tmp_path / "o"), "csv", strict=False)
+    assert len(Path(out).read_text().splitlines()) == 4
+    assert [(r.trip_id, r.missing, r.key) for r in spark.read.parquet(str(tmp_path / "o/dropped.parquet")).collect()] == [("t2", "arrival_stop", "C")]
+
+
+def test_lines_that_are_no_json(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"@id":"a","gtfs:trip":"t","speed":3}\r\n\n{broken\n')
+    rows, context = feeds.read_linked(spark, str(tmp_path / "x.json"), malformed="drop")
+    assert [(r["@id"], r.speed) for r in rows.collect()] == [("a", "3")] and context is None
+    with pytest.raises(Exception, match="No JSON object"):
+        feeds.read_linked(spark, str(tmp_path / "x.json"))[0].collect()
+
+
+def test_tables_are_rewritten(spark, place, tmp_path):
+    feeds.rewrite_table(spark, str(place / "stops.txt"), str(tmp_path / "stops.txt"), lambda t: t.where("stop_id <> 'B'").withColumn("stop_name", F.upper("stop_name")))
+    assert [(r.stop_id, r.stop_name) for r in feeds.read_table(spark, str(tmp_path / "stops.txt")).collect()] == [("A", "A"), ("C", "C")]
+
+
+def test_configurations_are_set_up_by_asking(spark, tmp_path, capsys):
+    feeds_found = [{"id": f"mdb-{i}", "provider": p, "latest_dataset": {"hosted_url": f"https://h.example/{i}.zip"}, "locations": [{"municipality": "Novby", "country_code": "BE"}], "status": "active"} for i, p in ((1, "One"), (2, "Two"))]
+    answers = iter(["2", "", "https://a.example/x", "", "", "", "", "y"])
+    made = conversion.set_up(spark, "novby", str(tmp_path), lambda _: next(answers), lambda _: feeds_found)
+    assert made["_meta"]["feedUrl"] == "https://h.example/2.zip" and (tmp_path / "two-mdb-2.json").exists()
+    assert "2. Two (mdb-2, Novby, BE, active)" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="no feed 3"):
+        conversion.set_up(spark, "novby", str(tmp_path), lambda _: "3", lambda _: feeds_found)
+    with pytest.raises(ValueError, match="no schedule feed"):
+        catalog.search("nothing", "t", get=lambda url, token: {"results": [{"data_type": "gtfs_rt"}]})
+
+
 def test_feed_discovery(place, tmp_path):
     assert feeds.find_feed(str(tmp_path)) == str(place)
     with pytest.raises(FileNotFoundError):
@@ -123,7 +172,7 @@ def test_stream_of_feed_versions(spark, tmp_path):
 
 
 def test_names_and_configurations(spark, tmp_path):
-    assert config.slugify("De Líjn — Žilina!") == "de-lijn-zilina" and config.configuration_file("", "mdb-1") == "agency-mdb-1.json"
+    assert config.slugify("Västra Höga — Łine!") == "vastra-hoga-ine" and config.configuration_file("", "mdb-1") == "agency-mdb-1.json"
     assert config.validate_namespace("https://a.example/x") == "https://a.example/x/"
     for bad in ("urn:x:y", "https://a.example/{x}", "https://a.example/?q", "nothing"):
         with pytest.raises(ValueError):
@@ -131,12 +180,12 @@ def test_names_and_configurations(spark, tmp_path):
     uris = config.recommended_uris("https://a.example")
     config.validate_templates(uris)
     assert len(set(config.preview_uris(spark, uris).values())) == 4
-    feed = {"id": "mdb-684", "source_info": {"producer_url": "https://p.example/f.zip"}, "latest_dataset": {"hosted_url": "https://h.example/f.zip"}}
-    path = config.write_configuration(str(tmp_path), "De Lijn", feed, catalog.feed_url(feed), uris)
-    assert path.endswith("de-lijn-mdb-684.json") and Path(path).stat().st_mode & 0o777 == 0o600
+    feed = {"id": "mdb-77", "source_info": {"producer_url": "https://p.example/f.zip"}, "latest_dataset": {"hosted_url": "https://h.example/f.zip"}}
+    path = config.write_configuration(str(tmp_path), "Hill Line", feed, catalog.feed_url(feed), uris)
+    assert path.endswith("hill-line-mdb-77.json") and Path(path).stat().st_mode & 0o777 == 0o600
     (tmp_path / "bad-mdb-2.json").write_text("{")
     known = config.read_configurations(str(tmp_path))
-    assert config.match_configuration(known, "De Lijn") and not config.match_configuration(known, "other") and not config.match_configuration(known * 2, "de-lijn")
+    assert config.match_configuration(known, "Hill Line") and not config.match_configuration(known, "other") and not config.match_configuration(known * 2, "hill-line")
     with pytest.raises(ValueError):
         config.parse_day("2024-02-30")
     with pytest.raises(ValueError):
