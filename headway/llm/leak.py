@@ -9,6 +9,8 @@ may skip whole lines (adverts, neighbouring columns), never words within a line.
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -23,19 +25,30 @@ from headway.llm.pages import BREAKS, WORD, fold, joined, printed_lines
 RUN = 12
 #: Words of the hashed windows.
 NGRAM = 3
-#: Characters of passages that one broadcast holds; more passages go in several passes.
-BLOCK_CHARS = 64_000_000
+#: Characters of passages that one broadcast holds; their index takes about 40 times as many bytes in a Python worker. More passages go in several passes.
+BLOCK_CHARS = 8_000_000
+#: Page words whose meanings a worker remembers.
+REMEMBERED = 200_000
 
-
-def _windows(words: Sequence[str]) -> Iterator[tuple[str, ...]]:
-    return zip(*(words[i:] for i in range(NGRAM)))
+_DIGIT = re.compile("[0-9]")
+_NOTHING: frozenset[int] = frozenset()
 
 
-_DIGIT = re.compile("[0-9]")
+def _shortened(word: str, most: int) -> set[str]:
+    """The word with up to `most` letters left out."""
+    out = new = {word}
+    for _ in range(most):
+        new = {w[:i] + w[i + 1 :] for w in new for i in range(len(w))}
+        out = out | new
+    return out
 
 
 class Passages:
-    """Hash index of the passages; passages that fold alike are held once."""
+    """Hash index of the passages' windows, and of the words that page words may stand for.
+
+    Passages that fold alike are held once. Words are numbers; a window is one number
+    made of three.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         groups: dict[tuple[str, ...], list[int]] = defaultdict(list)
@@ -45,11 +58,44 @@ class Passages:
                 groups[words].append(item)
         self.words = list(groups)
         self.items = list(groups.values())
-        self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for k, words in enumerate(self.words):
-            for i, gram in enumerate(_windows(words)):
+        self.vocabulary: dict[str, int] = {}
+        for words in self.words:
+            for w in words:
+                self.vocabulary.setdefault(w, len(self.vocabulary))
+        self.meant = list(self.vocabulary)
+        self.numbers = [array("i", (self.vocabulary[w] for w in words)) for words in self.words]
+        self.size = len(self.vocabulary)
+        self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, numbers in enumerate(self.numbers):
+            for i, gram in self.windows(numbers):
                 self.grams[gram].append((k, i))
-        self.keys = frozenset(self.grams)
+        self._near: dict[str, list[int]] = defaultdict(list)
+        for w, number in self.vocabulary.items():
+            if len(w) >= 3 and not _DIGIT.search(w):
+                for short in _shortened(w, 1 if len(w) < 7 else 2):
+                    self._near[short].append(number)
+        self._known: dict[str, frozenset[int]] = {}
+
+    def windows(self, numbers: Sequence[int]) -> Iterator[tuple[int, int]]:
+        """(place, window) of all windows of known words; the unknown are -1."""
+        n = self.size
+        for i, (a, b, c) in enumerate(zip(numbers, numbers[1:], numbers[2:])):
+            if a >= 0 and b >= 0 and c >= 0:
+                yield i, (a * n + b) * n + c
+
+    def meanings(self, seen: str) -> frozenset[int]:
+        """The numbers of all words of passages that a folded word may be a misreading of (`same_word`)."""
+        known = self._known.get(seen)
+        if known is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            found = {self.vocabulary[seen]} if seen in self.vocabulary else set()
+            if not _DIGIT.search(seen) and len(seen) < 40:
+                found.update(n for short in _shortened(seen, 2 if len(seen) > 4 else 1) for n in self._near.get(short, ()) if n not in found and same_word(seen, self.meant[n]))
+            elif not _DIGIT.search(seen):
+                found.update(n for w, n in self.vocabulary.items() if same_word(seen, w))
+            known = self._known[seen] = frozenset(found) if found else _NOTHING
+        return known
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -81,8 +127,31 @@ def same_word(seen: str, meant: str) -> bool:
 def part_of(piece: str, meant: str, head: bool) -> bool:
     """Whether a folded piece of a broken word can be the head, or else the tail, of a misreading of a word."""
     most = 1 if len(meant) < 7 else 2
-    sizes = range(max(0, len(piece) - most), min(len(meant), len(piece) + most) + 1)
-    return any(_distance(piece, meant[:n] if head else meant[len(meant) - n :], most) <= most for n in sizes)
+    if len(piece) <= most:
+        return True
+    if len(piece) > len(meant) + most:
+        return False
+    if not head:
+        piece, meant = piece[::-1], meant[::-1]
+    if meant.startswith(piece):
+        return True
+    # One table for all lengths of the word's part: row j is the distance of the piece's first letters to the part of j letters.
+    row = list(range(len(piece) + 1))
+    for j, y in enumerate(meant[: len(piece) + most], 1):
+        last, row[0] = row[0], j
+        least = j
+        for i, x in enumerate(piece, 1):
+            here = last if x == y else 1 + (last if last < row[i] else row[i])
+            if row[i - 1] < here - 1:
+                here = row[i - 1] + 1
+            last, row[i] = row[i], here
+            if here < least:
+                least = here
+        if row[-1] <= most:
+            return True
+        if least > most:
+            return False
+    return False
 
 
 def longest_run(lines: list[str], passage: tuple[str, ...]) -> tuple[int, int, int]:
@@ -158,13 +227,32 @@ def longest_run(lines: list[str], passage: tuple[str, ...]) -> tuple[int, int, i
 def scan_page(text: str, x0: list[int] | None, y0: list[int] | None, index: Passages) -> list[tuple[int, int, int, int]]:
     """(item, words, first line, last line) of each passage that a page contains."""
     lines = printed_lines(text, x0, y0)
-    page = _Words(lines)
+    page = _Words(lines, index)
     opened: set[int] = set()
-    for j, gram in enumerate(_windows(page.words)):
-        if gram in index.keys:
-            for k, i in index.grams[gram]:
-                if k not in opened and page.may_run(index.words[k], i, j):
+    failed: set[tuple[int, int]] = set()
+    last = -2
+    for j, gram in index.windows(page.numbers):
+        hits = index.grams.get(gram)
+        if hits is None:
+            continue
+        # A run needs a next word on one side at least; inside a line that is the neighbour.
+        right_open, right = page.neighbour(j + NGRAM - 1, 1)
+        left_open, left = page.neighbour(j, -1)
+        # What failed one word before fails here too, unless a line begins here.
+        before, failed = (set() if last != j - 1 or j in page.firsts else failed), set()
+        last = j
+        for k, i in hits:
+            if k in opened:
+                continue
+            if (k, i - 1) not in before:
+                passage = index.numbers[k]
+                after = len(passage) - i - NGRAM
+                ahead = after > 0 and (passage[i + NGRAM] in right or right_open and page.may_cross(j + NGRAM - 1, 1, passage[i + NGRAM], passage[i + NGRAM + 1] if after > 1 else -1))
+                back = i > 0 and (passage[i - 1] in left or left_open and page.may_cross(j, -1, passage[i - 1], passage[i - 2] if i > 1 else -1))
+                if NGRAM + (after if ahead else 0) + (i if back else 0) >= RUN and page.may_run(k, i, j, ahead, back):
                     opened.add(k)
+                    continue
+            failed.add((k, i))
     out = []
     for k in sorted(opened):
         length, first, last = longest_run(lines, index.words[k])
@@ -174,74 +262,160 @@ def scan_page(text: str, x0: list[int] | None, y0: list[int] | None, index: Pass
 
 
 class _Words:
-    """A page's words with broken ones put together, and where lines begin and end among them."""
+    """A page's words with broken ones put together, what they may stand for, and where lines begin and end among them."""
 
-    def __init__(self, lines: list[str]):
+    def __init__(self, lines: list[str], index: Passages):
+        self.index = index
         self.words: list[str] = []
-        starts: list[int] = []
+        words, starts, head = self.words, [], None
         self.broken: dict[int, tuple[str, str]] = {}
-        # Broken words are put together before folding, since letters at the break may fold as one.
-        for part in fold("\n".join(joined([x]) for x in lines).replace(" \n", "\v").replace("\n", "").replace("\v", "\n")).split("\n"):
-            found = WORD.findall(part)
-            if found:
-                starts.append(len(self.words))
-                self.words += found
-        self.starts = starts
-        self.ends = {j - 1 for j in starts} | {len(self.words) - 1}
-        at, head = 0, None
-        for line in lines:  # lines that end in a broken word begin and end in the middle of a part
-            found = WORD.findall(line)
+        for raw, folded in zip(lines, fold("\n".join(lines)).split("\n"), strict=True):
+            found = WORD.findall(folded)
             if not found:
                 continue
-            if head is not None:
-                self.broken[at] = (head, fold(found[0]))
-            at, head = at + len(found), None
-            tail = line.strip()
-            if tail[-1] in BREAKS and tail[-2:-1].isalnum():
-                at, head = at - 1, fold(found[-1])
+            if head is None:
+                starts.append(len(words))
+                words += found
+            else:  # put together before folding, since letters at the break may fold as one
+                self.broken[len(words) - 1] = (words[-1], found[0])
+                words[-1] = WORD.findall(fold(head + WORD.search(raw).group()))[0]
+                words += found[1:]
+            tail = raw.rstrip()
+            head = WORD.findall(raw)[-1] if tail[-1] in BREAKS and tail[-2:-1].isalnum() else None
         if head is not None:
-            self.broken[at] = (head, "")
-        self.firsts = sorted({*starts, *self.broken})
-        self.first_set, self.ends = set(self.firsts), self.ends | set(self.broken)
+            self.broken[len(words) - 1] = (words[-1], "")
+        self.numbers = [index.vocabulary.get(w, -1) for w in words]
+        self.firsts = {*starts, *self.broken}
+        self.ends = {j - 1 for j in starts} | {len(words) - 1} | set(self.broken)
+        self.meanings: list[frozenset[int] | None] = [None] * len(words)
+        size, loose = len(words), {1: set(self.broken), -1: set(self.broken) | (self.firsts if self.broken else set())}
+        #: By whether it is for jumps (0) or what comes after a passed piece (1), and by direction: places, and those that show only in parts what they may stand for.
+        self.places = {(shift, step): [q + shift * step for q in (self.firsts if step > 0 else self.ends) if 0 <= q + shift * step < size] for shift in (0, 1) for step in (1, -1)}
+        self.loose = {key: [q for q in places if q in loose[key[1]]] for key, places in self.places.items()}
+        self.side: dict[tuple[int, int], dict[int, list[int]]] = {}
+        self.found: dict[tuple[int, int, int], list[int]] = {}
+        self.pieces: dict[int, bool] = {}
+        self.edges: dict[int, tuple[dict[int, list[frozenset[int]]], set[int], set[int]]] = {}
+        #: Whether a broken word stands in a line of its own.
+        self.odd = any(q - 1 in self.broken or q + 1 in self.broken for q in self.broken)
+
+    def in_pieces(self, number: int) -> bool:
+        """Whether a word may stand on the page broken, its pieces at any lines, or as a piece of what looks broken."""
+        known = self.pieces.get(number)
+        if known is None:
+            meant = self.index.meant[number]
+            known = self.pieces[number] = any(part_of(head, meant, True) or same_word(tail, meant) for head, tail in self.broken.values())
+        return known
+
+    def neighbour(self, p: int, step: int) -> tuple[bool, frozenset[int]]:
+        """Whether a run may go on from p elsewhere than at its neighbour, or there in pieces; and the words the neighbour may stand for."""
+        q = p + step
+        wide = p in (self.ends if step > 0 else self.firsts) or q in self.broken or step < 0 and bool(self.broken) and q in self.firsts
+        return wide, self._means(q) if 0 <= q < len(self.words) else _NOTHING
+
+    def may_cross(self, p: int, step: int, one: int, two: int) -> bool:
+        """Whether the next two words of a run (`two` -1 at the passage's end) may follow at any other line, or the first of them in pieces.
+
+        It looks one word further than the jump itself, which settles nearly all cases met by chance.
+        """
+        edge = self.edges.get(step)
+        if edge is None:
+            pairs, alone, beyond, size = {}, set(), set(), len(self.words)
+            for q in self.firsts if step > 0 else self.ends:
+                here, r = self._means(q), q + step
+                if not 0 <= r < size or r in self.broken or q in (self.ends if step > 0 else self.firsts) or step < 0 and r in self.firsts:
+                    alone |= here  # what follows is not settled by the next word
+                if 0 <= r < size:
+                    after = self._means(r)
+                    beyond |= after
+                    if after:
+                        for a in here:
+                            pairs.setdefault(a, []).append(after)
+            edge = self.edges[step] = (pairs, alone, beyond)
+        pairs, alone, beyond = edge
+        if one in alone or one in pairs and any(two in after for after in pairs[one]):
+            return True
+        if two < 0 or self.odd:
+            return bool(self._at_lines(one, 0, step)) or bool(self.broken) and (self.in_pieces(one) or one in beyond)
+        return bool(self.broken) and (one in beyond and p in self.broken or two in beyond and self.in_pieces(one))
 
-    def may_run(self, passage: tuple[str, ...], i: int, j: int) -> bool:
-        """Whether a run of `RUN` words may go through the window at i of a passage and j of the page.
+    def may_run(self, k: int, i: int, j: int, ahead: bool = True, back: bool = True) -> bool:
+        """Whether a run of `RUN` words may go through the window at i of a passage and j of the page, `ahead` or `back` of it.
 
         It goes on with the next word or, at a line's end, at any other line in the direction;
         a word broken at a line's end may go on at any other line too. Wider than `longest_run`, which decides.
         """
-        ahead = self._follow(passage, i + NGRAM - 1, j + NGRAM - 1, 1, RUN - NGRAM)
-        return ahead + NGRAM >= RUN or ahead + NGRAM + self._follow(passage, i, j, -1, RUN - NGRAM - ahead) >= RUN
-
-    def _stands_for(self, q: int, meant: str) -> bool:
-        if same_word(self.words[q], meant):
+        passage = self.index.numbers[k]
+        n = NGRAM + (self._follow(passage, i + NGRAM - 1, j + NGRAM - 1, 1, RUN - NGRAM) if ahead else 0)
+        return n >= RUN or back and i >= RUN - n and n + self._follow(passage, i, j, -1, RUN - n) >= RUN
+
+    def _means(self, q: int) -> frozenset[int]:
+        known = self.meanings[q]
+        if known is None:
+            known = self.meanings[q] = self.index.meanings(self.words[q])
+        return known
+
+    def _stands_for(self, q: int, number: int, step: int) -> bool:
+        if number in self._means(q):
             return True
+        # Going back, a word may end in a first word whose head is at another line's end.
+        at_tail = step < 0 and q in self.firsts
+        if not self.broken or not (at_tail or q in self.broken) or not self.in_pieces(number):
+            return False
+        meant = self.index.meant[number]
         head, tail = self.broken.get(q, ("", ""))
-        return bool(head) and (part_of(head, meant, True) or same_word(tail, meant) or part_of(tail, meant, False))
-
-    def _follow(self, passage: tuple[str, ...], i: int, j: int, step: int, most: int) -> int:
-        places, n = {j}, 0
+        if head and (part_of(head, meant, True) or same_word(tail, meant) or part_of(tail, meant, False)):
+            return True
+        return at_tail and len(self.words[q]) < len(meant) and part_of(self.words[q], meant, False)
+
+    def _at_lines(self, number: int, shift: int, step: int) -> list[int]:
+        """Firsts of lines (ends, going back), or with `shift` their neighbours, that may stand for a word."""
+        found = self.found.get((number, shift, step))
+        if found is None:
+            side = self.side.get((shift, step))
+            if side is None:
+                side = self.side[shift, step] = defaultdict(list)
+                for q in self.places[shift, step]:
+                    for n in self._means(q):
+                        side[n].append(q)
+            found = side.get(number, ())
+            if self.broken and self.in_pieces(number):
+                found = [*found, *(q for q in self.loose[shift, step] if self._stands_for(q, number, step))]
+            self.found[number, shift, step] = found
+        return found
+
+    def _follow(self, passage: Sequence[int], i: int, j: int, step: int, most: int) -> int:
+        places, n, size = {j}, 0, len(self.words)
+        line_ends = self.ends if step > 0 else self.firsts
         while n < most and 0 <= i + step < len(passage):
             i += step
-            meant, after = passage[i], set()
-            for p in places:
-                if 0 <= p + step < len(self.words):
-                    after.add(p + step)
-            jumps = [p for p in places if p in (self.ends if step > 0 else self.first_set)]
+            number = passage[i]
+            after = {p + step for p in places if 0 <= p + step < size and self._stands_for(p + step, number, step)}
+            jumps = [p for p in places if p in line_ends]
             if jumps:
-                after.update(q for q in self.firsts if q > min(jumps)) if step > 0 else after.update(q for q in self.ends if q < max(jumps))
-            cut = [p for p in places if p in self.broken]
+                bound = min(jumps) if step > 0 else max(jumps)
+                after.update(q for q in self._at_lines(number, 0, step) if (q > bound if step > 0 else q < bound))
+            cut = [p for p in jumps if p in self.broken] if jumps else ()
             if cut:  # the other piece was passed with the word
-                after.update(q + step for q in (self.firsts if step > 0 else self.ends) if 0 <= q + step < len(self.words) and (q > min(cut) if step > 0 else q < max(cut)))
-            places = {q for q in after if self._stands_for(q, meant)}
-            if step < 0:  # a word may end in a first word whose head is at another line's end
-                places |= {q for q in after if q in self.first_set and q not in places and len(self.words[q]) < len(meant) and part_of(self.words[q], meant, False)}
-            if not places:
+                bound = min(cut) if step > 0 else max(cut)
+                after.update(q for q in self._at_lines(number, 1, step) if (q - step > bound if step > 0 else q - step < bound))
+            if not after:
                 break
+            places = after
             n += 1
         return n
 
 
+#: The index a worker holds, and of which passages; workers outlive tasks.
+_HELD: dict[str, object] = {"key": None, "index": None}
+
+
+def _index_of(key: str, rows: list[tuple[int, str]]) -> Passages:
+    if _HELD["key"] != key:
+        _HELD.update(key=key, index=Passages(rows))
+    return _HELD["index"]
+
+
 def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, words, first_line, last_line), a row per page and item found in it.
 
@@ -260,8 +434,8 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
         part = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else usable
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Passages(shared.value)
+        def run(batches: Iterator[pd.DataFrame], shared=shared, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            index = _index_of(key, shared.value)
             for batch in batches:
                 rows = [
                     (doc, *hit)
