@@ -1,6 +1,7 @@
 """Small fixtures for the feed quality operators, against brute force and by hand."""
 
 import random
+import re
 from datetime import datetime as dt
 
 from brute_times import date_value, time_value
@@ -152,6 +153,32 @@ def test_repairs_cost_least():
     assert reject.repair('a,"b,c', 3) == (1, "delete_quote:1")
     assert reject.repair('a,b"x,c', 3)[0] == 1
     assert reject.repair("", 1) == (0, "")
+    assert reject.repair("a", 9) == (8, "insert_delimiter:8") and reject.repair('"' * 40001, 1)[0] == 1
+
+
+def _parses(text):
+    """The number of fields of a record that parses, by hand; 0 if it doesn't."""
+    fields, rest = 0, text + ","
+    while rest:
+        m = re.match(r'("(?:[^"]|"")*"|[^",]*),', rest, re.S)
+        if not m:
+            return 0
+        fields, rest = fields + 1, rest[m.end() :]
+    return fields
+
+
+def test_repairs_against_search():
+    """Breadth first over all single edits of short records."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice('a",b') for _ in range(rng.randrange(7))) for _ in range(60)]
+    assert list(reject.free_parses([t.encode() for t in texts])) == [_parses(t) for t in texts]
+    for want in (1, 2, 3):
+        for text, (cost, _) in zip(texts, reject.repairs([t.encode() for t in texts], want)):
+            level, near = 0, {text}
+            while level < 3 and not any(_parses(t) == want for t in near):
+                near = {t[:i] + x + t[i:] for t in near for i in range(len(t) + 1) for x in '",'} | {t[:i] + t[i + 1 :] for t in near for i in range(len(t)) if t[i] in '",'}
+                level += 1
+            assert cost == level or level == 3 and cost >= 3, (text, want)
 
 
 ZONES = {"be": ("Europe/Brussels", "DMY"), "us": ("America/New_York", "MDY"), "in": ("Asia/Kolkata", "DMY")}
