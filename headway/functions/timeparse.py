@@ -7,17 +7,19 @@ seconds since 1970 as bigint, so that no result depends on the session's zone.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions.text import strip
 
-# Zone abbreviations and their offsets from UTC in minutes.
+# Zone abbreviations that mean one offset wherever they occur, in minutes from UTC. Others are read by the source's own zone.
 ABBREVIATIONS = {
-    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
-    "IST": 330, "JST": 540, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
+    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180, "JST": 540,
+    "EST": -300, "EDT": -240, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
 }
 # English month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -48,7 +50,7 @@ _ORDINAL = r"^([0-9]{4})-([0-9]{3})$"
 
 
 def _forms(times: bool) -> list[tuple[str, str]]:
-    """(pattern, template) in order; a template is kind|y|a|b|h|mi|s|zone|half."""
+    """(pattern, template) in order; a template is kind|y|a|b|h|mi|s|zone|half|form, forms numbered."""
     out = [*_CLOCKS] if times else [(r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "dated|$1|$2|$3|||||"), (_ORDINAL, "ordinal|$1||$2|||||")]
     out = [(p, t.replace("clock|||", "clock||||")) for p, t in out]
     out += [(_EPOCH, "epoch|$1|||||||"), (_COMPACT, "dated|$1|$2|$3|$4|$5|$6|$7|")]
@@ -56,7 +58,7 @@ def _forms(times: bool) -> list[tuple[str, str]]:
         out.append((f"^{day}{_OF_DAY}$", f"{template}|${n + 1}|${n + 2}|${n + 3}|${n + 4}|"))
         if not times:
             out.append((f"^{day}$", f"{template}|||||"))
-    return out
+    return [(p, f"{t}|{i}") for i, (p, t) in enumerate(out)]
 
 
 def tokens(value: Column, times: bool) -> Column:
@@ -84,7 +86,7 @@ def with_parts(df: DataFrame, value: Column, times: bool) -> DataFrame:
 
     kind is `clock` (elapsed time h, mi, s), `epoch` (seconds), `dated` (year y, month
     a, day b) or `numeric` (a and b in unknown order). Dated kinds without a time of
-    day have a NULL h.
+    day have a NULL h. `form` numbers the pattern that the value is written by.
     """
     df = df.withColumn("_tokens", tokens(value, times)).withColumn("_parts", F.split("_tokens", r"\|", -1))
     t = lambda i: F.nullif(F.get("_parts", F.lit(i)), F.lit(""))
@@ -101,7 +103,7 @@ def with_parts(df: DataFrame, value: Column, times: bool) -> DataFrame:
         F.when(ordinal, F.month(day_of_year)).when(kind == "numeric", _int(t(2))).otherwise(_month(t(2))).alias("a"),
         F.when(ordinal, F.day(day_of_year)).when(kind == "ordinal", None).otherwise(_int(t(3))).alias("b"),
         hour.alias("h"), _int(t(5)).alias("mi"), F.when(hour.isNotNull(), F.coalesce(_int(t(6)), F.lit(0))).alias("s"),
-        t(7).alias("zone"), F.when(kind == "epoch", epoch).cast("bigint").alias("epoch"),
+        t(7).alias("zone"), F.when(kind == "epoch", epoch).cast("bigint").alias("epoch"), _int(t(9)).alias("form"),
     )
     return df.withColumn("parsed", F.when(F.col("_tokens").isNotNull(), parts)).drop("_parts", "_tokens")
 
@@ -110,7 +112,8 @@ def local_date(p: Column, order: Column) -> Column:
     """The date of a parsed value as written, given `DMY` or `MDY` for all-numeric ones; NULL where no such day exists."""
     swap = (p["kind"] == "numeric") & (order == "DMY")
     month, day = F.when(swap, p["b"]).otherwise(p["a"]), F.when(swap, p["a"]).otherwise(p["b"])
-    return F.format_string("%04d-%02d-%02d", p["y"], month, day).try_cast("date")
+    first = F.when(month.between(1, 12) & p["y"].between(1, 9999), F.make_date(p["y"], month, F.lit(1)))
+    return F.when(day.between(1, F.day(F.last_day(first))), F.date_add(first, day - 1))
 
 
 def epoch_of(wall: Column) -> Column:
@@ -139,15 +142,30 @@ def zone_state(wall: Column, utc: Column, zone: Column) -> Column:
     return F.when(to_local(utc, zone) != wall, "nonexistent").when(twice, "ambiguous")
 
 
-def offset_seconds(zone: Column) -> Column:
-    """Offset of a written zone, NULL for none and for named zones."""
+def zone_abbreviations(zone: str | None) -> dict[str, int]:
+    """The abbreviations that a zone itself has used since 2000, with their offsets in seconds."""
+    try:
+        own = ZoneInfo(zone) if zone else None
+    except (ZoneInfoNotFoundError, ValueError):
+        own = None
+    found = {}
+    for month in range(12 * 38) if own else ():
+        at = datetime(2000 + month // 12, month % 12 + 1, 15, tzinfo=own)
+        if at.tzname().isalpha():
+            found[at.tzname().upper()] = int(at.utcoffset().total_seconds())
+    return found
+
+
+def offset_seconds(zone: Column, own: Column) -> Column:
+    """Offset of a written zone, NULL for none and for named zones; abbreviations are those of the map `own`, or else unmistakable ones."""
     signed = r"^([+-])([0-9]{2}):?([0-9]{2})?$"
     value = F.coalesce(_int(F.regexp_extract(zone, signed, 2)), F.lit(0)) * 3600 + F.coalesce(_int(F.regexp_extract(zone, signed, 3)), F.lit(0)) * 60
     known = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)])
-    return F.when(zone.rlike(signed), F.when(zone.startswith("-"), -value).otherwise(value)).otherwise(F.try_element_at(known, F.upper(zone)))
+    named = F.coalesce(F.try_element_at(own, F.upper(zone)), F.try_element_at(known, F.upper(zone)))
+    return F.when(zone.rlike(signed), F.when(zone.startswith("-"), -value).otherwise(value)).otherwise(named)
 
 
-def named_zone(zone: Column, known: list[str]) -> Column:
-    """The IANA zone written, with or without brackets, if it is one of `known`."""
-    name = F.regexp_replace(zone, r"[\[\]]", "")
-    return F.when(name.isin(known), name)
+def named_zone(zone: str, known: list[str]) -> Column:
+    """The IANA zone written in the column named `zone`, with or without brackets, if it is one of `known`."""
+    name = f"regexp_replace({zone}, '[\\\\[\\\\]]', '')"
+    return F.expr(f"CASE WHEN {name} IN ({', '.join(repr(k) for k in known)}) THEN {name} END")

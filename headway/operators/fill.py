@@ -18,37 +18,37 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 
 
-def _point(c: str) -> Column:
-    """The position with its value, where one is observed."""
-    return F.when(F.col(c).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(c).alias("v")))
-
-
 def neighbours(points: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(entity, _x, and per column its value, the last observed point at or before and the first at or after)."""
-    points = points.withColumn("_chunk", F.floor(F.col("_x") / CHUNK).cast("bigint"))
-    inside = Window.partitionBy("_entity", "_chunk").orderBy("_x")
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    local = points.select(
-        "_entity", "_chunk", "_x", *columns,
-        *[F.last(_point(c), ignorenulls=True).over(back).alias(f"_b_{c}") for c in columns],
-        *[F.first(_point(c), ignorenulls=True).over(ahead).alias(f"_a_{c}") for c in columns],
-    )
+    """(_entity, _x, and per column its value, place and value of the last observed point at or before and of the first at or after).
+
+    Both looks are running windows, in either order, over one partitioning by chunk; the
+    chunks' own first and last points come from the same partitioning.
+    """
+    points = points.withColumn("_chunk", F.floor(F.col("_x") / CHUNK).cast("bigint")).repartition("_entity", "_chunk")
+    inside = Window.partitionBy("_entity", "_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    back, ahead = inside.orderBy("_x"), inside.orderBy(F.col("_x").desc())
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("_x"))
+    looks = {}
+    for side, w in (("b", back), ("a", ahead)):
+        for c in columns:
+            looks[f"_{side}x_{c}"] = F.last(at(c), ignorenulls=True).over(w)
+            looks[f"_{side}v_{c}"] = F.last(c, ignorenulls=True).over(w)
+    local = points.select("_entity", "_chunk", "_x", *columns, *[e.alias(n) for n, e in looks.items()])
     chunks = points.groupBy("_entity", "_chunk").agg(
-        *[F.max_by(_point(c), F.when(F.col(c).isNotNull(), F.col("_x"))).alias(f"_l_{c}") for c in columns],
-        *[F.min_by(_point(c), F.when(F.col(c).isNotNull(), F.col("_x"))).alias(f"_f_{c}") for c in columns],
+        *[f.alias(n) for c in columns for n, f in ((f"_lx_{c}", F.max(at(c))), (f"_lv_{c}", F.max_by(c, at(c))), (f"_fx_{c}", F.min(at(c))), (f"_fv_{c}", F.min_by(c, at(c))))]
     )
     order = Window.partitionBy("_entity").orderBy("_chunk")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_entity").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = chunks.select(
         F.col("_entity").alias("_e"), F.col("_chunk").alias("_c"),
-        *[F.last(f"_l_{c}", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_pb_{c}") for c in columns],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias(f"_pa_{c}") for c in columns],
-    )
-    joined = local.join(carried, F.col("_entity").eqNullSafe(F.col("_e")) & (F.col("_chunk") == F.col("_c")))
-    return joined.select(
-        "_entity", "_x", *columns,
-        *[F.coalesce(f"_b_{c}", f"_pb_{c}").alias(f"_before_{c}") for c in columns],
-        *[F.coalesce(f"_a_{c}", f"_pa_{c}").alias(f"_after_{c}") for c in columns],
+        *[F.last(f"_l{k}_{c}", ignorenulls=True).over(earlier).alias(f"_pb{k}_{c}") for c in columns for k in "xv"],
+        *[F.last(f"_f{k}_{c}", ignorenulls=True).over(later).alias(f"_pa{k}_{c}") for c in columns for k in "xv"],
     )
+    # Most entities have one chunk: nothing is carried to them.
+    carried = carried.where(reduce(lambda a, b: a | b, [F.col(f"_p{s}x_{c}").isNotNull() for c in columns for s in "ba"]))
+    joined = local.join(carried, (F.col("_entity") == F.col("_e")) & (F.col("_chunk") == F.col("_c")), "left")
+    both = lambda s, k, c: F.when(F.col(f"_{s}x_{c}").isNotNull(), F.col(f"_{s}{k}_{c}")).otherwise(F.col(f"_p{s}{k}_{c}"))
+    return joined.select("_entity", "_x", *columns, *[both(s, k, c).alias(f"_{s}{k}_{c}") for c in columns for s in "ba" for k in "xv"])
 
 
 def fill_in_order(
@@ -59,7 +59,7 @@ def fill_in_order(
     categories: dict[str, Column],
     keep: Sequence[str | Column],
     max_gap: int = 3,
-    missing: Column | None = None,
+    gaps: tuple[DataFrame, dict[str, Column]] | None = None,
 ) -> DataFrame:
     """(*keep, field_name, value, method, distance), a row per missing value that could be filled.
 
@@ -70,31 +70,33 @@ def fill_in_order(
     carried_back; `distance` is in positions to the nearest value used. Where several
     rows share entity and position with different values the least counts. Rows
     with a NULL entity, and entities without any value, stay unfilled. A NULL position
-    counts as 0. `missing` may say more cheaply than the values which rows lack one.
+    counts as 0. `gaps` may give more cheaply than `df` the rows to fill, with which
+    fields they lack; entity, position and `keep` are read from them then.
     """
     fields = list(numeric) + list(categories)
-    kept = df.select(*keep).columns
-    rows = df.select(*keep, entity.alias("_entity"), F.coalesce(position.cast("bigint"), F.lit(0)).alias("_x"), *[c.alias(f"_v_{n}") for n, c in (numeric | categories).items()], F.lit(True).alias("_missing") if missing is None else missing.alias("_missing"))
-    rows = rows.where(F.col("_entity").isNotNull())
+    place = [entity.alias("_entity"), F.coalesce(position.cast("bigint"), F.lit(0)).alias("_x")]
+    rows = df.select(*place, *[c.alias(f"_v_{n}") for n, c in (numeric | categories).items()]).where(F.col("_entity").isNotNull())
     points = rows.groupBy("_entity", "_x").agg(*[F.min(f"_v_{n}").alias(f"_v_{n}") for n in fields])
     near = neighbours(points, [f"_v_{n}" for n in fields])
     made = []
     for n in fields:
-        before, after, x = F.col(f"_before__v_{n}"), F.col(f"_after__v_{n}"), F.col("_x")
-        left, right = x - before["x"], after["x"] - x
+        bx, before, ax, after = (F.col(f"_{k}__v_{n}") for k in ("bx", "bv", "ax", "av"))
+        left, right = F.col("_x") - bx, ax - F.col("_x")
         if n in numeric:
-            between = before["v"] + F.round((after["v"] - before["v"]) * left / (after["x"] - before["x"])).cast("bigint")
-            value = F.when(left == 0, before["v"]).when(before.isNull(), after["v"]).when(after.isNull(), before["v"]).otherwise(between)
+            between = before + F.round((after - before) * left / (ax - bx)).cast("bigint")
+            value = F.when(left == 0, before).when(before.isNull(), after).when(after.isNull(), before).otherwise(between)
             method = F.when(left == 0, "same_place").when(before.isNull(), "held_back").when(after.isNull(), "held_forward").otherwise("interpolated")
             distance = F.least(left, right)
         else:
             ahead = left.isNull() | (left > max_gap)
-            value = F.when(~ahead, before["v"]).when(right <= max_gap, after["v"])
+            value = F.when(~ahead, before).when(right <= max_gap, after)
             method = F.when(left == 0, "same_place").when(~ahead, "carried_forward").otherwise("carried_back")
             distance = F.when(~ahead, left).otherwise(right)
         made.append(F.struct(F.lit(n).alias("field_name"), value.cast("string").alias("value"), method.alias("method"), distance.alias("distance")))
     offers = near.select(F.col("_entity").alias("_e"), F.col("_x").alias("_p"), *[m.alias(f"_o_{n}") for m, n in zip(made, fields, strict=True)])
-    lacking = reduce(lambda a, b: a | b, [F.col(f"_v_{n}").isNull() for n in fields])
-    filled = rows.where(lacking if missing is None else F.col("_missing")).join(offers, (F.col("_entity") == F.col("_e")) & (F.col("_x") == F.col("_p")))
-    options = F.array(*[F.when(F.col(f"_v_{n}").isNull() & F.col(f"_o_{n}.value").isNotNull(), F.col(f"_o_{n}")) for n in fields])
+    where, lacks = gaps if gaps else (df, {n: c.isNull() for n, c in (numeric | categories).items()})
+    kept = where.select(*keep).columns
+    lacking = where.select(*keep, *place, *[lacks[n].alias(f"_m_{n}") for n in fields]).where(F.col("_entity").isNotNull() & reduce(lambda a, b: a | b, [F.col(f"_m_{n}") for n in fields]))
+    filled = lacking.join(offers, (F.col("_entity") == F.col("_e")) & (F.col("_x") == F.col("_p")))
+    options = F.array(*[F.when(F.col(f"_m_{n}") & F.col(f"_o_{n}.value").isNotNull(), F.col(f"_o_{n}")) for n in fields])
     return filled.select(*kept, F.inline(F.filter(options, lambda o: o.isNotNull())))

@@ -1,21 +1,26 @@
 """References to records that do not exist, through a broadcast Bloom filter.
 
 The filter is a split-block Bloom filter held as a table of blocks: a key names one
-block and one bit in each of its eight words. Blocks are at most `BLOCKS` rows of
-72 bytes, however many keys there are, so broadcasting the filter is bounded at
-`72 * BLOCKS` bytes; more keys only make it less selective. A reference that the
-filter rejects is a definite orphan; the rest is verified by an exact join with the
-parents' validity in time.
+block and one bit in each of its eight words. Blocks are sized by the number of keys,
+`KEYS_PER_BLOCK` each, and are 72 bytes; up to `MOST_BLOCKS` of them are broadcast, 75
+MB. More keys than those hold make a filter that is joined by block, both sides
+partitioned. A reference that the filter rejects is a definite orphan; the rest is
+verified by an exact join with the parents' validity in time. References of several
+fields go through one filter and one join, and a child table is read once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text import strip_to_null
 
-BLOCKS = 1 << 16
+KEYS_PER_BLOCK = 40
+MOST_BLOCKS = 1 << 20
 _WORDS = 8
 
 
@@ -30,7 +35,12 @@ def _bit(key: Column, word: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
 
-def bloom_blocks(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(keys: int) -> int:
+    """Blocks of a filter for so many keys."""
+    return max(1, -(-keys // KEYS_PER_BLOCK))
+
+
+def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     """(_block, _w0 … _w7), at most `blocks` rows. NULL keys are not entered."""
     k = F.col(key)
     return (
@@ -40,9 +50,10 @@ def bloom_blocks(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     )
 
 
-def probe(df: DataFrame, key: Column, filter_blocks: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """`df` with the boolean `_maybe`: false where no entered key equals `key`."""
-    joined = df.withColumn("_probe", _block(key, blocks)).join(F.broadcast(filter_blocks), F.col("_probe") == F.col("_block"), "left")
+def probe(df: DataFrame, key: Column, filter_blocks: DataFrame, blocks: int) -> DataFrame:
+    """`df` with the boolean `_maybe`: false where no entered key equals `key`. The filter is broadcast if it is small enough."""
+    side = F.broadcast(filter_blocks) if blocks <= MOST_BLOCKS else filter_blocks
+    joined = df.withColumn("_probe", _block(key, blocks)).join(side, F.col("_probe") == F.col("_block"), "left")
     hit = F.col("_block").isNotNull()
     for i in range(_WORDS):
         bit = _bit(key, i)
@@ -83,32 +94,35 @@ def timeline(parents: DataFrame, key: str, loaded: str, deleted: str) -> DataFra
 
 def orphan_references(
     children: DataFrame,
-    reference: str,
+    references: Sequence[str],
     at: str,
     keep: list[str],
-    parents: DataFrame,
-    key: str,
+    parents: dict[str, tuple[DataFrame, str]],
     loaded: str = "loaded_at",
     deleted: str = "deleted_at",
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """(*keep, reason) for each child whose non-blank reference has no parent holding at `at`.
-
-    Blank references are no cases; outer blanks of both keys don't matter, letter case
-    does. `reason` is missing, late or deleted. A child with a NULL `at` can't be dated:
-    it is a case only where the key never occurs (missing). Without parents every
-    reference is missing. A hot key is hot only on the child side of an outer join
-    whose other side has a few rows a key, which adaptive execution splits.
+    """(*keep, field_name, reason) for each child and field whose non-blank reference has no parent holding at `at`.
+
+    `parents` has, for each field of `references`, its table and key column. Blank
+    references are no cases; outer blanks of both keys don't matter, letter case does.
+    `reason` is missing, late or deleted. A child with a NULL `at` can't be dated: it is a
+    case only where the key never occurs (missing). Without parents every reference is
+    missing. A hot key is hot only on the child side of an outer join whose other side
+    has a few rows a key, which adaptive execution splits. The distinct parent keys are
+    counted once here, to size the filter.
     """
-    parents = parents.select(strip_to_null(key).alias("_key"), F.col(loaded).alias("_loaded"), F.col(deleted).alias("_deleted"))
-    refs = children.select(*keep, F.col(at).alias("_at"), strip_to_null(reference).alias("_ref")).where(F.col("_ref").isNotNull())
-    probed = probe(refs, F.col("_ref"), bloom_blocks(parents, "_key", blocks), blocks)
-    proven = probed.where(~F.col("_maybe")).select(*keep, F.lit("missing").alias("reason"))
-    spans = timeline(parents, "_key", "_loaded", "_deleted")
-    verified = (
-        probed.where(F.col("_maybe"))
-        .join(spans, (F.col("_ref") == F.col("_parent")) & (F.coalesce("_at", F.lit("9998-12-31 00:00:00").cast("timestamp_ntz")) >= F.col("since")) & (F.coalesce("_at", F.lit("9998-12-31 00:00:00").cast("timestamp_ntz")) < F.col("until")), "left")
-        .where(F.col("state").isNull() | ((F.col("state") != "holds") & F.col("_at").isNotNull()))
-        .select(*keep, F.coalesce("state", F.lit("missing")).alias("reason"))
-    )
-    return proven.unionByName(verified)
+    tagged = lambda field, key: F.concat(F.lit(f"{field}\u0000"), key)
+    named = [parents[r][0].select(tagged(r, strip_to_null(parents[r][1])).alias("_key"), F.col(loaded).alias("_loaded"), F.col(deleted).alias("_deleted")) for r in references]
+    known = reduce(DataFrame.unionByName, named).where(F.col("_key").isNotNull())
+    spans = timeline(known, "_key", "_loaded", "_deleted")
+    if blocks is None:
+        blocks = blocks_for(known.agg(F.approx_count_distinct("_key")).first()[0])
+    fields = F.array(*[F.struct(F.lit(r).alias("field_name"), tagged(r, strip_to_null(r)).alias("_ref")) for r in references])
+    refs = children.select(*keep, F.coalesce(at, F.lit("9998-12-31 00:00:00").cast("timestamp_ntz")).alias("_at"), F.col(at).isNotNull().alias("_dated"), F.inline(fields)).where(F.col("_ref").isNotNull())
+    probed = probe(refs, F.col("_ref"), bloom_blocks(known, "_key", blocks), blocks)
+    # Proven orphans have no parent to meet; a sign that no key has keeps them apart and spread out.
+    meets = F.when(F.col("_maybe"), F.col("_ref")).otherwise(F.concat(F.lit("\u0000"), F.col("_ref")))
+    verified = probed.withColumn("_meets", meets).join(spans, (F.col("_meets") == F.col("_parent")) & (F.col("_at") >= F.col("since")) & (F.col("_at") < F.col("until")), "left")
+    orphan = F.col("state").isNull() | ((F.col("state") != "holds") & F.col("_dated"))
+    return verified.where(orphan).select(*keep, "field_name", F.coalesce("state", F.lit("missing")).alias("reason"))

@@ -1,10 +1,13 @@
 """Mixed timestamp formats and zones, brought to one unambiguous form.
 
-Which order an all-numeric date has is decided per source by expectation-maximisation
-over a mixture of orders: each value contributes likelihood under every order in which
-it is a real day, the posterior chooses. The values enter as counts per source and set
-of valid orders, at most three rows a source, so a source of any size is one small
-group. Readings whose posterior stays below the threshold are marked `ambiguous`.
+Each source is a mixture of formats: the written forms, of which all-numeric dates are
+two, day first and month first. Every value contributes its likelihood under each
+format by which it is a real day or time; expectation-maximisation learns the formats'
+weights per source, and the posterior chooses. A declared order is a prior worth
+`DECLARED` values, which more evidence than that overrules. Values enter as counts per
+source and set of valid formats, a bounded number of rows a source, so a source of any
+size is one small group. Readings whose posterior stays below the threshold are marked
+`ambiguous`.
 """
 
 from __future__ import annotations
@@ -12,63 +15,73 @@ from __future__ import annotations
 from zoneinfo import available_timezones
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import timeparse as tp
 from headway.functions.text import strip_to_null
 
 ORDERS = ("DMY", "MDY")
-#: Pseudo-counts of a declared order, and of each order where none is declared.
-DECLARED, UNDECLARED = 1e9, 1.0
+#: Pseudo-counts of a declared order, and of every format.
+DECLARED, UNDECLARED = 1000.0, 1.0
 THRESHOLD = 0.9
 ROUNDS = 50
 
 
-def _posterior(groups: pd.DataFrame) -> pd.DataFrame:
-    """EM for one source: mixture weights of the orders, then the posterior per set of valid orders."""
-    declared = groups["declared"].iloc[0]
-    prior = {o: DECLARED if o == declared else UNDECLARED for o in ORDERS}
-    weight = {o: prior[o] / sum(prior.values()) for o in ORDERS}
-    cases = [c for c in zip(groups["dmy"], groups["mdy"], groups["n"], strict=True) if c[0] or c[1]]
+def _mixture(groups: pd.DataFrame) -> dict[str, float]:
+    """EM for one source: the weights of its formats, from counts per set of valid ones."""
+    cases = [(tuple(f), int(n)) for f, n in zip(groups["formats"], groups["n"], strict=True) if len(f)]
+    declared = groups["declared"].dropna()
+    prior = {f: UNDECLARED for f in {*ORDERS, *(f for formats, _ in cases for f in formats)}}
+    for order in declared[:1]:
+        prior[order] += DECLARED
+    weight = {f: p / sum(prior.values()) for f, p in prior.items()}
     for _ in range(ROUNDS):
         mass = dict(prior)
-        for dmy, mdy, n in cases:
-            valid = [o for o, ok in zip(ORDERS, (dmy, mdy), strict=True) if ok]
-            total = sum(weight[o] for o in valid)
-            for o in valid:
-                mass[o] += n * weight[o] / total
+        for formats, n in cases:
+            total = sum(weight[f] for f in formats)
+            for f in formats:
+                mass[f] += n * weight[f] / total
         total = sum(mass.values())
-        weight = {o: mass[o] / total for o in ORDERS}
-    best = max(ORDERS, key=weight.__getitem__)
-    return pd.DataFrame({"source": [groups["source"].iloc[0]], "date_order": [best], "posterior": [weight[best]]})
+        weight = {f: m / total for f, m in mass.items()}
+    return weight
 
 
-def learn_orders(values: DataFrame, declared: DataFrame) -> DataFrame:
-    """(source, date_order, posterior), a row per source.
+def valid_formats(p: Column) -> Column:
+    """The formats by which a parsed value is a real day or time: its form, or the orders of an all-numeric date."""
+    day = {o: tp.local_date(p, F.lit(o)) for o in ORDERS}
+    # A date that both orders read alike, such as 5/5, says nothing about them.
+    orders = F.when(p["a"] == p["b"], F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(d.isNotNull(), F.lit(o)) for o, d in day.items()])))
+    dated = F.when(day["DMY"].isNotNull() | p["kind"].isin("clock", "epoch"), F.array(F.concat(F.lit("form "), p["form"].cast("string"))))
+    return F.coalesce(F.when(p["kind"] == "numeric", orders).otherwise(dated), F.array().cast("array<string>"))
 
-    `values` has source and parsed (of `timeparse.with_parts`), `declared` source and
-    declared (`DMY`, `MDY` or NULL), a row per source.
+
+def learn_formats(values: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, zone, date_order, posterior, abbreviations), a row per source.
+
+    `values` has source and parsed (of `timeparse.with_parts`), `sources` source, zone and
+    declared (`DMY`, `MDY` or NULL), a row per source. The posterior is that of the
+    likelier order for a date that both orders allow.
     """
-    p = F.col("parsed")
-    tells = F.coalesce((p["kind"] == "numeric") & (p["a"] != p["b"]), F.lit(False))
-    valid = {o: tells & tp.local_date(p, F.lit(o)).isNotNull() for o in ORDERS}
     # No filters here: one on a parsed value would be pushed down and parse a second time.
-    counts = values.select("source", valid["DMY"].alias("dmy"), valid["MDY"].alias("mdy")).groupBy("source", "dmy", "mdy").agg(F.count(F.lit(1)).alias("n"))
-    known = declared.select("source", F.lit(False).alias("dmy"), F.lit(False).alias("mdy"), F.lit(0).cast("bigint").alias("n"), "declared")
-    rows = counts.withColumn("declared", F.lit(None).cast("string")).unionByName(known)
-    rows = rows.groupBy("source", "dmy", "mdy").agg(F.sum("n").alias("n"), F.max("declared").alias("declared"))
+    counts = values.select("source", valid_formats(F.col("parsed")).alias("formats")).groupBy("source", "formats").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    known = sources.select("source", F.array().cast("array<string>").alias("formats"), F.lit(0).cast("bigint").alias("n"), "declared", "zone")
+    rows = counts.select("source", "formats", "n", none.alias("declared"), none.alias("zone")).unionByName(known)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        named = group["declared"].dropna()
-        group = group.assign(declared=named.iloc[0] if len(named) else None)
-        return _posterior(group)
+        weight = _mixture(group)
+        best = max(ORDERS, key=weight.__getitem__)
+        zones = group["zone"].dropna()
+        zone = zones.iloc[0] if len(zones) else None
+        posterior = weight[best] / sum(weight[o] for o in ORDERS)
+        return pd.DataFrame({"source": [group["source"].iloc[0]], "zone": [zone], "date_order": [best], "posterior": [posterior], "abbreviations": [tp.zone_abbreviations(zone)]})
 
-    return rows.groupBy("source").applyInPandas(fit, "source string, date_order string, posterior double")
+    return rows.groupBy("source").applyInPandas(fit, "source string, zone string, date_order string, posterior double, abbreviations map<string, int>")
 
 
 def resolve(df: DataFrame, day: str | None = None) -> DataFrame:
-    """Adds `_date`, `_wall`, `_seconds` (since 1970), `_state` to rows with parsed, zone, date_order and posterior.
+    """Adds `_date`, `_wall`, `_seconds` (since 1970), `_state` to rows with parsed, zone, date_order, posterior and abbreviations.
 
     `_state` is `ambiguous`, `nonexistent` or NULL. `day` names the date column that
     elapsed times count from. An unknown zone name leaves both NULL. The steps are
@@ -80,13 +93,13 @@ def resolve(df: DataFrame, day: str | None = None) -> DataFrame:
     other = F.when(learnt == "DMY", "MDY").otherwise("DMY")
     df = df.withColumns({"_d1": tp.local_date(p, learnt), "_d2": F.when(p["kind"] == "numeric", tp.local_date(p, other))})
     sure = F.col("_d1").isNull() | F.col("_d2").isNull() | (F.col("_d1") == F.col("_d2")) | (F.col("posterior") >= THRESHOLD)
-    df = df.withColumns({"_date": F.coalesce("_d1", "_d2"), "_sure": F.coalesce(sure, F.lit(False)), "_offset": tp.offset_seconds(p["zone"]), "_named": tp.named_zone(p["zone"], known)})
+    df = df.withColumns({"_date": F.coalesce("_d1", "_d2"), "_sure": F.coalesce(sure, F.lit(False)), "_offset": tp.offset_seconds(p["zone"], F.col("abbreviations")), "_named": tp.named_zone("parsed.zone", known)})
     after = p["h"] * 3600 + p["mi"] * 60 + p["s"]
-    midnight = tp.epoch_of(tp.to_utc(F.col(day).cast("timestamp_ntz"), F.col("zone"))) if day else F.lit(None).cast("bigint")
+    midnight = F.when(p["kind"] == "clock", tp.epoch_of(tp.to_utc(F.col(day).cast("timestamp_ntz"), F.col("zone")))) if day else F.lit(None).cast("bigint")
     df = df.withColumns({
         "_wall": F.timestamp_add("SECOND", after, F.col("_date").cast("timestamp_ntz")),
         "_at": F.when(p["zone"].isNull(), F.col("zone")).otherwise(F.col("_named")),
-        "_clock": F.when(p["kind"] == "clock", midnight + after),
+        "_clock": midnight + after,
     })
     floating = (p["kind"] != "clock") & p["epoch"].isNull() & F.col("_offset").isNull()
     df = df.withColumn("_utc", F.when(floating, tp.to_utc(F.col("_wall"), F.col("_at"))))
@@ -95,10 +108,13 @@ def resolve(df: DataFrame, day: str | None = None) -> DataFrame:
     return df.withColumn("_seconds", F.when(F.col("_state").isNull(), seconds)).drop("_d1", "_d2", "_sure", "_offset", "_named", "_at", "_clock", "_utc")
 
 
-def with_orders(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """`rows` (source, parsed, …) with zone and, for all-numeric dates, the learnt order and its posterior."""
-    orders = learn_orders(rows, sources.select("source", "declared"))
-    facts = sources.select("source", "zone").join(orders, "source", "full_outer")
+def with_orders(rows: DataFrame, sources: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """`rows` (source, parsed, …) with zone, abbreviations, and for all-numeric dates the learnt order and its posterior.
+
+    `values`, if given, are learnt from instead: all rows whose form isn't settled suffice
+    for the orders.
+    """
+    facts = learn_formats(rows if values is None else values, sources)
     return rows.join(facts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 

@@ -25,7 +25,7 @@ def _days(c: str) -> Column:
     return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.filter(day, lambda d: d.isNotNull()))), ","), F.lit(""))
 
 
-def p1_changes(spark: SparkSession, d: str, levels=snapshot_diff.LEVELS) -> DataFrame:
+def p1_changes(spark: SparkSession, d: str, levels=None) -> DataFrame:
     df = table(spark, d, "rule_snapshots")
     df = snapshot_diff.last_delivery(df, "snapshot_no", "delivery_no")
     content = [F.coalesce(c, F.lit("\u0000")) for c in (
@@ -51,17 +51,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     versions = ("loaded_at", "deleted_at")
     calendar = table(spark, d, "calendar", "service_id", *versions)
     added = table(spark, d, "calendar_dates", "service_id", "loaded_at").withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
-    found = None
-    for child, name, reference, parents, key in (
-        (stop_times, "stop_times", "stop_id", table(spark, d, "stops", "stop_id", *versions), "stop_id"),
-        (stop_times, "stop_times", "trip_id", table(spark, d, "trips", "trip_id", *versions), "trip_id"),
-        (trips, "trips", "route_id", table(spark, d, "routes", "route_id", *versions), "route_id"),
-        (trips, "trips", "service_id", calendar.unionByName(added), "service_id"),
-    ):
-        cases = orphans.orphan_references(child, reference, "loaded_at", ["feed_period", "row_id"], parents, key)
-        cases = cases.select(F.lit(name).alias("child_table"), F.lit(reference).alias("field_name"), "feed_period", "row_id", "reason")
-        found = cases if found is None else found.unionByName(cases)
-    return found
+    period = ["feed_period", "row_id"]
+    of_stop_times = {"stop_id": (table(spark, d, "stops", "stop_id", *versions), "stop_id"), "trip_id": (table(spark, d, "trips", "trip_id", *versions), "trip_id")}
+    of_trips = {"route_id": (table(spark, d, "routes", "route_id", *versions), "route_id"), "service_id": (calendar.unionByName(added), "service_id")}
+    first = orphans.orphan_references(stop_times, list(of_stop_times), "loaded_at", period, of_stop_times).withColumn("child_table", F.lit("stop_times"))
+    second = orphans.orphan_references(trips, list(of_trips), "loaded_at", period, of_trips).withColumn("child_table", F.lit("trips"))
+    return first.unionByName(second).select("child_table", "field_name", "feed_period", "row_id", "reason")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
@@ -74,17 +69,36 @@ def _iso_day(c: str) -> Column:
     return F.when(v.rlike(tp.CANONICAL_DATE), F.concat_ws("-", F.substring(v, 1, 4), F.substring(v, 5, 2), F.substring(v, 7, 2)).try_cast("date"))
 
 
-def _stop_time_values(spark: SparkSession, d: str) -> DataFrame:
-    """(source, row_id, trip_id, stop_sequence, day, field_name, value), two rows per stop time."""
+def _stop_time_values(spark: SparkSession, d: str, form: str | None = None) -> DataFrame:
+    """(source, row_id, trip_id, stop_sequence, day, field_name, value), two rows per stop time; with `form`, of rows where a value has it."""
     rows = table(spark, d, "stop_times", "row_id", "agency_id", "trip_id", "service_date", "stop_sequence", "arrival_time", "departure_time")
+    if form:
+        rows = rows.where(F.col("arrival_time").rlike(form) | F.col("departure_time").rlike(form))
     fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("arrival_time", "departure_time")])
     return rows.select(F.col("agency_id").alias("source"), "row_id", "trip_id", "stop_sequence", _iso_day("service_date").alias("day"), F.inline(fields))
 
 
-def _states_no_time(c: str) -> Column:
+def _no_time(c: str) -> Column:
     return ~F.coalesce(F.col(c).rlike(tp.CANONICAL_TIME), F.lit(False)) & tp.tokens(F.col(c), True).isNull()
 
 
+TIMES = ("arrival_time", "departure_time")
+#: Beginning of an all-numeric date, the only form whose reading has to be learnt.
+_OPEN_FORM = r"^[ \t]*[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]"
+
+
+def _seconds_of_day(rows: DataFrame, c: str) -> DataFrame:
+    """`rows` with `_s_{c}`: the time in column `c` in seconds from local midnight, NULL where it states none."""
+    columns = rows.columns
+    parsed = tp.with_parts(rows, F.when(~F.col(c).rlike(tp.CANONICAL_TIME), F.col(c)), True)
+    p, v = F.col("parsed"), F.col(c)
+    part = lambda at: F.substring(v, at, 2).try_cast("bigint")
+    elapsed = F.when(p.isNotNull(), F.col("_seconds") - tp.epoch_of(tp.to_utc(F.col("day").cast("timestamp_ntz"), F.col("zone"))))
+    wall = F.coalesce((p["h"] * 3600 + p["mi"] * 60 + p["s"]).cast("bigint"), F.lit(0).cast("bigint"))
+    seconds = F.when(v.rlike(tp.CANONICAL_TIME), part(1) * 3600 + part(4) * 60 + part(7)).when(p.isNotNull(), F.coalesce(elapsed, wall))
+    return time_forms.resolve(parsed, "day").select(*columns, seconds.alias(f"_s_{c}"))
+
+
 def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     """(row_id, field_name, value, method, distance) of each filled time, value in seconds from local midnight.
 
@@ -92,17 +106,22 @@ def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     value whose instant stays open counts with its wall clock.
     """
     sources = time_forms.agency_sources(table(spark, d, "agency"))
-    parsed = tp.with_parts(_stop_time_values(spark, d), F.when(~F.col("value").rlike(tp.CANONICAL_TIME), F.col("value")), True)
-    rows = time_forms.resolve(time_forms.with_orders(parsed, sources), "day")
-    p, v = F.col("parsed"), F.col("value")
-    part = lambda at: F.substring(v, at, 2).try_cast("bigint")
-    elapsed = F.col("_seconds") - tp.epoch_of(tp.to_utc(F.col("day").cast("timestamp_ntz"), F.col("zone")))
-    wall = F.coalesce((p["h"] * 3600 + p["mi"] * 60 + p["s"]).cast("bigint"), F.lit(0).cast("bigint"))
-    seconds = F.when(v.rlike(tp.CANONICAL_TIME), part(1) * 3600 + part(4) * 60 + part(7)).when(p.isNotNull(), F.coalesce(elapsed, wall))
+    values = _stop_time_values(spark, d, _OPEN_FORM).where(F.col("value").rlike(_OPEN_FORM))
+    learnt = time_forms.learn_formats(tp.with_parts(values, F.col("value"), True), sources)
+    rows = table(spark, d, "stop_times", "row_id", "agency_id", "trip_id", "service_date", "stop_sequence", *TIMES)
+    simple = F.lit(True)
+    for c in TIMES:
+        simple = simple & F.coalesce(F.col(c).rlike(tp.CANONICAL_TIME) | strip_to_null(c).isNull(), F.lit(True))
+    part = lambda c, at: F.substring(c, at, 2).try_cast("bigint")
+    plain = rows.where(simple).withColumns({f"_s_{c}": F.when(F.col(c).rlike(tp.CANONICAL_TIME), part(c, 1) * 3600 + part(c, 4) * 60 + part(c, 7)) for c in TIMES})
+    other = rows.where(~simple).withColumn("day", _iso_day("service_date")).join(learnt, F.col("agency_id").eqNullSafe(F.col("source")), "left")
+    for c in TIMES:
+        other = _seconds_of_day(other, c)
+    parsed = plain.unionByName(other.select(*plain.columns))
     sequence = F.when(reject.good_sequence(F.col("stop_sequence")), strip("stop_sequence").try_cast("bigint"))
-    entity = F.concat(strip_to_null("trip_id"), F.lit("\u0000"), F.col("field_name"))
-    filled = fill.fill_in_order(rows, entity, sequence, {"time": seconds}, {}, ["row_id", rows["field_name"].alias("_field")], missing=_states_no_time("value"))
-    return filled.select("row_id", F.col("_field").alias("field_name"), F.col("value").cast("bigint").alias("value"), "method", "distance")
+    seconds = {c: F.col(f"_s_{c}") for c in TIMES}
+    filled = fill.fill_in_order(parsed, strip_to_null("trip_id"), sequence, seconds, {}, ["row_id"], gaps=(rows, {c: _no_time(c) for c in TIMES}))
+    return filled.withColumn("value", F.col("value").cast("bigint"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -171,15 +190,11 @@ content AS (
 keyed AS (SELECT snapshot_no, trip_id, stop_sequence, list_sort(list((a, b, c, d, e, f, g, h)::varchar)) AS content FROM content GROUP BY ALL),
 consecutive AS (SELECT lag(snapshot_no) OVER (ORDER BY snapshot_no) AS p, snapshot_no AS n FROM last),
 compared AS (
-  SELECT p, n, coalesce(x.trip_id, y.trip_id) AS trip_id, coalesce(x.stop_sequence, y.stop_sequence) AS stop_sequence,
+  SELECT coalesce(x.p, y.p2) AS p, coalesce(x.n, y.n2) AS n, coalesce(x.trip_id, y.trip_id) AS trip_id, coalesce(x.stop_sequence, y.stop_sequence) AS stop_sequence,
     CASE WHEN y.snapshot_no IS NULL THEN 'added' WHEN x.snapshot_no IS NULL THEN 'removed' WHEN x.content <> y.content THEN 'changed' END AS change_type
   FROM (SELECT p, n, k.* FROM consecutive JOIN keyed k ON k.snapshot_no = n WHERE p IS NOT NULL) x
-  FULL JOIN (SELECT p AS p2, n AS n2, k.* FROM consecutive JOIN keyed k ON k.snapshot_no = p) y ON x.n = y.n2 AND x.trip_id = y.trip_id AND x.stop_sequence = y.stop_sequence
-  CROSS JOIN LATERAL (SELECT coalesce(x.p, y.p2) AS p, coalesce(x.n, y.n2) AS n))
+  FULL JOIN (SELECT p AS p2, n AS n2, k.* FROM consecutive JOIN keyed k ON k.snapshot_no = p) y ON x.n = y.n2 AND x.trip_id = y.trip_id AND x.stop_sequence = y.stop_sequence)
 SELECT p AS prev_snapshot_no, n AS snapshot_no, trip_id, stop_sequence, change_type FROM compared WHERE change_type IS NOT NULL"""
-_P1 = _P1.replace("""SELECT p, n, coalesce(x.trip_id""", """SELECT coalesce(x.p, y.p2) AS p, coalesce(x.n, y.n2) AS n, coalesce(x.trip_id""").replace(
-    """
-  CROSS JOIN LATERAL (SELECT coalesce(x.p, y.p2) AS p, coalesce(x.n, y.n2) AS n))""", ")")
 
 
 def _orphans(child: str, field: str, parents: str) -> str:

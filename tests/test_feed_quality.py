@@ -15,7 +15,7 @@ from headway.plans.feed_quality import _days, _seconds
 SNAPSHOT = "snapshot_no int, trip_id string, stop_sequence int, departure_dfm string, service_dates array<string>, extra string"
 
 
-def changes(df, levels=snapshot_diff.LEVELS):
+def changes(df, levels=None):
     content = [F.coalesce(c, F.lit("\0")) for c in (_seconds("departure_dfm"), _days("service_dates"))]
     return {tuple(r) for r in snapshot_diff.diff_snapshots(df, "snapshot_no", ["trip_id", "stop_sequence"], content, levels).collect()}
 
@@ -46,6 +46,11 @@ def test_snapshots_against_brute_force(spark):
     assert changes(spark.createDataFrame(rows, SNAPSHOT), (0, 2, 4)) == expected
 
 
+def test_levels_follow_the_rows():
+    assert snapshot_diff.tree_levels(0) == (0, 2) and snapshot_diff.tree_levels(10**6) == (0, 2, 8, 14) and snapshot_diff.tree_levels(10**12)[-1] == 30
+    assert all(b - a <= snapshot_diff.STEP for n in range(40) for a, b in zip(snapshot_diff.tree_levels(2**n), snapshot_diff.tree_levels(2**n)[1:]))
+
+
 def test_only_the_last_delivery_counts(spark):
     df = spark.createDataFrame([(1, 2, "old"), (1, 3, "new"), (2, 1, "x")], "snapshot_no int, delivery_no int, v string")
     assert {r.v for r in snapshot_diff.last_delivery(df, "snapshot_no", "delivery_no").collect()} == {"new", "x"}
@@ -70,15 +75,16 @@ def test_orphans_against_brute_force(spark):
             expected.add((i, "missing"))
         elif at is not None and not any(a <= at and (b is None or b > at) for _, a, b, _ in own):
             expected.add((i, "late" if all(a > at for _, a, *_ in own) else "deleted"))
-    found = orphans.orphan_references(spark.createDataFrame(children, CHILD), "ref", "loaded_at", ["row_id"], spark.createDataFrame(parents, PARENT), "key", blocks=8)
-    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    for blocks in (None, 8):
+        found = orphans.orphan_references(spark.createDataFrame(children, CHILD), ["ref"], "loaded_at", ["row_id"], {"ref": (spark.createDataFrame(parents, PARENT), "key")}, blocks=blocks)
+        assert sorted((r.row_id, r.reason) for r in found.collect()) == sorted(expected)
 
 
 def test_orphans_of_nothing(spark):
     none = spark.createDataFrame([], PARENT)
     child = spark.createDataFrame([(1, "a", dt(2025, 1, 1), "", "")], CHILD)
-    assert [tuple(r) for r in orphans.orphan_references(child, "ref", "loaded_at", ["row_id"], none, "key").collect()] == [(1, "missing")]
-    assert orphans.orphan_references(child.where("false"), "ref", "loaded_at", ["row_id"], none, "key").count() == 0
+    assert [tuple(r) for r in orphans.orphan_references(child, ["ref"], "loaded_at", ["row_id"], {"ref": (none, "key")}).collect()] == [(1, "ref", "missing")]
+    assert orphans.orphan_references(child.where("false"), ["ref"], "loaded_at", ["row_id"], {"ref": (none, "key")}).count() == 0
 
 
 def test_filter_never_rejects_a_key(spark):
@@ -86,7 +92,14 @@ def test_filter_never_rejects_a_key(spark):
     probed = orphans.probe(keys, F.col("key"), orphans.bloom_blocks(keys, "key", 64), 64)
     assert probed.where("not _maybe").count() == 0
     others = spark.range(3000).select(F.concat(F.lit("x"), "id").alias("key"))
-    assert orphans.probe(others, F.col("key"), orphans.bloom_blocks(keys, "key", 4096), 4096).where("_maybe").count() < 60
+    blocks = orphans.blocks_for(3000)
+    assert orphans.probe(others, F.col("key"), orphans.bloom_blocks(keys, "key", blocks), blocks).where("_maybe").count() < 60
+    most, orphans.MOST_BLOCKS = orphans.MOST_BLOCKS, 1  # filters beyond the bound are joined, not broadcast
+    try:
+        joined = orphans.probe(keys, F.col("key"), orphans.bloom_blocks(keys, "key", 64), 64)
+        assert joined.where("_maybe").count() == 3000 and "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+    finally:
+        orphans.MOST_BLOCKS = most
 
 
 def filled(df, **kw):
