@@ -8,12 +8,14 @@ may skip whole lines (adverts, neighbouring columns), never words within a line.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ REMEMBERED = 200_000
 
 _DIGIT = re.compile("[0-9]")
 _NOTHING: frozenset[int] = frozenset()
+_UNKNOWN = -(1 << 60)
 
 
 def _shortened(word: str, most: int) -> set[str]:
@@ -67,8 +70,8 @@ class Passages:
         self.size = len(self.vocabulary)
         self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, numbers in enumerate(self.numbers):
-            for i, gram in self.windows(numbers):
-                self.grams[gram].append((k, i))
+            for i, (a, b, c) in enumerate(zip(numbers, numbers[1:], numbers[2:])):
+                self.grams[(a * self.size + b) * self.size + c].append((k, i))
         self._near: dict[str, list[int]] = defaultdict(list)
         for w, number in self.vocabulary.items():
             if len(w) >= 3 and not _DIGIT.search(w):
@@ -76,12 +79,15 @@ class Passages:
                     self._near[short].append(number)
         self._known: dict[str, frozenset[int]] = {}
 
-    def windows(self, numbers: Sequence[int]) -> Iterator[tuple[int, int]]:
-        """(place, window) of all windows of known words; the unknown are -1."""
-        n = self.size
-        for i, (a, b, c) in enumerate(zip(numbers, numbers[1:], numbers[2:])):
-            if a >= 0 and b >= 0 and c >= 0:
-                yield i, (a * n + b) * n + c
+    def numbered(self, words: list[str]) -> list[int]:
+        """The words' numbers; the unknown get one that makes no window."""
+        return list(map(self.vocabulary.get, words, repeat(_UNKNOWN)))
+
+    def hits(self, numbers: Sequence[int]) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(place, (passage, place in it) …) of the windows that passages have."""
+        n, known = self.size, self.grams.get
+        keys = [(a * n + b) * n + c for a, b, c in zip(numbers, numbers[1:], numbers[2:])]
+        return [(j, found) for j, found in enumerate(map(known, keys)) if found is not None]
 
     def meanings(self, seen: str) -> frozenset[int]:
         """The numbers of all words of passages that a folded word may be a misreading of (`same_word`)."""
@@ -231,10 +237,7 @@ def scan_page(text: str, x0: list[int] | None, y0: list[int] | None, index: Pass
     opened: set[int] = set()
     failed: set[tuple[int, int]] = set()
     last = -2
-    for j, gram in index.windows(page.numbers):
-        hits = index.grams.get(gram)
-        if hits is None:
-            continue
+    for j, hits in index.hits(index.numbered(page.words)):
         # A run needs a next word on one side at least; inside a line that is the neighbour.
         right_open, right = page.neighbour(j + NGRAM - 1, 1)
         left_open, left = page.neighbour(j, -1)
@@ -284,18 +287,19 @@ class _Words:
             head = WORD.findall(raw)[-1] if tail[-1] in BREAKS and tail[-2:-1].isalnum() else None
         if head is not None:
             self.broken[len(words) - 1] = (words[-1], "")
-        self.numbers = [index.vocabulary.get(w, -1) for w in words]
         self.firsts = {*starts, *self.broken}
         self.ends = {j - 1 for j in starts} | {len(words) - 1} | set(self.broken)
         self.meanings: list[frozenset[int] | None] = [None] * len(words)
         size, loose = len(words), {1: set(self.broken), -1: set(self.broken) | (self.firsts if self.broken else set())}
         #: By whether it is for jumps (0) or what comes after a passed piece (1), and by direction: places, and those that show only in parts what they may stand for.
-        self.places = {(shift, step): [q + shift * step for q in (self.firsts if step > 0 else self.ends) if 0 <= q + shift * step < size] for shift in (0, 1) for step in (1, -1)}
-        self.loose = {key: [q for q in places if q in loose[key[1]]] for key, places in self.places.items()}
-        self.side: dict[tuple[int, int], dict[int, list[int]]] = {}
+        self.places, self.loose = {}, {}
+        if self.broken:
+            for shift, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
+                at = [q + shift * step for q in (self.firsts if step > 0 else self.ends) if 0 <= q + shift * step < size]
+                self.places[shift, step], self.loose[shift, step] = at, [q for q in at if q in loose[step]]
         self.found: dict[tuple[int, int, int], list[int]] = {}
         self.pieces: dict[int, bool] = {}
-        self.edges: dict[int, tuple[dict[int, list[frozenset[int]]], set[int], set[int]]] = {}
+        self.edges: dict[int, tuple[dict[int, list[tuple[int, frozenset[int]]]], set[int], set[int]]] = {}
         #: Whether a broken word stands in a line of its own.
         self.odd = any(q - 1 in self.broken or q + 1 in self.broken for q in self.broken)
 
@@ -318,22 +322,8 @@ class _Words:
 
         It looks one word further than the jump itself, which settles nearly all cases met by chance.
         """
-        edge = self.edges.get(step)
-        if edge is None:
-            pairs, alone, beyond, size = {}, set(), set(), len(self.words)
-            for q in self.firsts if step > 0 else self.ends:
-                here, r = self._means(q), q + step
-                if not 0 <= r < size or r in self.broken or q in (self.ends if step > 0 else self.firsts) or step < 0 and r in self.firsts:
-                    alone |= here  # what follows is not settled by the next word
-                if 0 <= r < size:
-                    after = self._means(r)
-                    beyond |= after
-                    if after:
-                        for a in here:
-                            pairs.setdefault(a, []).append(after)
-            edge = self.edges[step] = (pairs, alone, beyond)
-        pairs, alone, beyond = edge
-        if one in alone or one in pairs and any(two in after for after in pairs[one]):
+        beginnings, alone, beyond = self.edges.get(step) or self._edge(step)
+        if one in alone or one in beginnings and any(two in after for _, after in beginnings[one]):
             return True
         if two < 0 or self.odd:
             return bool(self._at_lines(one, 0, step)) or bool(self.broken) and (self.in_pieces(one) or one in beyond)
@@ -349,6 +339,26 @@ class _Words:
         n = NGRAM + (self._follow(passage, i + NGRAM - 1, j + NGRAM - 1, 1, RUN - NGRAM) if ahead else 0)
         return n >= RUN or back and i >= RUN - n and n + self._follow(passage, i, j, -1, RUN - n) >= RUN
 
+    def _edge(self, step: int) -> tuple[dict[int, list[tuple[int, frozenset[int]]]], set[int], set[int]]:
+        """Of the firsts of lines (ends, going back): by what they may stand for, each with what its neighbour may; those that the neighbour doesn't settle; all that neighbours may stand for."""
+        beginnings, alone, beyond, size = {}, set(), set(), len(self.words)
+        others = self.ends if step > 0 else self.firsts
+        for q in self.firsts if step > 0 else self.ends:
+            here, r = self._means(q), q + step
+            inside = 0 <= r < size
+            after = self._means(r) if inside else _NOTHING
+            if here:
+                if not inside or r in self.broken or q in others or step < 0 and r in self.firsts:
+                    alone |= here
+                for a in here:
+                    if a in beginnings:
+                        beginnings[a].append((q, after))
+                    else:
+                        beginnings[a] = [(q, after)]
+            beyond |= after
+        self.edges[step] = made = (beginnings, alone, beyond)
+        return made
+
     def _means(self, q: int) -> frozenset[int]:
         known = self.meanings[q]
         if known is None:
@@ -372,13 +382,10 @@ class _Words:
         """Firsts of lines (ends, going back), or with `shift` their neighbours, that may stand for a word."""
         found = self.found.get((number, shift, step))
         if found is None:
-            side = self.side.get((shift, step))
-            if side is None:
-                side = self.side[shift, step] = defaultdict(list)
-                for q in self.places[shift, step]:
-                    for n in self._means(q):
-                        side[n].append(q)
-            found = side.get(number, ())
+            if shift == 0:
+                found = [q for q, _ in (self.edges.get(step) or self._edge(step))[0].get(number, ())]
+            else:
+                found = [q for q in self.places[shift, step] if number in self._means(q)]
             if self.broken and self.in_pieces(number):
                 found = [*found, *(q for q in self.loose[shift, step] if self._stands_for(q, number, step))]
             self.found[number, shift, step] = found
@@ -413,6 +420,7 @@ _HELD: dict[str, object] = {"key": None, "index": None}
 def _index_of(key: str, rows: list[tuple[int, str]]) -> Passages:
     if _HELD["key"] != key:
         _HELD.update(key=key, index=Passages(rows))
+        gc.freeze()  # it stays; the collector needn't look through it
     return _HELD["index"]
 
 
