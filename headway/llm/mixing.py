@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern by which that vocabulary splits text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Expected copies are summed as integers in parts of a copy.
+#: Parts of a copy, as which expected copies are summed up.
 UNIT = 1_000_000_000
-#: Buckets of the running sum: classes of 32 tokens, the largest open, each in so many parts by hash.
-SIZE_CLASSES, PARTS = 128, 64
+#: Buckets of the running sum: size classes, so many to a doubling of the tokens and none the last, each in so many parts by hash.
+CLASSES, PARTS = 4, 256
 
 
 def source_name(c: Column) -> Column:
@@ -66,28 +66,32 @@ def systematic_copies(documents: DataFrame, plan: DataFrame, key: str, offset: f
     Documents of a source stand in order of their size class and then of a hash, so that
     each size gets its part of the copies; their expected copies are summed up and one
     copy is emitted for each whole number crossed, after one offset in [0, 1), drawn for
-    each source from `seed` unless given. The
-    running sum has two levels: within buckets, and over the buckets' totals, so a source
-    of any size is spread over at least `PARTS` groups. No document is emitted more often
-    than the next whole number of its source's expected copies.
+    each source from `seed` unless given. Whole copies cross as many whole numbers
+    wherever they stand, so only the rest is summed, and carried from bucket to bucket
+    without its whole part: sums stay below `UNIT` times the documents of one bucket.
+    The running sum has two levels: within buckets, and over the buckets' totals, so a
+    source of any size is spread over at least `PARTS` groups. No document is emitted
+    more often than the next whole number of its source's expected copies. Documents
+    with NULL source are in no mix; a document without tokens counts like others.
     """
-    part = plan.where(F.col("copies") > 0).select(F.col("source").alias("_s"), F.round(F.col("copies") * UNIT).cast("bigint").alias("_w"))
-    rows = documents.join(part, F.col("source") == F.col("_s")).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.least(F.floor(F.col("n_tokens") / 32), F.lit(SIZE_CLASSES - 1)) * PARTS + F.pmod("_h", F.lit(PARTS)))
-    totals = rows.groupBy("source", "_b").agg(F.sum("_w").alias("_t"))
+    copies = F.col("copies")
+    part = plan.where(copies > 0).select(F.col("source").alias("_s"), F.floor(copies).cast("int").alias("_whole"), F.round((copies - F.floor(copies)) * UNIT).cast("bigint").alias("_w"))
+    size = F.floor(F.log2(F.col("n_tokens") + F.lit(1)) * CLASSES).cast("bigint")
+    rows = documents.join(part, F.col("source") == F.col("_s")).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", size * PARTS + F.pmod("_h", F.lit(PARTS)))
+    totals = rows.groupBy("source", "_b").agg(F.pmod(F.sum("_w"), F.lit(UNIT)).alias("_t"))
     earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("source").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"))
+    starts = totals.select(F.col("source").alias("_s2"), F.col("_b").alias("_b2"), F.pmod(F.coalesce(F.sum("_t").over(earlier), F.lit(0)), F.lit(UNIT)).alias("_start"))
     inside = Window.partitionBy("source", "_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_sum", F.sum("_w").over(inside)).join(starts, (F.col("source") == F.col("_s2")) & (F.col("_b") == F.col("_b2")))
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), F.lit(UNIT)) if offset is None else F.lit(int(offset * UNIT))
     upto = F.col("_start") + F.col("_sum") + drawn
-    n = (F.floor(upto / UNIT) - F.floor((upto - F.col("_w")) / UNIT)).cast("int")
+    n = F.col("_whole") + (F.floor(upto / UNIT) - F.floor((upto - F.col("_w")) / UNIT)).cast("int")
     return summed.withColumn("_n", n).where(F.col("_n") > 0).select(key, "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
 
 
 def report(copies: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, source_tokens, mixed_tokens, documents, most_repeats) per target."""
-    per_document = copies.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    got = per_document.groupBy("source").agg(F.sum("t").alias("mixed_tokens"), F.count(F.lit(1)).alias("documents"), F.max("n").alias("most_repeats"))
+    got = copies.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.sum((F.col("copy_no") == 1).cast("bigint")).alias("documents"), F.max("copy_no").cast("bigint").alias("most_repeats"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     joined = plan.join(got, "source", "left").select("source", "target_share", "max_repeats", "source_tokens", zero("mixed_tokens"), zero("documents"), zero("most_repeats"))
     share = F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(Window.partitionBy()), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import leak, mixing, residue
-from headway.sources.tables import table
+from headway.sources.tables import checkpointed, table
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    sized = _sized(spark, d)
+    sized = checkpointed(_sized(spark, d))  # tokens are counted once; what is kept are ids, sources and numbers
     sizes = sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     plan = mixing.plan_mix(sizes, table(spark, d, "mix_targets"))
     return mixing.systematic_copies(sized, plan, "doc_id", seed=seed), plan
