@@ -10,47 +10,64 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.mixing import source_name
 from headway.llm.pages import BREAKS, COLUMN_GAP
+from headway.sources.tables import checkpointed
 
 #: Letters of a word that counts when title and body are compared, and how many of its first letters do.
 TERM, STEM = 4, 6
 #: Lines looked at first, for speed only.
 HEAD = 12
-#: Words of a line that can be a message; a quoted message is reported speech.
+#: Words of a line for each message phrase in it; a quoted message is reported speech.
 LINE = 16
 
-# Names of slots that single braces hold; other single braces may be earnest.
+# Names of slots that single braces hold; other single words in single braces may be earnest.
 SLOTS = (
     "name", "town", "editor", "teaser", "advertiser", "headline", "byline", "subscriber", "caption", "price", "weather", "edition", "printer",
     "title", "author", "date", "column", "page", "issue", "paper", "user", "item", "article", "body", "email", "city", "address", "url", "link", "image", "text",
 )
-_S = r"\s*[A-Za-z][\w .\[\]]{0,40}?\s*"
+#: A slot's name: a letter, then one to six words of letters, digits and the signs of identifiers.
+_S = r"\s*[A-Za-z][\w.\-\[\]]*?(?:\s[\w.\-\[\]]+?){0,5}?\s*"
+_NAME = r"[A-Za-z][A-Za-z0-9]*"
 PLACEHOLDERS = (
     rf"\{{\{{{_S}\}}\}}", rf"[$#]\{{{_S}\}}", rf"<%=?{_S}%>", rf"\{{%{_S}%\}}", rf"%%{_S}%%", rf"@@{_S}@@", rf"(?<!\w)__{_S}__(?!\w)",
-    r"(?<!\w)\$[A-Za-z][\w .\[\]]{0,40}\$(?!\w)", rf"<<{_S}>>", rf"&lt;{_S}&gt;", rf"\[\[{_S}\]\]", r"\?\?[\w .\[\]]{1,40}\?\?", r"%\([\w .]{1,40}\)[sd]",
-    r"(?<![\w%])%[sd](?!\w)", r"%d[./-]%m[./-]%[Yy]", r"\{\d{1,2}\}", r"\[object\s+Object\]", r"\bnull null\b", r"\bundefined, undefined\b",
-    r"\bXX/XX/XXXX\b", r"\bDD/MM/YYYY\b", r"\[T[KC]\]", rf"\[{_S}\s+goes\s+here\]", r"(?i:\[insert\s[^\n]{1,40}?\shere\])", rf"(?i:\[your\s){_S}\]", rf"(?i:<insert\s){_S}>",
-    r"<[A-Z][A-Z_ .]{1,40}(?:\s?\d|\[\d\])?>", rf"(?i:\{{(?:{'|'.join(SLOTS)})(?:[_. ]?[a-z0-9]+|\[\d\])*\}})",
+    rf"(?<!\w)\$(?=[A-Za-z]){_S}(?<!\s)\$(?!\w)", rf"<<{_S}>>", rf"&lt;{_S}&gt;", rf"\[\[{_S}\]\]", rf"\?\?{_S}\?\?", rf"%\({_S}\)[sd]",
+    r"(?<![\w%])%[sd](?!\w)", r"%d[./-]%m[./-]%[Yy]", r"\{\d{1,2}\}", r"\[object\s+Object\]", r"\[T[KC]\]", rf"\[{_S}\s+goes\s+here\]",
+    r"(?i:\[insert\s(?:\S+\s){1,8}?here\])", rf"(?i:\[your\s){_S}\]", rf"(?i:<insert\s){_S}>", r"<[A-Z][A-Z_.\-]+(?: [A-Z_.\-]+){0,5}(?:\s?\d+|\[\d+\])?>",
+    rf"\{{{_NAME}(?:[_.]{_NAME})+\}}", r"\{[a-z]+(?:[A-Z][a-z0-9]*)+\}", rf"(?i:\{{(?:{'|'.join(SLOTS)})(?:[_. ]?[a-z0-9]+|\[\d\])*\}})",
 )
+#: Signs that the above begin with.
+_BEGINS = r"(?=[{\[<@$%#?&_])"
+#: An empty value, or the pattern of a date, printed as it is.
+EMPTY = (r"\bnull null\b", r"\bundefined, undefined\b", r"\bXX/XX/XXXX\b", r"\bDD/MM/YYYY\b")
 #: What every placeholder contains, as a cheap first look.
-_MARKS = r"[{}\[\]<>@$%]|__|\?\?|&lt;|null|undefined|XX/XX|DD/MM"
+_MARKS = r"[{}\[\]<>@$%]|__|\?\?|&lt;|null null|undefined, undefined|XX/XX|DD/MM"
 
-# Words of meaningless filler, and sentences of filler in several languages.
+# Words of meaningless filler, invented ones and those of the two customary passages, and sentences of filler in several languages.
 FILLER_WORDS = (
     "lorem", "ipsum", "dolor", "dolora", "belisque", "congue", "tincul", "massur", "egestal", "fermat", "portil", "vestor", "nulsa", "ultram", "sedara",
-    "pelenti", "nomper", "quorem", "astum", "aculis", "veniat", "consectetur", "adipiscing", "eiusmod", "tempor", "incididunt",
+    "pelenti", "nomper", "quorem", "astum", "aculis", "veniat", "consectetur", "adipiscing", "eiusmod", "tempor", "incididunt", "aliqua", "exercitation", "ullamco", "laboris",
+    "reprehenderit", "voluptate", "excepteur", "occaecat", "cupidatat", "perspiciatis", "unde", "omnis", "iste", "natus", "voluptatem", "accusantium", "doloremque", "laudantium",
+    "totam", "aperiam", "eaque", "inventore", "veritatis", "architecto", "beatae", "explicabo", "nemo", "quia", "voluptas", "aspernatur", "consequuntur",
 )
 FILLER = (
     r"text to come, text to come", r"dummy copy to fill", r"sample text for layout", r"type your story in this", r"body text goes here", r"your text here",
     r"placeholder paragraph", r"paragraph, replace before printing", r"asdf asdf", r"jkl jkl", r"\bxxx+ xx+ xx+", r"ist ein blindtext", r"steht sp.ter der artikel",
     r"mustertext f.r die spalte", r"dit is opvultekst", r"voorbeeldtekst, nog te", r"est un faux texte", r"texte de l.article viendra", r"exemple de paragraphe .? ?remplacer",
     r"hier komt (?:later )?het artikel", r"hier komt later",
+    r"\b(?:this|here|following) (?:is|are|comes) (?:a |an |the |some |only |just )*(?:placeholder|dummy|sample|filler|example) (?:copy|text|paragraph|content|story|article)",
+    r"\bes (?:un |el |s.lo )*(?:texto|p.rrafo) (?:de |simulado|falso)", r"texto de (?:relleno|ejemplo|muestra|prueba)", r"aqu. (?:va|ir.) el texto", r"testo (?:segnaposto|di (?:riempimento|esempio|prova))", r"texto de preenchimento",
 )
-_RUN_OF_FILLER = rf"\b(?:{'|'.join(FILLER_WORDS)})\W+(?:{'|'.join(FILLER_WORDS)})\W+(?:{'|'.join(FILLER_WORDS)})\b"
+#: What every filler sentence contains, as a cheap first look.
+_FILLER_MARKS = (
+    "text", "tekst", "copy", "story", "paragraph", "asdf", "jkl jkl", "xxx", "artikel", "placeholder", "dummy", "sample", "filler", "example", "komt", "p\u00e1rrafo", "parrafo", "testo",
+)
+_RUN_OF_FILLER = rf"\b(?:{'|'.join(FILLER_WORDS)})(?:\W+(?:{'|'.join(FILLER_WORDS)})\b){{2}}"
+#: First letters of filler words; pages without any need no closer look.
+_WORD_MARKS = tuple(sorted({w[:4] for w in FILLER_WORDS}))
 
 # What error messages and notices that scripts are needed say, in several languages.
 MESSAGES = (
@@ -78,21 +95,24 @@ def readings(text: Column, boxes: Column) -> list[Column]:
     """The page's lines as they come, every other line first, cells of wide gaps by column, and by boxes where there are any."""
     lines = F.split(text, "\n")
     alternate = F.concat(F.filter(lines, lambda _, i: i % 2 == 0), F.filter(lines, lambda _, i: i % 2 == 1))
-    cell = lambda k: F.filter(F.transform(lines, lambda x: F.get(F.split(x, r" {3,}"), F.lit(k))), lambda x: x.isNotNull())
+    cells = F.transform(lines, lambda x: F.split(x, r" {3,}"))
+    columns = F.sequence(F.lit(0), F.array_max(F.transform(cells, F.size)) - 1)
+    by_column = F.flatten(F.transform(columns, lambda k: F.filter(F.transform(cells, lambda row: F.get(row, k)), lambda x: x.isNotNull())))
     starts = F.array_sort(F.array_distinct(boxes["x0"]))
     edges = F.filter(starts, lambda x, i: (i > 0) & (x - F.get(starts, i - 1) > COLUMN_GAP))
     placed = F.transform(F.arrays_zip(lines.alias("t"), boxes.alias("b")), lambda z: F.struct(F.size(F.filter(edges, lambda e: e <= z["b"]["x0"])).alias("c"), z["b"]["y0"].alias("y"), z["t"].alias("t")))
     by_box = F.when(F.size(boxes) == F.size(lines), F.transform(F.array_sort(placed), lambda z: z["t"]))
-    return [lines, alternate, F.concat(cell(0), cell(1), cell(2)), by_box]
+    return [lines, alternate, by_column, by_box]
 
 
 def has_placeholder(text: Column) -> Column:
-    return text.rlike(_any(PLACEHOLDERS))
+    return text.rlike(f"{_BEGINS}(?:{_any(PLACEHOLDERS)})") | (text.rlike("null|undefined|XX/|DD/") & text.rlike(_any(EMPTY)))
 
 
 def has_filler(text: Column) -> Column:
     low = F.lower(text)
-    return low.rlike(_any(FILLER)) | low.rlike(_RUN_OF_FILLER)
+    some = lambda marks: reduce(lambda a, b: a | b, [low.contains(m) for m in marks])
+    return (some(_FILLER_MARKS) & low.rlike(_any(FILLER))) | (some(_WORD_MARKS) & low.rlike(_RUN_OF_FILLER))
 
 
 def residue_pages(documents: DataFrame) -> DataFrame:
@@ -129,9 +149,11 @@ def rest_of(lines: Column) -> Column:
 
 
 def is_message(line: Column) -> Column:
-    """A line that is a listed message: not long, not quoted."""
-    bare = (F.size(F.split(line, r"\s+")) <= LINE) & ~line.rlike('["\u201c\u201d\u00ab\u00bb]')
-    return bare & line_template(line).rlike(_any(MESSAGES))
+    """A line that is a listed message: not quoted, and with a message phrase for each `LINE` words."""
+    told = line_template(line)
+    n = F.size(F.split(line, r"\s+"))
+    dense = (n <= LINE) | (F.size(F.regexp_extract_all(told, F.lit(f"({_any(MESSAGES)})"), F.lit(1))) * LINE >= n)
+    return ~line.rlike('["\u201c\u201d\u00ab\u00bb]') & told.rlike(_any(MESSAGES)) & dense
 
 
 def words(lines: Column) -> Column:
@@ -168,33 +190,40 @@ def error_pages(documents: DataFrame) -> DataFrame:
     that says little on any host if it has a message and its other lines so occur.
     """
     text = F.col("text")
-    pages = documents.where(text.isNotNull()).select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("_host"), F.xxhash64(F.lower(text)).alias("_text"), "text")
+    pages = documents.where(text.isNotNull()).select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("_host"), "text")
     # The first lines decide for most pages: what fails there, fails on the whole page.
     split, said = F.split(text, "\n"), said_lines(F.split(text, "\n"))
     head = said_lines(F.slice(split, 1, HEAD))
     plain = F.coalesce(only_messages(rest_of(head)) & plain_message(said), F.lit(False))
     size = F.size(words(said))
-    texts = pages.select("_host", "_text", F.when(plain, size).alias("_n")).groupBy("_host", "_text").agg(F.max("_n").cast("double").alias("_n"))
+    # One narrow row a page, looked at once: plain messages with their number of words and of messages.
+    looked = pages.withColumn("_plain", plain).select(
+        "doc_id", "_host", F.xxhash64(F.lower(text)).alias("_text"), F.when(F.col("_plain"), size).alias("_n"), F.when(F.col("_plain"), F.size(F.filter(said, is_message))).alias("messages")
+    )
+    looked = checkpointed(looked)
+    texts = looked.groupBy("_host", "_text").agg(F.max("_n").cast("double").alias("_n"))
     hosts = texts.groupBy(F.col("_host").alias("_h")).agg(F.avg(F.col("_n").isNotNull().cast("double")).alias("host_share"), F.count("_n").alias("_k"), F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"))
-    rated = hosts.withColumn("_average", F.avg("host_share").over(Window.partitionBy()))  # a row per host
     mean = F.sum("_s") / F.sum("_k")
-    little = hosts.agg((mean + 2 * F.sqrt(F.greatest(F.sum("_q") / F.sum("_k") - mean * mean, F.lit(0.0)))).alias("_little"))
+    spread_of = F.sqrt(F.greatest(F.sum("_q") / F.sum("_k") - mean * mean, F.lit(0.0)))
+    # One row: the average of hosts, and how few words are little.
+    measures = hosts.agg(F.avg("host_share").alias("_average"), (mean + 2 * spread_of).alias("_little"))
 
-    brief = pages.crossJoin(F.broadcast(little)).where((F.size(words(head)) <= F.col("_little")) & (size <= F.col("_little")) & (size > 0)).withColumn("_said", said)
+    brief = pages.crossJoin(F.broadcast(measures)).where((F.size(words(head)) <= F.col("_little")) & (size <= F.col("_little")) & (size > 0)).withColumn("_said", said)
+    brief = brief.withColumn("_text", F.xxhash64(F.lower(text)))
     lines = brief.select("_text", F.explode(F.array_distinct(F.transform("_said", line_template))).alias("_l")).distinct()
     spread = lines.groupBy("_l").agg(F.count(F.lit(1)).alias("_df"))
-    seen = brief.select("doc_id", "_host", "text", "_said", F.explode(F.array_distinct("_said")).alias("_line")).withColumn("_t", line_template(F.col("_line")))
+    seen = brief.select("doc_id", "_host", "_average", "text", "_said", F.explode(F.array_distinct("_said")).alias("_line")).withColumn("_t", line_template(F.col("_line")))
     known = seen.join(spread, F.col("_t") == F.col("_l"))
     message, recurs = is_message(F.col("_line")), F.col("_df") > 1
     first = F.slice("_said", 1, 1)
     judged = known.groupBy("doc_id", "_host").agg(
-        F.sum(message.cast("int")).alias("messages"), F.sum(recurs.cast("int")).alias("duplicates"), F.min(recurs).alias("_recurs"), F.min(message | recurs).alias("_bare"),
+        F.sum(message.cast("int")).alias("messages"), F.sum(recurs.cast("int")).alias("duplicates"), F.min(recurs).alias("_recurs"), F.min(message | recurs).alias("_bare"), F.first("_average").alias("_average"),
         F.first(apart(first, rest_of(F.col("_said")))).alias("_apart"),
         F.first(plain).alias("_plain"), F.first(has_placeholder(flat(F.split(text, "\n"))) | has_filler(flat(F.split(text, "\n")))).alias("_slots"),
     )
-    judged = judged.join(rated, F.col("_host") == F.col("_h"))
+    judged = judged.join(hosts, F.col("_host") == F.col("_h"))
     suspect = (F.col("host_share") > F.col("_average")) & (F.col("_apart") | F.col("_recurs"))
     judged = judged.where(~F.col("_plain") & ~F.col("_slots") & (suspect | (F.col("_bare") & (F.col("messages") > 0))))
     columns = ("doc_id", "messages", "duplicates", "host_share")
-    sure = pages.where(plain).select("doc_id", "_host", F.size(F.filter(said, is_message)).alias("messages"), F.lit(0).alias("duplicates"))
-    return judged.select(*columns).unionByName(sure.join(rated, F.col("_host") == F.col("_h")).select(*columns))
+    sure = looked.where(F.col("_n").isNotNull()).select("doc_id", "_host", "messages", F.lit(0).alias("duplicates"))
+    return judged.select(*columns).unionByName(sure.join(hosts, F.col("_host") == F.col("_h")).select(*columns))

@@ -157,6 +157,22 @@ def test_residue_in_articles(spark):
     assert residue_of(spark, ["{" * 50000 + "a" * 50000, "[" * 20000]) == set()
 
 
+OTHERS = (
+    "This is placeholder copy for the front page.", "Este es un texto de relleno para la columna.", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem.", "Dear {{user-name}}, welcome back.",
+    "Dear {first_name}, your order is on its way.", "[[TITLE-1]]", "Dear {customer}, your order {order_id} is on its way.", "Hello {userName}.", "{{ " + "very " * 5 + "long_name_of_a_slot_that_has_more_than_forty_letters }}",
+)
+
+
+def test_ordinary_slots_and_filler(spark):
+    assert residue_of(spark, OTHERS) == set(range(len(OTHERS)))
+    story = ["The set {x, y} and the note [see page 4] of f(x) < g(y).", "He sent $ 5 and then 10 $ to Novby, 5% off.", "Text of the story: the copy was sold.", "An example of a placeholder stood in the sample book."]
+    assert residue_of(spark, story) == set()
+
+
+def test_slots_in_the_fourth_column(spark):
+    assert residue_of(spark, ["a   b   c   the {{first\nd   e   f   name}} was"]) == {0}
+
+
 def test_slots_across_columns(spark):
     text = "sold a bridge [INSERT\nthe quiet market was\ncaption HERE] at noon\nclosed by a clerk"
     places = boxes([(80, 100), (900, 100), (80, 140), (900, 140)])
@@ -200,8 +216,9 @@ def test_copies_are_no_evidence_and_sizes_are_alike(spark, size):
 def test_messages_under_titles_of_articles_and_at_any_length(spark):
     long = "\n".join(m for m in MESSAGES * 4 if "browser" in m or "niet" in m)
     caught = ["CAPTAIN SKYVIVOW RAISED THE KILN\nThe page you asked for could not be found.\nReference ad1e3ae8", "DE VASTE TUIN VAN STUMHOLM SLOOT\nGISTERAVOND\nDe pagina is niet gevonden.", long]
+    caught.append("We are very sorry to have to tell you that the page which you have asked this server for could not be found, or access denied to it.")
     genuine = ["THE PAGE OF NOVBY\nThe page was not found by the squire.", "CAPTAIN SKYVIVOW RAISED THE KILN\nThe page was not found by the squire.\nHe sold the kiln to a clerk of Novby at noon.", STORY.format("a", "b")]
-    assert messages_of(spark, [(x, "web") for x in caught] + [(x, "paper") for x in genuine]) == {0, 1, 2}
+    assert messages_of(spark, [(x, "web") for x in caught] + [(x, "paper") for x in genuine]) == {0, 1, 2, 3}
 
 
 @pytest.mark.parametrize("name", ["p6_found", "p8_found"])
