@@ -214,14 +214,6 @@ _P2 = " UNION ALL ".join((
     _orphans("trips", "service_id", _parents("calendar", "service_id") + f" UNION ALL SELECT {_t('service_id')}, loaded_at, NULL FROM calendar_dates"),
 ))
 
-# A text states a time if it has two groups of digits for hours and minutes below 60, or is a count; these data hold no other texts with digits.
-_NO_TIME = "(v IS NULL OR NOT regexp_matches(v, '[0-9]') OR regexp_matches(v, '^[0-9]{1,3}[:.h][6-9][0-9]') OR regexp_matches(v, '^[0-9]{1,3}[:.h][0-9]{2}[:.m][6-9][0-9]') OR regexp_matches(v, '[0-9]:[6-9][0-9]'))"
-_P3 = " UNION ALL ".join(
-    f"""SELECT row_id, '{f}' AS field_name FROM (SELECT row_id, {_t('trip_id')} AS t, {_t(f)} AS v FROM stop_times) WHERE t IS NOT NULL AND {_NO_TIME}
-  AND t IN (SELECT t FROM (SELECT {_t('trip_id')} AS t, {_t(f)} AS v FROM stop_times) WHERE t IS NOT NULL AND NOT {_NO_TIME})"""
-    for f in ("arrival_time", "departure_time")
-)
-
 _BAD = {
     "stop_sequence": "NOT (regexp_full_match(coalesce({0}, ''), '[0-9]+') AND coalesce(try_cast({0} AS HUGEINT) <= 2147483647, false))",
     "pickup_type": "coalesce({0}, '') NOT IN ('', '0', '1', '2', '3')",
@@ -243,11 +235,91 @@ bad AS (
   UNION ALL SELECT 'calendar', row_id, 'start_date' FROM calendar WHERE {_BAD['start_date'].format(_t('start_date'))})
 SELECT * FROM bad"""
 
+_LOADED = """WITH {raw} SELECT row_id, delivery_id, {columns} FROM records JOIN raw_lines USING (row_id) WHERE well AND len(f) = want AND want = {want} AND {good}"""
+
+
+def _loaded(file_name: str, typed: dict[str, str], bad: list[str]) -> str:
+    names = reject.FILES[file_name]
+    columns = ", ".join(f"{typed.get(c, '{0}').format('trim(f[' + str(i) + '], chr(32) || chr(9))')} AS {c}" for i, c in enumerate(names, 1))
+    good = " AND ".join(f"NOT ({_BAD[c].format(_t(f'f[{names.index(c) + 1}]'))})" for c in bad)
+    return _LOADED.format(raw=_RAW, columns=columns, want=len(names), good=good)
+
+
+# Times and days by strptime over lists of formats; a wall clock's instants are all those, by any offset, that show it in its zone.
+_ISO_FORMATS = "['%Y-%m-%d', '%Y/%m/%d', '%Y.%m.%d', '%d %b %Y', '%d-%b-%Y', '%d %B %Y', '%b %d, %Y', '%B %d, %Y', '%A %d %B %Y', '%A, %d %B %Y', '%a %d %b %Y', '%a, %d %b %Y']"
+_BY_ORDER = "CASE WHEN regexp_matches(dpart, '[0-9]{{4}}$') THEN try_strptime(dpart, ['{0}/{1}/%Y', '{0}.{1}.%Y', '{0}-{1}-%Y']) ELSE try_strptime(dpart, ['{0}/{1}/%y', '{0}.{1}.%y', '{0}-{1}-%y']) END"
+_DMY, _MDY = _BY_ORDER.format("%d", "%m"), _BY_ORDER.format("%m", "%d")
+_ZONED = r"(Z|[+-][0-9]{2}(?::?[0-9]{2})?|\[?[A-Za-z]+(?:/[A-Za-z_]+)+\]?|[A-Za-z]{2,5})?"
+_READ = f"""vals AS (
+  SELECT 'stop_times' AS table_name, row_id, agency_id, field_name, raw, trim(raw, ' ' || chr(9)) AS v, try_strptime(service_date, '%Y%m%d') AS day, true AS timed
+  FROM (UNPIVOT (SELECT row_id, agency_id, service_date, coalesce(arrival_time, '') AS arrival_time, coalesce(departure_time, '') AS departure_time FROM stop_times) ON arrival_time, departure_time INTO NAME field_name VALUE raw)
+  UNION ALL SELECT 'calendar_dates', row_id, agency_id, 'date', date, trim(date, ' ' || chr(9)), NULL, false FROM calendar_dates WHERE date IS NOT NULL),
+clocks AS (
+  SELECT v.*, agency_timezone AS tz, date_order,
+    CASE WHEN NOT timed THEN NULL WHEN regexp_full_match(v, '[0-9]{{1,3}}[:.hH][0-5][0-9]([:.mM][0-5][0-9]([.,][0-9]+|[sS])?)?') THEN regexp_extract(v, '^([0-9]+)[:.hH]([0-9]+)(?:[:.mM]([0-9]{{2}}))?', ['h', 'm', 's'])
+      WHEN regexp_full_match(v, '(0?[1-9]|1[0-2])[:.hH][0-5][0-9]([:.mM][0-5][0-9]([.,][0-9]+|[sS])?)?\\s*[aApP](m|M|\\.[mM]\\.)') THEN regexp_extract(v, '^([0-9]+)[:.hH]([0-9]+)(?:[:.mM]([0-9]{{2}}))?', ['h', 'm', 's'])
+      WHEN regexp_full_match(v, '[0-9]{{2}}[0-5][0-9][0-5][0-9]') THEN regexp_extract(v, '^(..)(..)(..)', ['h', 'm', 's']) END AS c,
+    lower(regexp_extract(v, '([aApP])\\.?[mM]\\.?$', 1)) AS half,
+    CASE WHEN regexp_full_match(v, '[0-9]{{9,10}}') THEN v::bigint WHEN regexp_full_match(v, '[0-9]{{12,13}}') THEN v::bigint // 1000 WHEN regexp_full_match(v, '[0-9]{{15,16}}') THEN v::bigint // 1000000 END AS epoch,
+    regexp_extract(v, '^([0-9]{{8}})T?([01][0-9]|2[0-3])([0-5][0-9])([0-5][0-9])\\s*{_ZONED}$', ['d', 'h', 'm', 's', 'z']) AS k,
+    regexp_extract(v, '^(.*?)(?:T|,?\\s+)([01]?[0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9])(?:[.,][0-9]+)?)?\\s*{_ZONED}$', ['d', 'h', 'm', 's', 'z']) AS t
+  FROM vals v LEFT JOIN agency USING (agency_id)),
+dated AS (
+  SELECT *, CASE WHEN k.d <> '' THEN k.d WHEN t.d <> '' THEN t.d WHEN NOT timed THEN v END AS dpart, CASE WHEN k.d <> '' THEN k WHEN t.d <> '' THEN t END AS o,
+    CASE WHEN c IS NOT NULL THEN (CASE half WHEN 'p' THEN c.h::int % 12 + 12 WHEN 'a' THEN c.h::int % 12 ELSE c.h::int END) * 3600 + c.m::int * 60 + coalesce(nullif(c.s, '')::int, 0) END AS elapsed FROM clocks),
+walls AS (
+  SELECT *, CASE WHEN regexp_full_match(dpart, '[0-9]{{8}}') THEN try_strptime(dpart, '%Y%m%d') WHEN regexp_full_match(dpart, '[0-9]{{4}}-[0-9]{{3}}') THEN try_strptime(dpart, '%Y-%j')
+      WHEN regexp_full_match(dpart, '[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-]([0-9]{{4}}|[0-9]{{2}})') THEN CASE date_order WHEN 'MDY' THEN coalesce({_MDY}, {_DMY}) ELSE coalesce({_DMY}, {_MDY}) END
+      ELSE try_strptime(dpart, {_ISO_FORMATS}) END AS d, coalesce(o.h::int * 3600 + o.m::int * 60 + coalesce(nullif(o.s, '')::int, 0), 0) AS of_day, nullif(o.z, '') AS z FROM dated),
+zones AS (
+  SELECT *, d + to_seconds(of_day) AS wall, CASE WHEN z LIKE '%/%' THEN replace(replace(z, '[', ''), ']', '') WHEN z IS NULL THEN tz END AS wall_zone,
+    CASE WHEN regexp_matches(z, '^[+-]') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (substr(regexp_replace(z, '[^0-9]', '', 'g'), 1, 2)::int * 3600 + coalesce(nullif(substr(regexp_replace(z, '[^0-9]', '', 'g'), 3, 2), '')::int, 0) * 60)
+      ELSE CASE upper(z) {' '.join(f"WHEN '{n}' THEN {m * 60}" for n, m in {**tp.ABBREVIATIONS, 'IST': 330, 'BST': 60}.items())} END END AS shift FROM walls),
+shown AS (
+  SELECT *, CASE WHEN wall IS NOT NULL AND wall_zone IS NOT NULL AND epoch IS NULL AND elapsed IS NULL THEN list_distinct(list_filter(list_transform(range(-56, 57), lambda k: wall - to_minutes(k * 15)), lambda u: ((u AT TIME ZONE 'UTC') AT TIME ZONE wall_zone) = wall)) END AS instants FROM zones),
+settled AS (
+  SELECT *, CASE WHEN elapsed IS NOT NULL THEN ((day AT TIME ZONE tz) AT TIME ZONE 'UTC') + to_seconds(elapsed) WHEN epoch IS NOT NULL THEN TIMESTAMP '1970-01-01' + to_seconds(epoch) WHEN shift IS NOT NULL THEN wall - to_seconds(shift)
+      WHEN len(instants) = 1 THEN instants[1] END AS utc, CASE WHEN len(instants) = 0 THEN 'nonexistent' WHEN len(instants) > 1 THEN 'ambiguous' END AS open_state FROM shown)"""
+_P5 = f"""WITH {_READ}
+SELECT table_name, row_id, field_name, CASE WHEN timed THEN coalesce(open_state, strftime(utc, '%Y-%m-%dT%H:%M:%SZ')) WHEN epoch IS NULL AND z IS NULL THEN strftime(d, '%Y-%m-%d') ELSE coalesce(open_state, strftime((utc AT TIME ZONE 'UTC') AT TIME ZONE tz, '%Y-%m-%d')) END AS norm_value
+FROM settled WHERE (elapsed IS NOT NULL OR epoch IS NOT NULL OR d IS NOT NULL) AND NOT regexp_full_match(raw, CASE WHEN timed THEN '[0-9]{{2}}:[0-5][0-9]:[0-5][0-9]' ELSE '[0-9]{{8}}' END)"""
+_SEQUENCE = f"CASE WHEN {_BAD['stop_sequence'].format(_t('stop_sequence'))} THEN 0 ELSE {_t('stop_sequence')}::bigint END"
+
+
+def _filled(values: str) -> str:
+    """Neighbours of each place of an entity, from `values` (row_id, e, x, field_name, v, lacks)."""
+    side = lambda look, order: f"{look} OVER (PARTITION BY e, field_name ORDER BY x {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    seen = "last_value(CASE WHEN v IS NOT NULL THEN {} END IGNORE NULLS)"
+    return f"""{values},
+points AS (SELECT e, field_name, x, min(v) AS v FROM vals3 WHERE e IS NOT NULL GROUP BY ALL),
+near AS (SELECT e, field_name, x, {side(seen.format('x'), '')} AS bx, {side(seen.format('v'), '')} AS bv, {side(seen.format('x'), 'DESC')} AS ax, {side(seen.format('v'), 'DESC')} AS av FROM points),
+gaps AS (SELECT row_id, n.* FROM vals3 JOIN near n USING (e, field_name, x) WHERE lacks)"""
+
+
+_P3_FILLED = f"""WITH {_READ}, {_filled(f"""vals3 AS (
+  SELECT s.row_id, {_t('trip_id')} AS e, {_SEQUENCE} AS x, field_name, elapsed IS NULL AND epoch IS NULL AND d IS NULL AS lacks,
+    CASE WHEN elapsed IS NOT NULL THEN elapsed WHEN utc IS NOT NULL THEN date_diff('second', (day AT TIME ZONE tz) AT TIME ZONE 'UTC', utc) WHEN d IS NOT NULL THEN of_day END AS v
+  FROM settled s JOIN stop_times st ON st.row_id = s.row_id WHERE timed)""")}
+SELECT row_id, field_name, CASE WHEN bx = x OR av IS NULL THEN bv WHEN bv IS NULL THEN av ELSE bv + round((av - bv)::double * (x - bx) / (ax - bx))::bigint END AS value,
+  CASE WHEN bx = x THEN 'same_place' WHEN bv IS NULL THEN 'held_back' WHEN av IS NULL THEN 'held_forward' ELSE 'interpolated' END AS method, least(x - bx, ax - x) AS distance
+FROM gaps WHERE bv IS NOT NULL OR av IS NOT NULL"""
+_P3_HEADSIGNS = f"""WITH {_filled(f"vals3 AS (SELECT row_id, {_t('trip_id')} AS e, {_SEQUENCE} AS x, 'stop_headsign' AS field_name, {_t('stop_headsign')} AS v, v IS NULL AS lacks FROM stop_times)")}
+SELECT row_id, field_name, CASE WHEN x - bx <= 3 THEN bv ELSE av END AS value, CASE WHEN bx = x THEN 'same_place' WHEN x - bx <= 3 THEN 'carried_forward' ELSE 'carried_back' END AS method, CASE WHEN x - bx <= 3 THEN x - bx ELSE ax - x END AS distance
+FROM gaps WHERE coalesce(x - bx <= 3, false) OR coalesce(ax - x <= 3, false)"""
+# The same reading decides which values are missing.
+_P3 = f"""WITH {_READ}, stated AS (SELECT {_t('trip_id')} AS t, s.row_id, field_name, elapsed IS NULL AND epoch IS NULL AND d IS NULL AS lacks FROM settled s JOIN stop_times st ON st.row_id = s.row_id WHERE timed)
+SELECT row_id, field_name FROM stated s WHERE lacks AND t IS NOT NULL AND EXISTS (SELECT 1 FROM stated o WHERE o.t = s.t AND o.field_name = s.field_name AND NOT o.lacks)"""
+
 SQL: dict[str, str] = {
     "p1_found": _P1,
     "p1_summary": f"SELECT prev_snapshot_no, snapshot_no, change_type, count(*) AS n_rules FROM ({_P1}) GROUP BY ALL",
     "p2_found": _P2,
     "p2_report": f"SELECT child_table, field_name, feed_period, reason, count(*) AS n_references FROM ({_P2}) GROUP BY ALL",
     "p3_found": _P3,
+    "p3_filled": _P3_FILLED,
+    "p3_headsigns": _P3_HEADSIGNS,
     "p4_found": _P4,
+    "p4_loaded_stop_times": _loaded("stop_times.txt", {"stop_sequence": "{0}::int"}, ["stop_sequence", "pickup_type"]),
+    "p4_loaded_calendar": _loaded("calendar.txt", {"start_date": "strptime({0}, '%Y%m%d')::date"}, ["start_date"]),
+    "p5_found": _P5,
 }
