@@ -77,7 +77,7 @@ class Passages:
             if len(w) >= 3 and not _DIGIT.search(w):
                 for short in _shortened(w, 1 if len(w) < 7 else 2):
                     self._near[short].append(number)
-        self._known: dict[str, frozenset[int]] = {}
+        self.known: dict[str, frozenset[int]] = {}
 
     def numbered(self, words: list[str]) -> list[int]:
         """The words' numbers; the unknown get one that makes no window."""
@@ -91,16 +91,16 @@ class Passages:
 
     def meanings(self, seen: str) -> frozenset[int]:
         """The numbers of all words of passages that a folded word may be a misreading of (`same_word`)."""
-        known = self._known.get(seen)
+        known = self.known.get(seen)
         if known is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
             found = {self.vocabulary[seen]} if seen in self.vocabulary else set()
             if not _DIGIT.search(seen) and len(seen) < 40:
                 found.update(n for short in _shortened(seen, 2 if len(seen) > 4 else 1) for n in self._near.get(short, ()) if n not in found and same_word(seen, self.meant[n]))
             elif not _DIGIT.search(seen):
                 found.update(n for w, n in self.vocabulary.items() if same_word(seen, w))
-            known = self._known[seen] = frozenset(found) if found else _NOTHING
+            known = self.known[seen] = frozenset(found) if found else _NOTHING
         return known
 
 
@@ -289,7 +289,7 @@ class _Words:
             self.broken[len(words) - 1] = (words[-1], "")
         self.firsts = {*starts, *self.broken}
         self.ends = {j - 1 for j in starts} | {len(words) - 1} | set(self.broken)
-        self.meanings: list[frozenset[int] | None] = [None] * len(words)
+        self.meanings: list[frozenset[int] | None] = list(map(index.known.get, words))
         size, loose = len(words), {1: set(self.broken), -1: set(self.broken) | (self.firsts if self.broken else set())}
         #: By whether it is for jumps (0) or what comes after a passed piece (1), and by direction: places, and those that show only in parts what they may stand for.
         self.places, self.loose = {}, {}
@@ -343,10 +343,15 @@ class _Words:
         """Of the firsts of lines (ends, going back): by what they may stand for, each with what its neighbour may; those that the neighbour doesn't settle; all that neighbours may stand for."""
         beginnings, alone, beyond, size = {}, set(), set(), len(self.words)
         others = self.ends if step > 0 else self.firsts
+        known = self.meanings
         for q in self.firsts if step > 0 else self.ends:
-            here, r = self._means(q), q + step
+            here, r = known[q], q + step
+            if here is None:
+                here = self._means(q)
             inside = 0 <= r < size
-            after = self._means(r) if inside else _NOTHING
+            after = known[r] if inside else _NOTHING
+            if after is None:
+                after = self._means(r)
             if here:
                 if not inside or r in self.broken or q in others or step < 0 and r in self.firsts:
                     alone |= here
@@ -448,7 +453,7 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
                 rows = [
                     (doc, *hit)
                     for doc, text, x0, y0 in zip(batch["doc_id"], batch["text"], batch["x0"], batch["y0"], strict=True)
-                    for hit in scan_page(text, None if x0 is None else list(x0), None if y0 is None else list(y0), index)
+                    for hit in scan_page(text, None if x0 is None else x0.tolist(), None if y0 is None else y0.tolist(), index)
                 ]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "first_line", "last_line"])
 

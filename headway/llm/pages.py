@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 #: Marks that stand at a line's end where a word was broken.
 BREAKS = "-\u00ac\u00ad\u2010\u2011\u2013\u2014"
@@ -29,7 +30,7 @@ def printed_lines(text: str, x0: list[int] | None, y0: list[int] | None) -> list
     """The lines in printed order: by columns from the left, each top to bottom, where
     boxes are given for all lines; else as they come, lines with wide gaps split into cells."""
     lines = text.split("\n")
-    if x0 is None or len(x0) != len(lines) or any(v is None for v in x0) or any(v is None for v in y0):
+    if x0 is None or len(x0) != len(lines) or any(v is None or v != v for v in x0) or any(v is None or v != v for v in y0):
         if not _GAP.search(text):
             return lines
         cells = [_GAP.split(line.strip()) for line in lines]
@@ -37,8 +38,10 @@ def printed_lines(text: str, x0: list[int] | None, y0: list[int] | None) -> list
         return [row[k] for k in range(width) for row in cells if k < len(row)]
     starts = sorted(set(x0))
     edges = [b for a, b in zip(starts, starts[1:]) if b - a > COLUMN_GAP]
-    column = [sum(x >= e for e in edges) for x in x0]
-    ordered = [lines[i] for i in sorted(range(len(lines)), key=lambda i: (column[i], y0[i], i))]
+    places = sorted(zip((bisect_right(edges, x) for x in x0), y0, range(len(lines)))) if edges else sorted(zip(y0, range(len(lines))))
+    ordered = [lines[place[-1]] for place in places]
+    if not _GAP.search(text):
+        return ordered
     return [cell for line in ordered for cell in (_GAP.split(line.strip()) if _GAP.search(line) else (line,))]
 
 
