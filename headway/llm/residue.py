@@ -53,21 +53,28 @@ FILLER_WORDS = (
     "reprehenderit", "voluptate", "excepteur", "occaecat", "cupidatat", "perspiciatis", "unde", "omnis", "iste", "natus", "voluptatem", "accusantium", "doloremque", "laudantium",
     "totam", "aperiam", "eaque", "inventore", "veritatis", "architecto", "beatae", "explicabo", "nemo", "quia", "voluptas", "aspernatur", "consequuntur",
 )
+#: What a page says that announces its own filler.
+_FILLS = r"(?:a |an |the |some |only |just )*(?:placeholder|dummy|sample|filler|example) (?:copy|text|paragraph|content|story|article)"
 FILLER = (
     r"text to come, text to come", r"dummy copy to fill", r"sample text for layout", r"type your story in this", r"body text goes here", r"your text here",
     r"placeholder paragraph", r"paragraph, replace before printing", r"asdf asdf", r"jkl jkl", r"\bxxx+ xx+ xx+", r"ist ein blindtext", r"steht sp.ter der artikel",
     r"mustertext f.r die spalte", r"dit is opvultekst", r"voorbeeldtekst, nog te", r"est un faux texte", r"texte de l.article viendra", r"exemple de paragraphe .? ?remplacer",
     r"hier komt (?:later )?het artikel", r"hier komt later",
-    r"\b(?:this|here|following) (?:is|are|comes) (?:a |an |the |some |only |just )*(?:placeholder|dummy|sample|filler|example) (?:copy|text|paragraph|content|story|article)",
+    r"this is " + _FILLS, r"here (?:is|comes) " + _FILLS, r"following is " + _FILLS,
     r"\bes (?:un |el |s.lo )*(?:texto|p.rrafo) (?:de |simulado|falso)", r"texto de (?:relleno|ejemplo|muestra|prueba)", r"aqu. (?:va|ir.) el texto", r"testo (?:segnaposto|di (?:riempimento|esempio|prova))", r"texto de preenchimento",
 )
-#: What every filler sentence contains, as a cheap first look.
-_FILLER_MARKS = (
-    "text", "tekst", "copy", "story", "paragraph", "asdf", "jkl jkl", "xxx", "artikel", "placeholder", "dummy", "sample", "filler", "example", "komt", "p\u00e1rrafo", "parrafo", "testo",
-)
-_RUN_OF_FILLER = rf"\b(?:{'|'.join(FILLER_WORDS)})(?:\W+(?:{'|'.join(FILLER_WORDS)})\b){{2}}"
-#: First letters of filler words; pages without any need no closer look.
-_WORD_MARKS = tuple(sorted({w[:4] for w in FILLER_WORDS}))
+
+
+def _by_letter(patterns: tuple[str, ...]) -> str:
+    """Alternatives at the beginning of a word, told apart by their first letter first."""
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        bare = p.removeprefix(r"\b")
+        groups.setdefault(bare[0] if bare[0].isalpha() else "", []).append(bare)
+    return r"\b(?:" + "|".join(f"{k}(?:{'|'.join(x[len(k) :] for x in v)})" for k, v in sorted(groups.items())) + ")"
+
+
+_RUN_OF_FILLER = _by_letter(FILLER_WORDS) + r"(?:\W+" + _by_letter(FILLER_WORDS) + r"\b){2}"
 
 # What error messages and notices that scripts are needed say, in several languages.
 MESSAGES = (
@@ -86,9 +93,15 @@ def _any(patterns: tuple[str, ...]) -> str:
 _UNSAID = rf"^[^\p{{L}}\p{{N}}]*(?:(?:error|http|oops!?)?[^\p{{L}}]*$|{_any(NAVIGATION)})"
 
 
+#: A word's break at a line's end.
+_BROKEN = rf"[{BREAKS}](?<=\w.)[ \t]*\n"
+#: A slot that begins in a line, or in a cell of it, and doesn't end there; or half of an empty value.
+_SPLIT = r"(?m)(?:(?:[\[{<]|&lt;|%%|@@|__|\?\?|\$|%\()[^\]}>\n]*?(?: {3}|$)|(?:null|undefined,?)[ \t]*(?: {3}|$))"
+
+
 def flat(lines: Column) -> Column:
     """Lines as running text, broken words put together."""
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), rf"(?<=\w)[{BREAKS}][ \t]*\n", ""), r"\s+", " ")
+    return running(F.array_join(lines, "\n"))
 
 
 def readings(text: Column, boxes: Column) -> list[Column]:
@@ -111,23 +124,26 @@ def has_placeholder(text: Column) -> Column:
 
 def has_filler(text: Column) -> Column:
     low = F.lower(text)
-    some = lambda marks: reduce(lambda a, b: a | b, [low.contains(m) for m in marks])
-    return (some(_FILLER_MARKS) & low.rlike(_any(FILLER))) | (some(_WORD_MARKS) & low.rlike(_RUN_OF_FILLER))
+    return low.rlike(_by_letter(FILLER)) | low.rlike(_RUN_OF_FILLER)
+
+
+def running(text: Column) -> Column:
+    """A page's text with broken words put together and blanks made single."""
+    return F.regexp_replace(F.regexp_replace(text, _BROKEN, ""), r"[\n\t\r\f]\s*| \s+", " ")
 
 
 def residue_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, placeholder, filler) of pages that hold template residue or filler.
 
-    Only pages whose text has any mark of a placeholder are read in other orders too.
+    Only pages where a slot begins in a line and doesn't end there are read in other orders too.
     Pages with NULL or empty text hold nothing.
     """
     text = F.col("text")
     pages = documents.where(text.isNotNull()).select("doc_id", "text", F.col("lines").alias("_boxes"))
-    plain = F.regexp_replace(F.regexp_replace(text, rf"(?<=\w)[{BREAKS}][ \t]*\n", ""), r"\s+", " ")
-    marked = pages.withColumn("_plain", plain).withColumn("_mark", F.col("_plain").rlike(_MARKS))
-    looked = marked.withColumn("filler", has_filler(F.col("_plain"))).withColumn("_first", F.col("_mark") & has_placeholder(F.col("_plain")))
+    looked = pages.withColumn("_plain", running(text)).withColumn("_mark", F.col("_plain").rlike(_MARKS))
+    looked = looked.withColumn("filler", has_filler(F.col("_plain"))).withColumn("_first", F.col("_mark") & has_placeholder(F.col("_plain")))
     others = [F.coalesce(has_placeholder(flat(r)), F.lit(False)) for r in readings(text, F.col("_boxes"))[1:]]
-    looked = looked.withColumn("placeholder", F.when(F.col("_first"), True).when(F.col("_mark"), reduce(lambda a, b: a | b, others)).otherwise(False))
+    looked = looked.withColumn("placeholder", F.when(F.col("_first"), True).when(F.col("_mark") & text.rlike(_SPLIT), reduce(lambda a, b: a | b, others)).otherwise(False))
     return looked.where(F.col("placeholder") | F.col("filler")).select("doc_id", "placeholder", "filler")
 
 
@@ -209,7 +225,7 @@ def error_pages(documents: DataFrame) -> DataFrame:
     measures = hosts.agg(F.avg("host_share").alias("_average"), (mean + 2 * spread_of).alias("_little"))
 
     brief = pages.crossJoin(F.broadcast(measures)).where((F.size(words(head)) <= F.col("_little")) & (size <= F.col("_little")) & (size > 0)).withColumn("_said", said)
-    brief = brief.withColumn("_text", F.xxhash64(F.lower(text)))
+    brief = checkpointed(brief.withColumn("_text", F.xxhash64(F.lower(text))))  # some percent of the pages
     lines = brief.select("_text", F.explode(F.array_distinct(F.transform("_said", line_template))).alias("_l")).distinct()
     spread = lines.groupBy("_l").agg(F.count(F.lit(1)).alias("_df"))
     seen = brief.select("doc_id", "_host", "_average", "text", "_said", F.explode(F.array_distinct("_said")).alias("_line")).withColumn("_t", line_template(F.col("_line")))
