@@ -460,3 +460,30 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
         one = pages.mapInPandas(run, "doc_id bigint, item_id bigint, words int, first_line int, last_line int")
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def _without(text: str, x0: list[int] | None, y0: list[int] | None, spans: list[tuple[int, int]]) -> str:
+    """A page in printed order without the lines of spans, which count lines that have words."""
+    lines = printed_lines(text, x0, y0)
+    worded = [i for i, line in enumerate(lines) if WORD.search(fold(line))]
+    dropped = {i for first, last in spans for i in worded[first : last + 1]}
+    return "\n".join(line for i, line in enumerate(lines) if i not in dropped)
+
+
+def remove_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, text, removed): all pages, those in `found` (of `leaks`) in printed order and without the leaking lines.
+
+    A span goes from the line where a passage's words begin to the one where they end;
+    adverts in between go with it. `removed` counts the items; pages with none keep
+    their text as it is, NULL included.
+    """
+    spans = found.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set(F.struct("first_line", "last_line")).alias("_spans"), F.count_distinct("item_id").alias("removed"))
+    pages = documents.select("doc_id", "text", F.col("lines.x0").alias("x0"), F.col("lines.y0").alias("y0")).join(spans, F.col("doc_id") == F.col("_d"), "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, x0: pd.Series, y0: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        plain = lambda a: None if a is None else a.tolist()
+        return pd.Series([t if f is None else _without(t, plain(x), plain(y), list(zip(f, e))) for t, x, y, f, e in zip(text, x0, y0, first, last, strict=True)], dtype=object)
+
+    leaking = pages.where(F.col("_d").isNotNull()).withColumn("text", cut("text", "x0", "y0", "_spans.first_line", "_spans.last_line"))
+    return pages.where(F.col("_d").isNull()).unionByName(leaking).select("doc_id", "text", F.coalesce("removed", F.lit(0)).alias("removed"))

@@ -27,6 +27,11 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "source", "text").join(p6_found(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All pages, with the lines of test passages removed."""
+    return leak.remove_spans(table(spark, d, "documents", "doc_id", "text", "lines"), checkpointed(p6_leaks(spark, d)))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "source", "text").withColumn("source", mixing.source_name(F.col("source")))
     return mixing.count_tokens(docs, "text", ["doc_id", "source"])
@@ -62,5 +67,5 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "source", "text").join(p8_found(spark, d), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p6_items, p6_kept, p7_mix_report, p7_mix, p8_found, p8_reasons, p8_kept)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p6_items, p6_kept, p6_cleaned, p7_mix_report, p7_mix, p8_found, p8_reasons, p8_kept)}
 SQL: dict[str, str] = {}

@@ -44,6 +44,15 @@ def test_leaks_in_all_layouts(spark):
     assert found(spark, rows) == {(i, 1) for i in (0, 1, 3, 4, 5, 6, 7, 8, 13, 14)}
 
 
+def test_spans_are_removed(spark):
+    head, tail = "It was said at Novby", "No tannery was closed without delay."
+    rows = [(f"{head}\n\n" + "\n".join(wrap(PASSAGE.split(), 6)) + f"\n{tail}", None), (tail, None), (None, None), ("", None)]
+    df = spark.createDataFrame([(i, t, b, "s", "x", "y") for i, (t, b) in enumerate(rows)], DOCS)
+    items = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE.upper())], "item_id bigint, passage string")
+    got = {r.doc_id: (r.text, r.removed) for r in leak.remove_spans(df, leak.leaks(df, items)).collect()}
+    assert got == {0: (f"{head}\n\n{tail}", 2), 1: (tail, 0), 2: (None, 0), 3: ("", 0)}
+
+
 def test_shared_passages_and_blocks(spark):
     items = [(1, PASSAGE), (2, PASSAGE.lower() + "!"), (3, None), (4, "too short to count"), (None, PASSAGE)]
     rows = [(PASSAGE, None), ("nothing here", None)]
