@@ -59,8 +59,11 @@ def strip_version_lines(text: str, keep_first: bool = False) -> str:
 
 
 def append_history(pairs: DataFrame, path: str, fresh: bool = False) -> None:
-    """Adds given (rule_key, service_date, type) to the history, after the output is written; `fresh` starts it anew."""
-    pairs.write.mode("overwrite" if fresh else "append").parquet(path)
+    """Adds given (rule_key, service_date, type) to the history, after the output is written; `fresh` starts it anew.
+
+    A folder per service date: a later run reads the dates it has, not the whole history.
+    """
+    pairs.repartition("service_date").write.mode("overwrite" if fresh else "append").partitionBy("service_date").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame | None:

@@ -33,6 +33,13 @@ def stream_new_rules(rule_stream: DataFrame, history_path: str, checkpoint: str,
     return rule_stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_fresh_pairs(pairs: DataFrame) -> DataFrame:
-    """(rule_key, service_date) pairs of a stream, each once, by Spark's own state store."""
-    return pairs.dropDuplicates(["rule_key", "service_date"])
+def stream_fresh_pairs(pairs: DataFrame, arrived: str | None = None, within: str | None = None) -> DataFrame:
+    """(rule_key, service_date) pairs of a stream, each once, by Spark's own state store.
+
+    The state holds every pair ever seen. With a timestamp column `arrived` and a
+    duration `within`, it forgets pairs that long after their arrival: a pair repeated
+    later than that is given again, and the history has to leave it out.
+    """
+    if arrived is None:
+        return pairs.dropDuplicates(["rule_key", "service_date"])
+    return pairs.withWatermark(arrived, within or "31 days").dropDuplicatesWithinWatermark(["rule_key", "service_date"])

@@ -169,6 +169,9 @@ def test_stream_of_feed_versions(spark, tmp_path):
     q = stream_fresh_pairs(pairs).writeStream.format("memory").queryName("pairs").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("pairs").count() == 4
+    timed = stream_fresh_pairs(pairs.withColumn("at", F.lit("2024-01-01").cast("timestamp")), "at", "1 day")
+    timed.writeStream.format("memory").queryName("timed").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("timed").count() == 4
 
 
 def test_names_and_configurations(spark, tmp_path):
