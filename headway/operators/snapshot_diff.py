@@ -31,10 +31,10 @@ def tree_levels(rows: int) -> tuple[int, ...]:
 
 
 def last_delivery(df: DataFrame, snapshot: str, delivery: str) -> DataFrame:
-    """Rows of the highest delivery of each snapshot. The other side is a row per snapshot."""
+    """Rows of the highest delivery of each snapshot. The side that is broadcast is a row per snapshot: a calendar, not data."""
     best = df.groupBy(snapshot).agg(F.max(delivery).alias("_best"))
     return (
-        df.join(best.withColumnRenamed(snapshot, "_snap"), (F.col(snapshot) == F.col("_snap")) & (F.col(delivery) == F.col("_best")))
+        df.join(F.broadcast(best.withColumnRenamed(snapshot, "_snap")), (F.col(snapshot) == F.col("_snap")) & (F.col(delivery) == F.col("_best")))
         .drop("_snap", "_best")
     )
 
