@@ -54,10 +54,11 @@ class Templates:
 
 def encode(value: Column) -> Column:
     """Percent-encoding of UTF-8, with spaces as %20 and the unreserved marks left alone; NULL gives nothing."""
-    out = F.url_encode(F.coalesce(value.cast("string"), F.lit("")))
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    out = F.url_encode(text)
     for seen, meant in (("+", "%20"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%21", "!")):
         out = F.replace(out, F.lit(seen), F.lit(meant))
-    return out
+    return F.when(text.rlike(r"\A[A-Za-z0-9._-]*\z"), text).otherwise(out)  # most ids need none of it
 
 
 def java_pattern(pattern: str) -> str:

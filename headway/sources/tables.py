@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,16 +16,43 @@ def table(spark: SparkSession, directory: str, name: str, *columns: str) -> Data
     return df.select(*columns) if columns else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, computed now and kept in the shared folder named by spark.checkpoint.dir, partitioned as it is.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir.
 
-    What follows reads it from there, however often, and survives the loss of executors.
-    Only where the session names no folder (local tests) one of this machine is set.
+    Only where the session names none (local tests) one of this machine is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="headway-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, computed now and kept in the shared folder, partitioned as it is.
+
+    What follows reads it from there, however often, and survives the loss of executors.
+    For narrow rows; wide ones are better `written`.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df`, computed now and written to a table in the shared folder, of which each use reads the columns it needs.
+
+    The table is deleted when the session's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone before
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
