@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text import or_empty, some
+from headway.operators.numbering import numbered
 from headway.operators.service_calendar import last_wins, with_order
 
-#: Leading characters of a trip id that name its block when trips are numbered.
-BLOCK = 11
-
-
 def sequence_number(c: str = "stop_sequence") -> Column:
     return F.col(c).try_cast("double")
 
@@ -168,16 +165,7 @@ def history_of(rule_rows: DataFrame) -> DataFrame:
 
 
 def deal_trips(stop_times: DataFrame, shards: int) -> DataFrame:
-    """`stop_times` with `shard`: trips dealt out in turn in the order of their ids, none split. NULL is a trip id like others.
-
-    Trips are numbered through sorted blocks: ranks within a block of ids with equal
-    leading hash bits would not keep their order, so blocks are ranges of the ids'
-    first characters with their counts summed up before. The sums are a row per block.
-    """
-    trips = stop_times.select("trip_id").distinct().withColumn("_block", F.substring(or_empty("trip_id"), 1, BLOCK))
-    counts = trips.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    at = F.row_number().over(Window.partitionBy("_block").orderBy(F.col("trip_id").asc_nulls_first())) - 1
-    numbered = trips.withColumn("_at", at).join(starts, F.col("_block") == F.col("_b"))
-    dealt = numbered.select(F.col("trip_id").alias("_t"), ((F.col("_start") + F.col("_at")) % shards).cast("int").alias("shard"))
+    """`stop_times` with `shard`: trips dealt out in turn in the order of their ids, none split. NULL is a trip id like others."""
+    dealt = numbered(stop_times.select("trip_id").distinct(), [F.col("trip_id")], "_number")
+    dealt = dealt.select(F.col("trip_id").alias("_t"), (F.col("_number") % shards).cast("int").alias("shard"))
     return stop_times.join(dealt, F.col("trip_id").eqNullSafe(F.col("_t"))).drop("_t")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions.text import some
 from headway.functions.uris import Templates, uri_columns
 from headway.operators.connections import iso
+from headway.operators.numbering import numbered
 
 # Vocabularies, boarding types by code, and the JSON-LD context. That of connections is the caller's, in `Templates`.
 GTFS, XSD = "http://vocab.gtfs.org/terms#", "http://www.w3.org/2001/XMLSchema#"
@@ -178,20 +179,8 @@ def header(fmt: str, templates: Templates | None = None) -> str | None:
 
 
 def message_numbers(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """Dense numbers from 0 in order of `groups`, then `order`, as `message_id`.
-
-    Counts per group are summed up first, one row a group; numbers within a group come
-    from a window by group, so no task sees all rows. NULL groups come first.
-    """
-    counted = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    same = F.lit(True)
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    within = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
-    numbered = df.withColumn("_at", within).join(starts, same)
-    return numbered.withColumn("message_id", F.col("_start") + F.col("_at")).drop("_at", "_start", *[f"_g_{g}" for g in groups])
+    """Dense numbers from 0 in order of `groups`, then `order`, as `message_id`. NULL comes first; a group of any size is spread like others."""
+    return numbered(df, [F.col(c) for c in (*groups, *order)], "message_id")
 
 
 def rows_of(fmt: str, connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> DataFrame:

@@ -183,3 +183,31 @@ def test_message_numbers_are_dense(spark):
     df = spark.range(50).select((F.col("id") % 3).alias("g"), "id")
     got = formats.message_numbers(df, ["g"], ["id"]).orderBy("g", "id").collect()
     assert [r.message_id for r in got] == list(range(50))
+
+
+def test_numbers_of_a_hot_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").alias("g"), F.col("id").alias("message_id0"), (F.col("id") * 7 % 5000).alias("id"))
+    got = formats.message_numbers(df.repartition(7), ["g"], ["id"]).collect()
+    assert [(r.g or "", r.id) for r in sorted(got, key=lambda r: r.message_id)] == sorted((r.g or "", r.id) for r in got) and {r.message_id for r in got} == set(range(5000))
+    assert formats.message_numbers(df.where("false"), ["g"], ["id"]).count() == 0
+
+
+def test_trips_are_dealt_out(spark):
+    st = spark.createDataFrame([(t,) for t in ("b", "a", None, "c", "a", "", "d")], "trip_id string")
+    got = {r.trip_id: r.shard for r in rules.deal_trips(st, 2).collect()}
+    assert got == {None: 0, "": 1, "a": 0, "b": 1, "c": 0, "d": 1}
+
+
+def test_dropped_pairs_name_what_they_lack(spark):
+    st, stops, trips, routes, _ = feed(spark, [("t1", "8:00", "8:00", "A", "1", "", ""), ("t1", "9:00", "9:00", "Z", "2", "", ""), ("t9", "8:00", "8:00", "A", "1", "", ""), ("t9", "9:00", "9:00", "B", "2", "", ""), ("", "9:00", "9:00", "B", "2", "", "")])
+    got = {(r.trip_id, r.missing, r.key) for r in rules.dropped_pairs(st, stops, trips, routes).collect()}
+    assert got == {("t1", "arrival_stop", "Z"), ("t9", "trip", "t9")}
+    assert {r.missing for r in rules.dropped_pairs(st, stops, trips, routes.where("false")).collect()} == {"arrival_stop", "trip"}
+
+
+def test_movements_without_rows_times_or_trips(spark):
+    columns = "`@id` string, departureStop string, arrivalStop string, departureTime string, arrivalTime string, `gtfs:trip` string, `gtfs:route` string, `gtfs:pickupType` string, `gtfs:dropOffType` string, extra string, _ord bigint"
+    assert linking.join_and_sort(spark.createDataFrame([], columns)).count() == 0
+    rows = [(None, None, None, None, None, None, None, None, None, "x", 1), ("a", "A", "B", None, None, "t", "r", "gtfs:NotAvailable", None, "y", 2), ("b", "A", "B", None, None, "u", "r", None, None, None, 3)]
+    got = {r["@id"]: (r.extra, r.nextConnection) for r in linking.join_and_sort(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {None: ("x", None), "b": (None, None)}
