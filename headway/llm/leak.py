@@ -27,8 +27,8 @@ from headway.llm.pages import BREAKS, WORD, fold, joined, printed_lines
 RUN = 12
 #: Words of the hashed windows.
 NGRAM = 3
-#: Characters of passages that one broadcast holds; their index takes about 40 times as many bytes in a Python worker. More passages go in several passes.
-BLOCK_CHARS = 8_000_000
+#: Characters of passages that one broadcast holds. Measured, their index takes 360 MB in a Python worker; more passages go in several passes.
+BLOCK_CHARS = 4_000_000
 #: Page words whose meanings a worker remembers.
 REMEMBERED = 200_000
 
