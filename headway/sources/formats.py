@@ -134,11 +134,16 @@ def to_ntriples_rows(connections: DataFrame, templates: Templates | None = None,
     return df.select(F.concat_ws("\n", *lines, F.lit("MESSAGE")).alias("value"), *_kept(df))
 
 
+def prefix_names(templates: Templates | None = None) -> dict[str, str]:
+    """The vocabularies by their prefixes."""
+    return {"lc": (templates or Templates()).vocabulary, "gtfs": GTFS, "xsd": XSD}
+
+
 def to_turtle_rows(connections: DataFrame, templates: Templates | None = None, timezone: str = "UTC") -> DataFrame:
     """(value): one message a row, its statements under one subject, closed by the delimiter."""
     templates = templates or Templates()
     df, stated = statements(connections, templates, timezone)
-    bases = {"lc": templates.vocabulary, "gtfs": GTFS, "xsd": XSD}
+    bases = prefix_names(templates)
 
     def short(iri: str) -> str:
         return "a" if iri == RDF_TYPE else next((f"{k}:{iri[len(b) :]}" for k, b in bases.items() if iri.startswith(b)), f"<{iri}>")
@@ -171,7 +176,7 @@ def context(templates: Templates | None = None) -> dict:
 
 def header(fmt: str, templates: Templates | None = None) -> str | None:
     """What stands once before the rows."""
-    prefixes = "\n".join(f"@prefix {p}: <{b}>." for p, b in (("lc", (templates or Templates()).vocabulary), ("gtfs", GTFS), ("xsd", XSD)))
+    prefixes = "\n".join(f"@prefix {p}: <{b}>." for p, b in prefix_names(templates).items())
     json_context = json.dumps(context(templates), separators=(",", ":"))
     return {
         "jsonld": json_context, "mongold": json_context, "csv": ",".join(f'"{c}"' for c in CSV_COLUMNS), "turtle": f'@version "1.2-messages" .\n{prefixes}', "ntriples": 'VERSION "1.2-messages"',

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # Field numbers of the protocol's messages.
-ROW = {"options": 1, "triple": 2, "name": 9, "prefix": 10, "datatype": 11}
+ROW = {"options": 1, "triple": 2, "namespace": 6, "name": 9, "prefix": 10, "datatype": 11}
 TERM = {"s": 1, "p": 5, "o_iri": 9, "o_literal": 11}
 NAMES, PREFIXES, DATATYPES = 128, 16, 16
 
@@ -35,8 +35,8 @@ def block(field: int, body: bytes) -> bytes:
 
 
 def options() -> bytes:
-    """The stream's options: triples, table sizes, flat logical type, version 1."""
-    body = number(2, 1) + number(9, NAMES) + number(10, PREFIXES) + number(11, DATATYPES) + number(14, 1) + number(15, 1)
+    """The stream's options: triples, table sizes, flat logical type, version 2, the first with namespaces."""
+    body = number(2, 1) + number(9, NAMES) + number(10, PREFIXES) + number(11, DATATYPES) + number(14, 1) + number(15, 2)
     return block(1, block(ROW["options"], body))
 
 
@@ -71,6 +71,16 @@ def frame(quads: Iterable[dict], first: bool = False) -> bytes:
     return b"".join(rows)
 
 
+def namespaces(names: dict[str, str]) -> bytes:
+    """The frame that a file begins with: options and namespace declarations, no triple."""
+    rows = [options()]
+    for i, (name, iri) in enumerate(names.items(), 1):
+        prefix, rest = _split(iri)
+        rows += [block(1, block(ROW["prefix"], number(1, i) + block(2, prefix.encode()))), block(1, block(ROW["name"], number(1, i) + block(2, rest.encode())))]
+        rows.append(block(1, block(ROW["namespace"], block(1, name.encode()) + block(2, number(1, i) + number(2, i)))))
+    return b"".join(rows)
+
+
 def delimited(body: bytes) -> bytes:
     return varint(len(body)) + body
 
@@ -86,7 +96,7 @@ def to_jelly_rows(quad_rows: DataFrame) -> DataFrame:
 
 
 def read_frames(data: bytes) -> list[list[tuple[str, str, str, str | None]]]:
-    """The triples of each frame as (s, p, o, datatype); literals have a datatype."""
+    """The triples of each frame that has any, as (s, p, o, datatype); literals have a datatype."""
 
     def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         i = 0
@@ -136,5 +146,6 @@ def read_frames(data: bytes) -> list[list[tuple[str, str, str, str | None]]]:
                     else:
                         literal = dict(fields(got[11]))
                         triples.append((iri(got[1]), iri(got[5]), literal.get(1, b"").decode(), tables[11][literal[3]]))
-        frames.append(triples)
+        if triples:
+            frames.append(triples)
     return frames

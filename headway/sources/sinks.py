@@ -31,6 +31,7 @@ def write_single(fmt: str, connections: DataFrame, directory: str, templates: Te
     with tempfile.TemporaryDirectory(dir=directory) as work, target.open("wb") as out:
         if fmt == "jelly":
             packer = gzip.open(out, "wb") if compressed else out
+            packer.write(jelly.delimited(jelly.namespaces(formats.prefix_names(templates))))
             for row in jelly.to_jelly_rows(formats.quads(connections, templates, timezone)).toLocalIterator():
                 packer.write(bytes(row.value))
             if compressed:

@@ -70,6 +70,8 @@ def test_binary_messages_round_trip(spark, place, tmp_path):
     out = conversion.convert(spark, str(place), str(tmp_path / "o"), "jelly", compressed=True)
     frames = jelly.read_frames(gzip.open(out).read())
     assert len(frames) == 6 and all(len({s for s, *_ in f}) == 1 and 7 <= len(f) <= 10 for f in frames)
+    raw = gzip.open(out).read()
+    assert raw.count(b"gtfs") >= 2 and raw.startswith(jelly.delimited(jelly.namespaces({"lc": "http://example.org/ns/connections#", "gtfs": "http://vocab.gtfs.org/terms#", "xsd": "http://www.w3.org/2001/XMLSchema#"})))
     assert any(o == "To \"B\"" and d.endswith("#string") for f in frames for _, _, o, d in f if d)
 
 
