@@ -16,13 +16,22 @@ def _seconds(c: str) -> Column:
     v = strip_to_null(c)
     pattern = r"^([0-9]+):([0-9]{1,2})(?::([0-9]{1,2}))?$"
     part = lambda k: F.coalesce(F.regexp_extract(v, pattern, k).try_cast("bigint"), F.lit(0))
-    return F.when(v.rlike(pattern), (part(1) * 3600 + part(2) * 60 + part(3)).cast("string")).otherwise(v)
+    at = lambda k: F.substring(v, k, 2).try_cast("bigint")
+    full = F.when(v.rlike("^[0-9]{2}:[0-9]{2}:[0-9]{2}$"), (at(1) * 3600 + at(4) * 60 + at(7)).cast("string"))
+    return full.when(v.rlike(pattern), (part(1) * 3600 + part(2) * 60 + part(3)).cast("string")).otherwise(v)
 
 
 def _days(c: str) -> Column:
-    """A set of days: separators don't matter, nor do order, repetitions and blank entries; NULL is the empty set."""
-    day = F.transform(F.col(c), lambda d: F.regexp_replace(strip_to_null(d), r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", "$1$2$3"))
-    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.filter(day, lambda d: d.isNotNull()))), ","), F.lit(""))
+    """A set of days: separators don't matter, nor do order, repetitions and blank entries; NULL is the empty set.
+
+    The days are handled as one text, which stays in compiled code.
+    """
+    mark = "\u0001"
+    whole = F.array_join(F.col(c), mark)  # NULL entries are left out
+    bare = F.regexp_replace(whole, rf"(?<=^|{mark})[ \t]+|[ \t]+(?={mark}|\z)", "")
+    bare = F.regexp_replace(bare, rf"(?<=^|{mark})([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})(?={mark}|\z)", "$1$2$3")
+    days = F.split(F.when(whole.rlike(r"[- \t]"), bare).otherwise(whole), mark)
+    return F.coalesce(F.array_join(F.sort_array(F.array_distinct(F.array_remove(days, ""))), ","), F.lit(""))
 
 
 def p1_changes(spark: SparkSession, d: str, levels=None) -> DataFrame:
