@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import timeparse as tp
 from headway.functions.text import strip_to_null
+from headway.sources.tables import checkpointed
 
 ORDERS = ("DMY", "MDY")
 #: Pseudo-counts of a declared order, and of every format.
@@ -125,10 +126,11 @@ def normalise_times(rows: DataFrame, sources: DataFrame, keep: list[str]) -> Dat
     of `keep`; `sources` has source, zone and declared order. norm_value is the UTC
     instant, `ambiguous` or `nonexistent`. Values that state no time (blank, words,
     minutes or seconds above 59) give no row; where the zone is unknown and needed,
-    norm_value is `unresolved`.
+    norm_value is `unresolved`. Values are parsed once and written, for what is learnt
+    from them and what comes of it.
     """
     stated = rows.where(tp.tokens(F.col("value"), True).isNotNull())
-    parsed = tp.with_parts(stated, F.col("value"), True).select("source", "day", *keep, "parsed")
+    parsed = checkpointed(tp.with_parts(stated, F.col("value"), True).select("source", "day", *keep, "parsed"))
     out = resolve(with_orders(parsed, sources), "day").select(*keep, F.col("_seconds").alias("epoch"), "_state", "posterior")
     text = F.date_format(tp.wall_of(F.col("epoch")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return out.select(*keep, "epoch", F.coalesce("_state", text, F.lit("unresolved")).alias("norm_value"), "posterior")
@@ -142,7 +144,7 @@ def normalise_dates(rows: DataFrame, sources: DataFrame, keep: list[str]) -> Dat
     30 February, is `nonexistent`.
     """
     stated = rows.where(tp.tokens(F.col("value"), False).isNotNull())
-    parsed = tp.with_parts(stated, F.col("value"), False).select("source", *keep, "parsed")
+    parsed = checkpointed(tp.with_parts(stated, F.col("value"), False).select("source", *keep, "parsed"))
     p = F.col("parsed")
     zoned = (p["kind"] == "epoch") | (p["zone"].isNotNull() & p["h"].isNotNull())
     local = F.to_date(tp.to_local(tp.wall_of(F.col("_seconds")), F.col("zone")))
