@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import os
+import re
 import shutil
 import signal
 import sys
 import tempfile
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,16 +99,32 @@ def set_up(spark: SparkSession, query: str, directory: str, ask: Callable[[str],
     return json.loads(Path(config.write_configuration(directory, agency, feed, url, uris)).read_text())
 
 
+def _setting(name: str, default: str | None = None) -> str | None:
+    """A default from the environment: HEADWAY_ and the option's name."""
+    return os.environ.get(f"HEADWAY_{name}", default)
+
+
+@contextlib.contextmanager
+def fetched(place: str, output: str) -> Iterator[str]:
+    """The folder of a feed; one that is at an address is unpacked below the output folder, which executors see, and removed afterwards."""
+    if not re.match(r"https?://", place):
+        yield place
+        return
+    Path(output).mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=output) as work:
+        yield feeds.unpack(feeds.download(place, f"{work}/feed.zip"), f"{work}/feed")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="headway")
     commands = parser.add_subparsers(dest="command", required=True)
     common = argparse.ArgumentParser(add_help=False)
-    common.add_argument("-f", "--format", default="json")
+    common.add_argument("-f", "--format", default=_setting("FORMAT", "json"))
     common.add_argument("-b", "--base-uris")
-    common.add_argument("-o", "--output", default=".")
-    common.add_argument("-c", "--compressed", action="store_true")
-    common.add_argument("--workers", type=int)
-    common.add_argument("--timezone", default="UTC")
+    common.add_argument("-o", "--output", default=_setting("OUTPUT", "."))
+    common.add_argument("-c", "--compressed", action="store_true", default=_setting("COMPRESSED", "") in ("1", "true"))
+    common.add_argument("--workers", type=int, default=_setting("WORKERS"))
+    common.add_argument("--timezone", default=_setting("TIMEZONE", "UTC"))
     p = commands.add_parser("convert", parents=[common])
     p.add_argument("path")
     p.add_argument("-s", "--stream", action="store_true")
@@ -119,9 +137,9 @@ def main(argv: list[str] | None = None) -> int:
     p = commands.add_parser("join-and-sort")
     p.add_argument("file")
     p = commands.add_parser("window-build", parents=[common])
-    p.add_argument("path")
-    p.add_argument("--start", default=os.environ.get("HEADWAY_START"))
-    p.add_argument("--days", default=os.environ.get("HEADWAY_DAYS", "7"))
+    p.add_argument("path", nargs="?", default=_setting("FEED"), help="a feed's folder, or the address of its archive")
+    p.add_argument("--start", default=_setting("START"))
+    p.add_argument("--days", default=_setting("DAYS", "7"))
     p = commands.add_parser("build", parents=[common])
     p.add_argument("query")
     p.add_argument("--config-dir", default="config")
@@ -152,13 +170,14 @@ def main(argv: list[str] | None = None) -> int:
             for row in rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value")).toLocalIterator():
                 print(row.value)
         elif a.command == "window-build":
-            print(window_build(spark, a.path, a.output, a.start, a.days, a.timezone, fmt=a.format, base_uris=uris, compressed=a.compressed, workers=a.workers))
+            if not a.path:
+                raise ValueError("No feed is named")
+            with fetched(a.path, a.output) as place:
+                print(window_build(spark, place, a.output, a.start, a.days, a.timezone, fmt=a.format, base_uris=uris, compressed=a.compressed, workers=a.workers))
         else:
             hit = config.match_configuration(config.read_configurations(a.config_dir), a.query)
             settings = hit["config"] if hit else set_up(spark, a.query, a.config_dir)
-            Path(a.output).mkdir(parents=True, exist_ok=True)
-            with tempfile.TemporaryDirectory(dir=a.output) as work:
-                place = feeds.unpack(feeds.download(settings["_meta"]["feedUrl"], f"{work}/feed.zip"), f"{work}/feed")
+            with fetched(settings["_meta"]["feedUrl"], a.output) as place:
                 print(convert(spark, place, a.output, a.format, settings, a.compressed, True, a.timezone, a.workers))
     except (ValueError, OSError) as error:
         print(error, file=sys.stderr)

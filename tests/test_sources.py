@@ -1,7 +1,11 @@
 """Reading, writing, commands and streams over small files."""
 
+import functools
 import gzip
+import http.server
 import json
+import shutil
+import threading
 from pathlib import Path
 
 import pytest
@@ -105,6 +109,21 @@ def test_feeds_without_optional_columns(spark, place, tmp_path):
     assert len(Path(conversion.convert(spark, str(place), str(tmp_path / "o"), "csv")).read_text().splitlines()) == 4
 
 
+def test_windows_of_feeds_at_an_address(spark, place, tmp_path, monkeypatch, capsys):
+    (tmp_path / "www").mkdir()
+    shutil.make_archive(str(tmp_path / "www/feed"), "zip", place.parent, place.name)
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path / "www")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    for name, value in (("FEED", f"http://127.0.0.1:{server.server_port}/feed.zip"), ("START", "2024-01-02"), ("DAYS", "1"), ("FORMAT", "csv"), ("OUTPUT", str(tmp_path / "o"))):
+        monkeypatch.setenv(f"HEADWAY_{name}", value)
+    assert conversion.main(["window-build"]) == 0
+    out = capsys.readouterr().out.strip().splitlines()[-1]
+    assert len(Path(out).read_text().splitlines()) == 3 and sorted(p.name for p in (tmp_path / "o").iterdir()) == ["connections.csv", "history.parquet"]
+    monkeypatch.setenv("HEADWAY_FEED", f"http://127.0.0.1:{server.server_port}/none.zip")
+    assert conversion.main(["window-build"]) == 1
+    server.shutdown()
+
+
 def test_missing_rows_fail_or_are_listed(spark, place, tmp_path):
     (place / "stops.txt").write_text("stop_id,stop_name\nA,a\nB,b\n")
     with pytest.raises(Exception, match="Missing stop: C"):
