@@ -223,22 +223,23 @@ def error_pages(documents: DataFrame) -> DataFrame:
     spread_of = F.sqrt(F.greatest(F.sum("_q") / F.sum("_k") - mean * mean, F.lit(0.0)))
     # One row: the average of hosts, and how few words are little.
     measures = hosts.agg(F.avg("host_share").alias("_average"), (mean + 2 * spread_of).alias("_little"))
+    average, little = (measures.select(c).scalar() for c in ("_average", "_little"))
 
-    brief = pages.crossJoin(F.broadcast(measures)).where((F.size(words(head)) <= F.col("_little")) & (size <= F.col("_little")) & (size > 0)).withColumn("_said", said)
+    brief = pages.where((F.size(words(head)) <= little) & (size <= little) & (size > 0)).withColumn("_said", said)
     brief = checkpointed(brief.withColumn("_text", F.xxhash64(F.lower(text))))  # some percent of the pages
     lines = brief.select("_text", F.explode(F.array_distinct(F.transform("_said", line_template))).alias("_l")).distinct()
     spread = lines.groupBy("_l").agg(F.count(F.lit(1)).alias("_df"))
-    seen = brief.select("doc_id", "_host", "_average", "text", "_said", F.explode(F.array_distinct("_said")).alias("_line")).withColumn("_t", line_template(F.col("_line")))
+    seen = brief.select("doc_id", "_host", "text", "_said", F.explode(F.array_distinct("_said")).alias("_line")).withColumn("_t", line_template(F.col("_line")))
     known = seen.join(spread, F.col("_t") == F.col("_l"))
     message, recurs = is_message(F.col("_line")), F.col("_df") > 1
     first = F.slice("_said", 1, 1)
     judged = known.groupBy("doc_id", "_host").agg(
-        F.sum(message.cast("int")).alias("messages"), F.sum(recurs.cast("int")).alias("duplicates"), F.min(recurs).alias("_recurs"), F.min(message | recurs).alias("_bare"), F.first("_average").alias("_average"),
+        F.sum(message.cast("int")).alias("messages"), F.sum(recurs.cast("int")).alias("duplicates"), F.min(recurs).alias("_recurs"), F.min(message | recurs).alias("_bare"),
         F.first(apart(first, rest_of(F.col("_said")))).alias("_apart"),
         F.first(plain).alias("_plain"), F.first(has_placeholder(flat(F.split(text, "\n"))) | has_filler(flat(F.split(text, "\n")))).alias("_slots"),
     )
     judged = judged.join(hosts, F.col("_host") == F.col("_h"))
-    suspect = (F.col("host_share") > F.col("_average")) & (F.col("_apart") | F.col("_recurs"))
+    suspect = (F.col("host_share") > average) & (F.col("_apart") | F.col("_recurs"))
     judged = judged.where(~F.col("_plain") & ~F.col("_slots") & (suspect | (F.col("_bare") & (F.col("messages") > 0))))
     columns = ("doc_id", "messages", "duplicates", "host_share")
     sure = looked.where(F.col("_n").isNotNull()).select("doc_id", "_host", "messages", F.lit(0).alias("duplicates"))
