@@ -115,7 +115,7 @@ def orphan_references(
     tagged = lambda field, key: F.concat(F.lit(f"{field}\u0000"), key)
     named = [parents[r][0].select(tagged(r, strip_to_null(parents[r][1])).alias("_key"), F.col(loaded).alias("_loaded"), F.col(deleted).alias("_deleted")) for r in references]
     known = reduce(DataFrame.unionByName, named).where(F.col("_key").isNotNull())
-    spans = timeline(known, "_key", "_loaded", "_deleted")
+    spans = timeline(known, "_key", "_loaded", "_deleted").toDF("_parent", "_since", "_until", "_state")
     if blocks is None:
         blocks = blocks_for(known.agg(F.approx_count_distinct("_key")).first()[0])
     fields = F.array(*[F.struct(F.lit(r).alias("field_name"), tagged(r, strip_to_null(r)).alias("_ref")) for r in references])
@@ -123,6 +123,6 @@ def orphan_references(
     probed = probe(refs, F.col("_ref"), bloom_blocks(known, "_key", blocks), blocks)
     # Proven orphans have no parent to meet; a sign that no key has keeps them apart and spread out.
     meets = F.when(F.col("_maybe"), F.col("_ref")).otherwise(F.concat(F.lit("\u0000"), F.col("_ref")))
-    verified = probed.withColumn("_meets", meets).join(spans, (F.col("_meets") == F.col("_parent")) & (F.col("_at") >= F.col("since")) & (F.col("_at") < F.col("until")), "left")
-    orphan = F.col("state").isNull() | ((F.col("state") != "holds") & F.col("_dated"))
-    return verified.where(orphan).select(*keep, "field_name", F.coalesce("state", F.lit("missing")).alias("reason"))
+    verified = probed.withColumn("_meets", meets).join(spans, (F.col("_meets") == F.col("_parent")) & (F.col("_at") >= F.col("_since")) & (F.col("_at") < F.col("_until")), "left")
+    orphan = F.col("_state").isNull() | ((F.col("_state") != "holds") & F.col("_dated"))
+    return verified.where(orphan).select(*keep, "field_name", F.coalesce("_state", F.lit("missing")).alias("reason"))

@@ -80,6 +80,30 @@ def test_orphans_against_brute_force(spark):
         assert sorted((r.row_id, r.reason) for r in found.collect()) == sorted(expected)
 
 
+def test_orphans_of_two_fields_keep_columns_of_any_name(spark):
+    child = spark.createDataFrame([(1, "a", "x", dt(2025, 1, 1), "s"), (2, None, "y", dt(2025, 1, 1), None), (3, "b", "x", dt(2025, 1, 1), "s")] * 2, "id int, one string, two string, loaded_at timestamp_ntz, state string")
+    one = spark.createDataFrame([("a", dt(2024, 1, 1), None, "")], PARENT)
+    two = spark.createDataFrame([("x", dt(2025, 2, 1), None, ""), ("a", dt(2024, 1, 1), None, "")], PARENT)
+    got = orphans.orphan_references(child, ["one", "two"], "loaded_at", ["id", "state"], {"one": (one, "key"), "two": (two, "key")}).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(1, "s", "two", "late"), (2, None, "two", "missing"), (3, "s", "one", "missing"), (3, "s", "two", "late")] * 2))
+
+
+def test_mixtures_weigh_forms_and_follow_more_evidence(spark):
+    """A thousand days that only month-first reads overrule a declared order; a few don't."""
+    declared = spark.createDataFrame([("many", "UTC", "DMY"), ("few", "UTC", "DMY")], "source string, zone string, declared string")
+    rows = [(f"{s}{i}", s, f"0{1 + i % 9}/{13 + i % 16}/2025") for s, n in (("many", 20000), ("few", 9)) for i in range(n)] + [(f"{s}-open", s, "02/03/2025") for s in ("many", "few")]
+    got = {r.id: r.norm_value for r in time_forms.normalise_dates(spark.createDataFrame(rows, "id string, source string, value string"), declared, ["id"]).collect()}
+    assert got["many-open"] == "2025-02-03" and got["few-open"] == "2025-03-02"
+
+
+def test_abbreviations_are_those_of_the_zone(spark):
+    zones = spark.createDataFrame([("in", "Asia/Kolkata", "DMY"), ("il", "Asia/Jerusalem", "DMY"), ("cn", "Asia/Shanghai", "DMY"), ("us", "America/Chicago", "MDY"), ("be", "Europe/Brussels", "DMY")], "source string, zone string, declared string")
+    rows = [(s, s, f"2025-01-15 12:00:00 {z}") for s, z in (("in", "IST"), ("il", "IST"), ("cn", "CST"), ("us", "CST"), ("be", "CST"))]
+    df = spark.createDataFrame(rows, "id string, source string, value string").withColumn("day", F.lit("2025-01-15").cast("date"))
+    got = {r.id: r.norm_value[11:13] for r in time_forms.normalise_times(df, zones, ["id"]).collect()}
+    assert got == {"in": "06", "il": "10", "cn": "04", "us": "18", "be": ""}  # `unresolved` where the zone has none
+
+
 def test_orphans_of_nothing(spark):
     none = spark.createDataFrame([], PARENT)
     child = spark.createDataFrame([(1, "a", dt(2025, 1, 1), "", "")], CHILD)
