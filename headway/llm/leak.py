@@ -342,9 +342,9 @@ class _Words:
     def _edge(self, step: int) -> tuple[dict[int, list[tuple[int, frozenset[int]]]], set[int], set[int]]:
         """Of the firsts of lines (ends, going back): by what they may stand for, each with what its neighbour may; those that the neighbour doesn't settle; all that neighbours may stand for."""
         beginnings, alone, beyond, size = {}, set(), set(), len(self.words)
-        others = self.ends if step > 0 else self.firsts
-        known = self.meanings
-        for q in self.firsts if step > 0 else self.ends:
+        places, others = (self.firsts, self.ends) if step > 0 else (self.ends, self.firsts)
+        known, broken = self.meanings, self.broken
+        for q in places:
             here, r = known[q], q + step
             if here is None:
                 here = self._means(q)
@@ -352,15 +352,16 @@ class _Words:
             after = known[r] if inside else _NOTHING
             if after is None:
                 after = self._means(r)
+            if broken and after:
+                beyond |= after
             if here:
-                if not inside or r in self.broken or q in others or step < 0 and r in self.firsts:
+                if not inside or q in others or r in broken or step < 0 and r in self.firsts:
                     alone |= here
                 for a in here:
                     if a in beginnings:
                         beginnings[a].append((q, after))
                     else:
                         beginnings[a] = [(q, after)]
-            beyond |= after
         self.edges[step] = made = (beginnings, alone, beyond)
         return made
 
@@ -397,8 +398,18 @@ class _Words:
         return found
 
     def _follow(self, passage: Sequence[int], i: int, j: int, step: int, most: int) -> int:
-        places, n, size = {j}, 0, len(self.words)
+        n, size, known = 0, len(self.words), self.meanings
         line_ends = self.ends if step > 0 else self.firsts
+        tails = self.firsts if step < 0 and self.broken else ()
+        # Inside a line there is one way on.
+        while n < most and 0 <= i + step < len(passage) and j not in line_ends:
+            q = j + step
+            if q in self.broken or q in tails:
+                break
+            if passage[i + step] not in (known[q] if known[q] is not None else self._means(q)):
+                return n
+            i, j, n = i + step, q, n + 1
+        places = {j}
         while n < most and 0 <= i + step < len(passage):
             i += step
             number = passage[i]
