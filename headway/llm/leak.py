@@ -236,19 +236,21 @@ def scan_page(text: str, x0: list[int] | None, y0: list[int] | None, index: Pass
     page = _Words(lines, index)
     opened: set[int] = set()
     failed: set[tuple[int, int]] = set()
-    last = -2
+    numbers, last = index.numbers, -2
     for j, hits in index.hits(index.numbered(page.words)):
         # A run needs a next word on one side at least; inside a line that is the neighbour.
         right_open, right = page.neighbour(j + NGRAM - 1, 1)
         left_open, left = page.neighbour(j, -1)
+        if not (right_open or left_open or right or left):
+            continue
         # What failed one word before fails here too, unless a line begins here.
-        before, failed = (set() if last != j - 1 or j in page.firsts else failed), set()
+        before, failed = (failed if last == j - 1 and j not in page.firsts else ()), set()
         last = j
         for k, i in hits:
             if k in opened:
                 continue
-            if (k, i - 1) not in before:
-                passage = index.numbers[k]
+            if not before or (k, i - 1) not in before:
+                passage = numbers[k]
                 after = len(passage) - i - NGRAM
                 ahead = after > 0 and (passage[i + NGRAM] in right or right_open and page.may_cross(j + NGRAM - 1, 1, passage[i + NGRAM], passage[i + NGRAM + 1] if after > 1 else -1))
                 back = i > 0 and (passage[i - 1] in left or left_open and page.may_cross(j, -1, passage[i - 1], passage[i - 2] if i > 1 else -1))
@@ -290,13 +292,7 @@ class _Words:
         self.firsts = {*starts, *self.broken}
         self.ends = {j - 1 for j in starts} | {len(words) - 1} | set(self.broken)
         self.meanings: list[frozenset[int] | None] = list(map(index.known.get, words))
-        size, loose = len(words), {1: set(self.broken), -1: set(self.broken) | (self.firsts if self.broken else set())}
-        #: By whether it is for jumps (0) or what comes after a passed piece (1), and by direction: places, and those that show only in parts what they may stand for.
-        self.places, self.loose = {}, {}
-        if self.broken:
-            for shift, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
-                at = [q + shift * step for q in (self.firsts if step > 0 else self.ends) if 0 <= q + shift * step < size]
-                self.places[shift, step], self.loose[shift, step] = at, [q for q in at if q in loose[step]]
+        self.loose: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
         self.found: dict[tuple[int, int, int], list[int]] = {}
         self.pieces: dict[int, bool] = {}
         self.edges: dict[int, tuple[dict[int, list[tuple[int, frozenset[int]]]], set[int], set[int]]] = {}
@@ -384,16 +380,25 @@ class _Words:
             return True
         return at_tail and len(self.words[q]) < len(meant) and part_of(self.words[q], meant, False)
 
-    def _at_lines(self, number: int, shift: int, step: int) -> list[int]:
+    def _places(self, shift: int, step: int) -> tuple[list[int], list[int]]:
+        """Firsts of lines (ends, going back), or with `shift` their neighbours; and those of them that show only in parts what they may stand for."""
+        made = self.loose.get((shift, step))
+        if made is None:
+            size = len(self.words)
+            at = [q + shift * step for q in (self.firsts if step > 0 else self.ends) if 0 <= q + shift * step < size]
+            made = self.loose[shift, step] = at, [q for q in at if q in self.broken or step < 0 and q in self.firsts]
+        return made
+
+    def _at_lines(self, number: int, shift: int, step: int) -> Sequence[int]:
         """Firsts of lines (ends, going back), or with `shift` their neighbours, that may stand for a word."""
         found = self.found.get((number, shift, step))
         if found is None:
             if shift == 0:
                 found = [q for q, _ in (self.edges.get(step) or self._edge(step))[0].get(number, ())]
             else:
-                found = [q for q in self.places[shift, step] if number in self._means(q)]
+                found = [q for q in self._places(shift, step)[0] if number in self._means(q)]
             if self.broken and self.in_pieces(number):
-                found = [*found, *(q for q in self.loose[shift, step] if self._stands_for(q, number, step))]
+                found = [*found, *(q for q in self._places(shift, step)[1] if self._stands_for(q, number, step))]
             self.found[number, shift, step] = found
         return found
 
