@@ -18,6 +18,7 @@ from functools import lru_cache
 from itertools import repeat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -445,6 +446,12 @@ def _index_of(key: str, rows: list[tuple[int, str]]) -> Passages:
     return _HELD["index"]
 
 
+def _lists(column: pa.ListArray) -> list[list[int] | None]:
+    """The lists of a column as Python's; a missing number in one comes as NaN."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
+    return [values[a:b] if there else None for a, b, there in zip(offsets, offsets[1:], column.is_valid().to_pylist(), strict=False)]
+
+
 def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, words, first_line, last_line), a row per page and item found in it.
 
@@ -463,17 +470,15 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
         part = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else usable
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = _index_of(key, shared.value)
             for batch in batches:
-                rows = [
-                    (doc, *hit)
-                    for doc, text, x0, y0 in zip(batch["doc_id"], batch["text"], batch["x0"], batch["y0"], strict=True)
-                    for hit in scan_page(text, None if x0 is None else x0.tolist(), None if y0 is None else y0.tolist(), index)
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "first_line", "last_line"])
-
-        one = pages.mapInPandas(run, "doc_id bigint, item_id bigint, words int, first_line int, last_line int")
+                docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                rows = [(doc, *hit) for doc, text, x0, y0 in zip(docs, texts, _lists(batch.column("x0")), _lists(batch.column("y0")), strict=True) for hit in scan_page(text, x0, y0, index)]
+                columns = zip(*rows) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 2 else pa.int32()) for n, c in enumerate(columns)], ["doc_id", "item_id", "words", "first_line", "last_line"])
+
+        one = pages.mapInArrow(run, "doc_id bigint, item_id bigint, words int, first_line int, last_line int")
         found = one if found is None else found.unionByName(one)
     return found
 

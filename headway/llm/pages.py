@@ -31,7 +31,7 @@ def printed_lines(text: str, x0: list[int] | None, y0: list[int] | None) -> list
     boxes are given for all lines; else as they come, lines with wide gaps split into cells."""
     lines = text.split("\n")
     if x0 is None or len(x0) != len(lines) or any(v is None or v != v for v in x0) or any(v is None or v != v for v in y0):
-        if not _GAP.search(text):
+        if "   " not in text and "\t" not in text:
             return lines
         cells = [_GAP.split(line.strip()) for line in lines]
         width = max(map(len, cells))
@@ -40,7 +40,7 @@ def printed_lines(text: str, x0: list[int] | None, y0: list[int] | None) -> list
     edges = [b for a, b in zip(starts, starts[1:]) if b - a > COLUMN_GAP]
     places = sorted(zip((bisect_right(edges, x) for x in x0), y0, range(len(lines)))) if edges else sorted(zip(y0, range(len(lines))))
     ordered = [lines[place[-1]] for place in places]
-    if not _GAP.search(text):
+    if "   " not in text and "\t" not in text:
         return ordered
     return [cell for line in ordered for cell in (_GAP.split(line.strip()) if _GAP.search(line) else (line,))]
 
