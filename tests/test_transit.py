@@ -211,3 +211,34 @@ def test_movements_without_rows_times_or_trips(spark):
     rows = [(None, None, None, None, None, None, None, None, None, "x", 1), ("a", "A", "B", None, None, "t", "r", "gtfs:NotAvailable", None, "y", 2), ("b", "A", "B", None, None, "u", "r", None, None, None, 3)]
     got = {r["@id"]: (r.extra, r.nextConnection) for r in linking.join_and_sort(spark.createDataFrame(rows, columns)).collect()}
     assert got == {None: ("x", None), "b": (None, None)}
+
+
+def test_rules_by_hop_are_the_new_rules(spark, monkeypatch):
+    """Repeated content, several services, blank times and hops of one rule: as `new_rules` gives them, without a checkpoint of whole rules."""
+    rng = random.Random(3)
+    times = [(f"t{i}", t, t if rng.random() < 0.8 else "", s, str(k), rng.choice("01"), "0") for i in range(60) for k, (t, s) in enumerate(zip(("8:00", rng.choice(("8:10", "x", "")), "9:00"), rng.sample("ABCD", 3)))]
+    st, stops, _, _, _ = feed(spark, times)
+    trips = spark.createDataFrame([(f"t{i}", rng.choice("rq"), rng.choice("abc")) for i in range(55)], "trip_id string, route_id string, service_id string")
+    routes = spark.createDataFrame([("r", "Long Name"), ("q", "LongName")], "route_id string, route_long_name string")
+    dates = cal.service_dates(calendar_rows(spark, [("a", *"1111111", "20240330", "20240402", 1), ("b", *"1111111", "20240401", "20240404", 1)]), spark.createDataFrame([], "service_id string, date string, exception_type string"))
+    row = lambda r: (r.trip_id, r._seq, r.rule_key, tuple(r.service_dates))
+    expected = sorted(row(r) for r in rules.new_rules(rules.rules(st, stops, trips, routes, dates), keep_dateless=False).collect())
+    monkeypatch.setattr(type(st), "checkpoint", None)
+    alone, others = rules.fresh_rules(st, stops, trips, routes, dates)
+    got = [row(r) for df in (alone, others) for r in df.where("size(service_dates) > 0").collect()]
+    assert sorted(got) == expected and len(expected) > 20
+    assert not {r._hop for r in alone.collect()} & {r._hop for r in others.collect()}
+
+
+def test_messages_without_a_checkpoint(spark, monkeypatch):
+    """`ntriples_messages` keeps keys of stop pairs, not whole rules."""
+    from headway.plans import catalogue
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", None)
+    assert catalogue.QUERIES["ntriples_messages"](spark, "/root/testdata/sf0.001").count() == catalogue.QUERIES["connections"](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("text", ["2024-02-29 00:00:00", "1969-12-31 23:59:59.999", "2024-10-27 10:05:09.120", None])
+def test_iso_is_the_pattern(spark, text):
+    ts = F.lit(text).cast("timestamp")
+    assert spark.range(1).select(cx.iso(ts).eqNullSafe(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))).first()[0]
