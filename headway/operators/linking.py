@@ -35,11 +35,12 @@ def merge_movements(df: DataFrame) -> DataFrame:
     movement do it without gathering a movement's rows. A lead that meets a lower rank
     is taken up with what it had taken up itself forgotten. NULL is a value like others,
     and not the empty text; rows without times fold like others, as streams of sorted
-    rows that spill.
+    rows that spill. Rows shuffled by a column `_hop` that equal movements share stay where they are.
     """
     # A hash in front spares the sorts most comparisons of texts that begin alike.
-    groups = ["_gh", *(f"`{k}`" for k in MOVEMENT)]
-    rows = df.select("*", F.xxhash64(*groups[1:]).alias("_gh"), _rank().alias("_r"))
+    keys = [f"`{k}`" for k in MOVEMENT]
+    groups = [*(c for c in ("_hop",) if c in df.columns), "_gh", *keys]
+    rows = df.select("*", F.xxhash64(*keys).alias("_gh"), _rank().alias("_r"))
     down = (_c("@id").desc_nulls_last(), F.col("_ord"))
     w = Window.partitionBy(*groups).orderBy(*down)
     met = rows.withColumn("_met", F.min("_r").over(w.rowsBetween(*_BEFORE)))
@@ -63,11 +64,22 @@ def merge_movements(df: DataFrame) -> DataFrame:
     return out.withColumns(lists).drop("_gh", "_r", "_met", "_leads", "_prev", "_taken", "_next_r")
 
 
+def unmerged(df: DataFrame) -> DataFrame:
+    """Rows that are alone in their movement, as `merge_movements` gives them."""
+    none = F.lit(None).cast("array<string>")
+    return df.select("*", F.lit(1).cast("bigint").alias("_slot"), none.alias("joinedWithTrip"), none.alias("willSplitInto"))
+
+
 def _processed() -> list[Column]:
     """The order of processing of folded rows: from the last movement back, in one movement by slots."""
     return [*[_c(k).desc_nulls_last() for k in MOVEMENT], F.col("_slot")]
 
 
+def linked_in_trip(folded: DataFrame, by: str) -> DataFrame:
+    """Adds `_next`, the `@id` of the next connection of the trip alone. Rows shuffled by `by`, which rows of a trip share, stay where they are."""
+    return folded.withColumn("_next", F.lag(_c("@id")).over(Window.partitionBy(by, "`gtfs:trip`").orderBy(*_processed())))
+
+
 def trip_events(folded: DataFrame) -> DataFrame:
     """A row per event of a trip (`_trip`): each row in its own (`_e` 2), and in the trips it takes up, `_e` 0 where it joins one, 1 where it splits.
 
@@ -112,5 +124,9 @@ def link_next(folded: DataFrame) -> DataFrame:
 def join_and_sort(df: DataFrame) -> DataFrame:
     """Merged, linked and sorted connections. `_ord` numbers the input's rows; without it, in the order of its files."""
     df = df if "_ord" in df.columns else df.withColumn("_ord", F.monotonically_increasing_id())
-    linked = link_next(merge_movements(df))
+    return sort(link_next(merge_movements(df)))
+
+
+def sort(linked: DataFrame) -> DataFrame:
+    """Linked rows by movement and `@id`."""
     return linked.orderBy(*[or_empty(_c(k)) for k in ORDER], "_slot").drop("_ord", "_slot")

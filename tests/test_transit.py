@@ -238,6 +238,16 @@ def test_messages_without_a_checkpoint(spark, monkeypatch):
     assert catalogue.QUERIES["ntriples_messages"](spark, "/root/testdata/sf0.001").count() == catalogue.QUERIES["connections"](spark, "/root/testdata/sf0.001").count()
 
 
+def test_movements_stay_where_their_hop_is(spark):
+    """Rows shuffled by hop are folded without another shuffle, with the same result."""
+    rows = [(f"c{i % 7}{i}", "A", "B", f"0{i % 3}", "09", f"t{i}", "r", "gtfs:NotAvailable" if i % 2 else None, None, i, i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, f"{SCHEMA}, _hop bigint")
+    by_hop = linking.merge_movements(df.repartition(4, "_hop"))
+    assert by_hop._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    key = lambda r: (r["@id"], r._slot, r.joinedWithTrip, r.willSplitInto)
+    assert sorted(map(key, by_hop.collect()), key=str) == sorted(map(key, linking.merge_movements(df.drop("_hop")).collect()), key=str)
+
+
 @pytest.mark.parametrize("text", ["2024-02-29 00:00:00", "1969-12-31 23:59:59.999", "2024-10-27 10:05:09.120", None])
 def test_iso_is_the_pattern(spark, text):
     ts = F.lit(text).cast("timestamp")
