@@ -252,3 +252,13 @@ def test_movements_stay_where_their_hop_is(spark):
 def test_iso_is_the_pattern(spark, text):
     ts = F.lit(text).cast("timestamp")
     assert spark.range(1).select(cx.iso(ts).eqNullSafe(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))).first()[0]
+
+
+def plan_of(spark, name):
+    from headway.plans import catalogue
+
+    return catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_need_no_shuffle_by_movement(spark):
+    assert not [x for x in plan_of(spark, "sort_descending").splitlines() if "hashpartitioning" in x and "departureTime" in x]
