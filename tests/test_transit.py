@@ -262,3 +262,7 @@ def plan_of(spark, name):
 
 def test_places_need_no_shuffle_by_movement(spark):
     assert not [x for x in plan_of(spark, "sort_descending").splitlines() if "hashpartitioning" in x and "departureTime" in x]
+
+
+def test_next_connections_need_no_shuffle_by_uri(spark):
+    assert not [x for x in plan_of(spark, "next_connection_lead").splitlines() if "hashpartitioning" in x and "gtfs:trip" in x]
