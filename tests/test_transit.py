@@ -266,3 +266,7 @@ def test_places_need_no_shuffle_by_movement(spark):
 
 def test_next_connections_need_no_shuffle_by_uri(spark):
     assert not [x for x in plan_of(spark, "next_connection_lead").splitlines() if "hashpartitioning" in x and "gtfs:trip" in x]
+
+
+def test_names_of_predicates_are_known_before_rows(spark):
+    assert "regexp_extract(q" not in plan_of(spark, "quads")
