@@ -230,12 +230,13 @@ def test_rules_by_hop_are_the_new_rules(spark, monkeypatch):
     assert not {r._hop for r in alone.collect()} & {r._hop for r in others.collect()}
 
 
-def test_messages_without_a_checkpoint(spark, monkeypatch):
-    """`ntriples_messages` keeps keys of stop pairs, not whole rules."""
+@pytest.mark.parametrize(("name", "as_many_as"), [("ntriples_messages", "connections"), ("join_and_sort", "movement_fold")])
+def test_rows_without_a_checkpoint(spark, monkeypatch, name, as_many_as):
+    """What is kept is keys of stop pairs, not whole rules."""
     from headway.plans import catalogue
 
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", None)
-    assert catalogue.QUERIES["ntriples_messages"](spark, "/root/testdata/sf0.001").count() == catalogue.QUERIES["connections"](spark, "/root/testdata/sf0.001").count()
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() == catalogue.QUERIES[as_many_as](spark, "/root/testdata/sf0.001").count()
 
 
 def test_movements_stay_where_their_hop_is(spark):
