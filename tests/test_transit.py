@@ -271,3 +271,15 @@ def test_next_connections_need_no_shuffle_by_uri(spark):
 
 def test_names_of_predicates_are_known_before_rows(spark):
     assert "regexp_extract(q" not in plan_of(spark, "quads")
+
+
+def test_texts_are_not_shuffled_for_the_final_order(spark):
+    """Of rules in their order and dates, join_and_sort gives what the operators give of connections, in the same order."""
+    from headway.plans import transit
+
+    plan = plan_of(spark, "join_and_sort")
+    assert not [x for x in plan.splitlines() if "partitioning(" in x and ("departureTime" in x or "gtfs:trip" in x or "@id" in x)]
+    merged = transit._merged(spark, "/root/testdata/sf0.001")
+    expected = linking.sort(linking.link_next(merged)).withColumn("nextConnection", F.array_join("nextConnection", " ")).collect()
+    got = transit.join_and_sort(spark, "/root/testdata/sf0.001").collect()
+    assert got == expected and {len((r.nextConnection or "").split()) for r in got} >= {0, 1}
