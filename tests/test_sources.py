@@ -222,3 +222,29 @@ def test_names_and_configurations(spark, tmp_path):
 def test_helpers():
     assert sinks.strip_version_lines('@version "1"\na\n@version "1"\nb\n', keep_first=True) == '@version "1"\na\nb\n'
     assert jelly.varint(300) == b"\xac\x02"
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from headway.sources.tables import written
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size())}
+    before = files()
+    rows = written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").agg(F.count("*").alias("n")))
+    left = lambda: [f for f in files() - before if f.startswith("shuffle_")]
+    ends = time.time() + 10
+    while left() and time.time() < ends:
+        time.sleep(0.2)
+    assert not left() and len(rows.collect()) == 7
+
+
+def test_last_rows_stay_where_they_are_aggregated(spark):
+    from headway.operators import service_calendar as cal
+
+    rows = spark.range(100).selectExpr("string(id % 9) AS k", "id AS v", "id AS _ord")
+    other = spark.range(9).selectExpr("string(id) AS o").repartition(4, "o").hint("merge")
+    joined = cal.last_wins(rows, "k").join(other, F.col("k") == F.col("o"))
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    assert sorted((r.k, r.v) for r in joined.collect()) == [(str(k), max(v for v in range(100) if v % 9 == k)) for k in range(9)]
